@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules
+from . import chat_format, pii, quality_rules, simhash
 
 _MODULES = {
+    "op5_pii": pii,
     "op7_chat_format": chat_format,
+    "op8_simhash": simhash,
     "op10_quality_rules": quality_rules,
 }
 
