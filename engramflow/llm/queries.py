@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, pii, quality_rules, simhash
+from . import chat_format, pii, quality_rules, simhash, substring_dedup, suffix_dedup
 
 _MODULES = {
+    "op2_suffix_dedup": suffix_dedup,
     "op5_pii": pii,
+    "op6_substring_dedup": substring_dedup,
     "op7_chat_format": chat_format,
     "op8_simhash": simhash,
     "op10_quality_rules": quality_rules,
