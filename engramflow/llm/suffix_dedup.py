@@ -41,7 +41,7 @@ from .exchange import Block, answer, ask, ask_again, blocked, bucketed, finish,
 
 LENGTH, GRAM, HOT = 50, 16, 4096
 #: Anchors that a bucket of grams, and bytes of text for which a bucket of suffixes, receives, about.
-GRAM_KEYS, SUFFIX_BYTES = 4 << 20, 16 << 20
+GRAM_KEYS, SUFFIX_BYTES = 2 << 20, 8 << 20
 #: Suffixes looked at for splitters, at most.
 SAMPLE = 20_000
 SLICE = 1 << 18
@@ -71,7 +71,7 @@ class Anchors:
             at.append(place[edge] + start)
             low.append(edge + start)
             high.append(np.append(edge[1:], stop - start) + start - 1)
-            gram.append(hashes[place[edge]])
+            gram.append(mixed(hashes[place[edge]]))  # least hashes are small; mixed anew they are even
         if not at:
             at = low = high = [np.zeros(0, np.int64)]
             gram = [np.zeros(0, np.uint64)]
@@ -197,10 +197,16 @@ class Plan:
         edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         count = np.concatenate([unpack(p[1], np.uint32) for p in parts]).astype(np.int64)
         many = np.concatenate([np.unpackbits(unpack(p[2], np.uint8), count=len(k)) for p, k in zip(parts, keys)]).astype(bool)
-        _, number, blocks = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        places = np.bincount(number, weights=count)
-        shared = (blocks > 1) | (np.bincount(number, weights=many) > 0)
-        code = (shared * (1 + (places > self.hot))).astype(np.uint8)[number]
+        del parts
+        keys = np.concatenate(keys)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        blocks = np.diff(np.append(first, len(keys)))
+        shared = (blocks > 1) | np.logical_or.reduceat(many[order], first)
+        frequent = np.add.reduceat(count[order], first) > self.hot
+        code = np.empty(len(keys), np.uint8)
+        code[order] = np.repeat((shared * (1 + frequent)).astype(np.uint8), blocks)
         return [pack(code[i:j]) for i, j in zip(edges, edges[1:])]
 
     def divided(self, block: Block, answers: dict) -> tuple[Anchors, Anchors]:
@@ -227,23 +233,30 @@ class Plan:
         return back[which], [segments[i] for i in order.tolist()], ids[order], pieces
 
     def windows(self, anchors: Anchors):
-        """(first bytes of the windows, documents' ids, each window's key's number, keys' two hashes, smallest ids)"""
-        n = anchors.high - anchors.low + 1
-        at = np.repeat(anchors.low - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
-        h, g = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        for i in range(0, len(at), SLICE):
-            for j in range(self.length):
-                byte = anchors.buf[at[i : i + SLICE] + j].astype(np.uint64) + np.uint64(1)
-                h[i : i + SLICE] = h[i : i + SLICE] * np.uint64(BASE) + byte
-                g[i : i + SLICE] = g[i : i + SLICE] * np.uint64(SECOND) + byte
-        h, g, ids = mixed(h), mixed(g), np.repeat(anchors.ids, n)
+        """(each anchor's segment's number, segments' smallest ids, segment and place in it of each window,
+        its key's number, keys' two hashes, smallest ids)"""
+        segments, which = anchors.segments()
+        least = np.full(len(segments), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, anchors.ids)
+        sizes = np.array([len(s) for _, s in segments], np.int64)
+        text = np.frombuffer(b"".join(s for _, s in segments), np.uint8).astype(np.uint64) + np.uint64(1)
+        n = sizes - self.length + 1
+        segment = np.repeat(np.arange(len(segments), dtype=np.int32), n)
+        place = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+        if not len(segment):
+            empty = np.zeros(0, np.uint64)
+            return which, least, segment, place, place, empty, empty, place
+        at = np.repeat(np.cumsum(sizes) - sizes, n) + place
+        h, g = (mixed(rolled(text, self.length, base)[at]) for base in (BASE, SECOND))
+        del text, at
         order = np.lexsort((g, h))
-        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]) if len(h) else np.zeros(0, bool)
+        h, g = h[order], g[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
         number = np.empty(len(h), np.int64)
         number[order] = np.cumsum(new) - 1
-        least = np.full(int(new.sum()), np.iinfo(np.int64).max)
-        np.minimum.at(least, number, ids)
-        return at, ids, number, h[order][new], g[order][new], least
+        first = np.full(int(new.sum()), np.iinfo(np.int64).max)
+        np.minimum.at(first, number, least[segment])
+        return which, least, segment, place, number, h[new], g[new], first
 
     def send_again(self, block: Block, answers: dict):
         usual, frequent = self.divided(block, answers)
@@ -252,7 +265,7 @@ class Plan:
             part = segments[i:j]
             text = np.frombuffer(b"".join(s for _, s in part), np.uint8)
             yield SUFFIXES, b, join_parts([pack(text), pack(np.array([len(s) for _, s in part], np.uint8)), pack(np.array([o for o, _ in part], np.uint8)), pack(ids[i:j])])
-        _, _, _, h, g, least = self.windows(frequent)
+        *_, h, g, least = self.windows(frequent)
         for b, i, j in bucketed(h, self.buckets):
             yield WINDOWS, b, join_parts([pack_sorted(h[i:j]), pack(g[i:j]), pack(least[i:j])])
 
@@ -288,11 +301,22 @@ class Plan:
         for o in range(self.length - GRAM + 1):
             at = usual.at - o
             gone.append(at[(at >= usual.low) & (at <= usual.high) & ((mine >> np.uint64(o) & np.uint64(1)) == 1)])
-        at, ids, number, h, _, least = self.windows(frequent)
+        which, least, segment, place, number, h, _, first = self.windows(frequent)
         hit = np.zeros(len(h), bool)
         for b, i, j in bucketed(h, self.buckets):
             hit[i:j] = np.unpackbits(unpack(answers[WINDOWS, b], np.uint8), count=j - i)
-        gone.append(at[hit[number] | (ids > least[number])] if len(at) else at)
+        if len(which):
+            # windows that go, of each segment; of copies with larger ids all go
+            goes = hit[number] | (least[segment] > first[number])
+            n = np.bincount(segment, minlength=len(least))
+            start = np.cumsum(n) - n
+            later = frequent.ids > least[which]
+            one = np.flatnonzero(~later)
+            many = n[which[one]]
+            at = np.repeat(start[which[one]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            gone.append((np.repeat(frequent.low[one], many) + place[at])[goes[at]])
+            span = frequent.high[later] - frequent.low[later] + 1
+            gone.append(np.repeat(frequent.low[later] - (np.cumsum(span) - span), span) + np.arange(int(span.sum())))
         cover = np.zeros(len(usual.buf) + self.length + 1, np.int32)
         gone = np.concatenate(gone)
         np.add.at(cover, gone, 1)
