@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, pii, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, html_text, pii, quality_rules, sentencepiece, simhash, substring_dedup, suffix_dedup
 
 _MODULES = {
     "op2_suffix_dedup": suffix_dedup,
+    "op3_sentencepiece": sentencepiece,
+    "op4_decontaminate": decontaminate,
     "op5_pii": pii,
     "op6_substring_dedup": substring_dedup,
     "op7_chat_format": chat_format,
     "op8_simhash": simhash,
+    "op9_html_text": html_text,
     "op10_quality_rules": quality_rules,
 }
 
