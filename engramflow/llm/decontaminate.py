@@ -148,7 +148,7 @@ class Index:
                 high = first + 2 * (k + 1) + m + k
                 region = part[max(0, low) : max(0, high)]
                 at = region.tobytes().find(self.items[i].tobytes())
-                while at % 4 > 0:
+                while at > 0 and at % 4:
                     at = region.tobytes().find(self.items[i].tobytes(), at + 1)
                 hit = (0, at // 4 + m) if at >= 0 else align(region, self.items[i], low - max(0, low), width, k)
                 if hit and hit[0] <= k:
