@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_text, pii, quality_rules, sentencepiece, simhash, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, gru_lm, html_text, pii, quality_rules, sentencepiece, simhash, substring_dedup, suffix_dedup
 
 _MODULES = {
+    "op1_gru_lm": gru_lm,
     "op2_suffix_dedup": suffix_dedup,
     "op3_sentencepiece": sentencepiece,
     "op4_decontaminate": decontaminate,
