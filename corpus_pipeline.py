@@ -1,8 +1,60 @@
-"""Placeholder for the corpus pipeline."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-STAGES = []
+1. quality: the rules' rejects go.
+2. near_duplicates: of each group that SimHash links, the document with the smallest id stays.
+3. decontaminate: documents that hold a benchmark item go.
+4. pii: personal data in texts becomes its kind in angle brackets; n_chars follows.
+5. tokens: the texts as SentencePiece ids.
+
+All stages but the last return the columns of documents. Edge cases are those of the operators: null texts fail the
+quality rules, null ids pass stage 2 one by one, empty tables stay empty.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from engramflow.llm import decontaminate, pii, quality_rules, sentencepiece, simhash
+from engramflow.llm.common import table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", leaks), ("pii", private), ("tokens", tokens)]
+
+#: SQL has no form of stages 2 to 5.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; what lies between them is written to the shared folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="engramflow-")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
