@@ -24,3 +24,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    from . import vector_queries  # noqa: F401
+
+
+_load()
