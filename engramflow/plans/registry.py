@@ -27,7 +27,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import graph_queries, vector_queries  # noqa: F401
+    from . import graph_queries, lexical_queries, vector_queries  # noqa: F401
 
 
 _load()
