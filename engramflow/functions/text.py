@@ -71,7 +71,7 @@ def features(text: str | None) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def _mapped(f, kind):
+def mapped(f, kind):
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
         return s.map(f)
@@ -86,4 +86,4 @@ def register_text(spark: SparkSession) -> None:
         ("trigram_units", lambda t: units(t, 3), "array<string>"), ("bigram_units", lambda t: units(t, 2), "array<string>"),
         ("quoted_anchors", anchors, "array<string>"), ("mixed_terms", terms, "array<string>"), ("cue_features", features, "array<string>"),
     ):
-        spark.udf.register(name, _mapped(f, kind))
+        spark.udf.register(name, mapped(f, kind))
