@@ -408,7 +408,7 @@ def score(docs: DataFrame, head: int = HEAD, first: float = FIRST) -> DataFrame:
         out = rows.select(["doc_id", "held_out", "n_tokens", "n_known"]).append_column("train_tokens", pa.array(np.full(rows.num_rows, n))).append_column("base_score", rows.column("base_score"))
         yield from out.append_column("score", pa.array(found + rows.column("constant").to_numpy())).combine_chunks().to_batches()
 
-    return encoded.mapInArrow(run, SCORED)
+    return encoded.coalesce(max(1, math.ceil(2 * n_bytes / COPY_BYTES))).mapInArrow(run, SCORED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
