@@ -5,7 +5,7 @@ documents are dealt once into blocks of some BLOCK_BYTES of text. A block sends
 packed (differences, byte planes, zstd: one to three bytes a key), and gets a packed answer for the same
 list back, so positions never travel. A block that is asked again derives the same list again.
 
-The blocks are one shuffle of the text, which all passes of a query read (Spark reuses the exchange).
+The blocks are one shuffle of the text, packed by zstd, which all passes of a query read (Spark reuses the exchange).
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import pick, shuffle_parts
 
 BLOCK_BYTES = 4 << 20
+#: Text that a task holds before it packs it.
+PIECE_BYTES = 32 << 20
 #: Keys that a bucket receives, about.
 BUCKET_KEYS = 4 << 20
 MESSAGE = "bucket int, block int, kind int, payload binary"
@@ -98,28 +100,64 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Block:
     """The documents of one block, one after another in one buffer, ordered by id, then text."""
 
-    def __init__(self, rows: pa.Table):
-        ids = rows.column("doc_id").to_numpy(zero_copy_only=False) if not rows.column("doc_id").null_count else np.array([LAST if x is None else x for x in rows.column("doc_id").to_pylist()], np.int64)
-        ids = ids.astype(np.int64)
-        texts = rows.column("text").to_pylist()
+    def __init__(self, ids: np.ndarray, texts: list[bytes]):
         order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
         self.texts = [texts[i] for i in order]
         self.ids = ids[order] if len(order) else ids
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.ends = np.cumsum(self.sizes)
 
+    @classmethod
+    def of(cls, rows: pa.Table) -> Block:
+        """The block that packed pieces make up."""
+        ids, texts = [np.zeros(0, np.int64)], []
+        for piece in rows.column("piece").to_pylist():
+            own, sizes, data = split_parts(piece)
+            ids.append(unpack(own, np.int64))
+            data, at = zstandard.ZstdDecompressor().decompress(data), 0
+            for n in unpack(sizes, np.int64).tolist():
+                texts.append(data[at : at + n])
+                at += n
+        return cls(np.concatenate(ids), texts)
+
     def out_ids(self) -> pa.Array:
         return pa.array(self.ids, mask=self.ids == LAST)
 
 
+def _packed(batches):
+    """(block, piece): the documents of a task by block, packed whenever PIECE_BYTES of text have come together."""
+    held: dict[int, tuple[list[int], list[bytes]]] = {}
+    size = 0
+
+    def flush():
+        blocks, pieces = [], []
+        for block, (ids, texts) in held.items():
+            blocks.append(block)
+            pieces.append(join_parts([pack(np.array(ids, np.int64)), pack(np.array([len(t) for t in texts], np.int64)), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(pieces, pa.binary())], ["block", "piece"])
+
+    for b in batches:
+        for block, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            ids, texts = held.setdefault(block, ([], []))
+            ids.append(LAST if i is None else i)
+            texts.append(t)
+            size += len(t)
+            if size >= PIECE_BYTES:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
 def blocked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text as bytes and block, dealt by block; the bytes of all texts). Null ids come last, null text is empty."""
+    """(block and packed pieces of its documents, dealt by block; the bytes of all texts). Null ids come last, null text is empty."""
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(n_bytes / BLOCK_BYTES))
     parts = shuffle_parts(docs.sparkSession)
-    keyed = d.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    return keyed.repartition(max(parts, min(blocks, 4 * parts)), "block"), n_bytes
+    keyed = d.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    return keyed.mapInArrow(_packed, "block int, piece binary").repartition(max(parts, min(blocks, 4 * parts)), "block"), n_bytes
 
 
 def ask(dealt: DataFrame, run) -> DataFrame:
@@ -127,7 +165,7 @@ def ask(dealt: DataFrame, run) -> DataFrame:
 
     def send(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
-        return _messages(block, list(run(Block(rows))))
+        return _messages(block, list(run(Block.of(rows))))
 
     return dealt.groupBy("block").applyInArrow(send, MESSAGE)
 
@@ -137,7 +175,7 @@ def ask_again(dealt: DataFrame, answers: DataFrame, run) -> DataFrame:
 
     def send(rows: pa.Table, found: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py() if rows.num_rows else 0
-        return _messages(block, list(run(Block(rows), _answers(found))) if rows.num_rows else [])
+        return _messages(block, list(run(Block.of(rows), _answers(found))) if rows.num_rows else [])
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, MESSAGE)
 
@@ -145,7 +183,7 @@ def ask_again(dealt: DataFrame, answers: DataFrame, run) -> DataFrame:
 def finish(dealt: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
     """Rows of the result: run(Block, answers) gives a table."""
     def make(rows: pa.Table, found: pa.Table) -> pa.Table:
-        return run(Block(rows), _answers(found))
+        return run(Block.of(rows), _answers(found))
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(make, schema)
 

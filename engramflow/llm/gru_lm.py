@@ -43,10 +43,16 @@ from .exchange import blocked as deal
 
 HIDDEN, HEAD, CLASSES, WINDOW, LANES, PIECE = 16, 1024, 24, 16, 512, 1024
 RATE, FIRST, BINS = 0.15, 0.25, 48
+#: Logits are held within this, so that exponentials need no shift.
+LIMIT = 60.0
+#: Numbers of documents that lie side by side at once, at most (or one document).
+TABLE = 16 << 20
 #: Text that one copy of the model trains on in a round, about.
 COPY_BYTES = 64 << 20
 BUCKET_KEYS = 1 << 20
-END = xxhash.xxh3_64_intdigest(b"\n")
+#: The end token, a byte that UTF-8 text never has.
+MARK = b" \xff "
+END = xxhash.xxh3_64_intdigest(MARK.strip())
 LOG10 = math.log(10)
 
 
@@ -55,14 +61,15 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class Tokens:
-    """A block's tokens as numbers of its own vocabulary, the end token being number 0."""
+    """A block's tokens as numbers of its own vocabulary."""
 
     def __init__(self, block: Block):
-        known: dict[bytes, int] = {b"\n": 0}
-        put = known.setdefault
-        docs = [[put(w, len(known)) for w in t.lower().split()] for t in block.texts]
-        self.sizes = np.array([len(d) + 1 for d in docs], np.int64)
-        self.number = np.concatenate([np.array([*d, 0], np.int32) for d in docs]) if docs else np.zeros(0, np.int32)
+        words = b"".join(t + MARK for t in block.texts).lower().split()
+        known = dict.fromkeys(words)
+        known.update(zip(known, range(len(known))))
+        self.number = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        last = np.flatnonzero(self.number == known.get(MARK.strip(), -1))
+        self.sizes = np.diff(last, prepend=-1)
         self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
         self.order = np.argsort(self.hash)
         self.held = np.array([held_out(None if i == LAST else int(i)) for i in block.ids.tolist()], bool)
@@ -168,7 +175,7 @@ class Encoding:
     def run(self, rows: pa.Table, found: pa.Table) -> pa.Table:
         from .exchange import _answers
 
-        block, answers = Block(rows), _answers(found)
+        block, answers = Block.of(rows), _answers(found)
         t, v = Tokens(block), self.vocabulary
         counts = np.zeros(len(t.hash), np.int64)
         for b, i, j in bucketed(t.hash[t.order], self.counting.buckets):
@@ -187,7 +194,18 @@ class Encoding:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logits within LIMIT, their exponentials, the sums of those)"""
+    np.clip(logits, -LIMIT, LIMIT, out=logits)
+    p = np.exp(logits)
+    return logits, p, p @ np.ones(p.shape[1], p.dtype)
 
 
 class Model:
@@ -226,13 +244,10 @@ class Model:
     def output(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None):
         """Natural log probabilities of the targets (n,) given the states (n, hidden); with grads, the states' gradients as well."""
         v, w = self.v, self.w
-        head = targets < v.head
-        wanted = np.where(head, v.word_class[np.minimum(targets, v.head - 1)] if v.head else 0, targets - v.head + v.classes)
-        logits = states @ w["class"] + w["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        norm = p.sum(1)
+        place = np.where(targets < v.head, v.word_class[np.minimum(targets, v.head - 1)] if v.head else 0, v.classes).astype(np.int16)
+        wanted = np.where(place < v.classes, place, targets - v.head + v.classes)
         rows = np.arange(len(states))
+        logits, p, norm = _softmax(states @ w["class"] + w["class_bias"])
         score = logits[rows, wanted] - np.log(norm)
         d_states = None
         if grads is not None:
@@ -241,19 +256,17 @@ class Model:
             grads["class"] += states.T @ p
             grads["class_bias"] += p.sum(0)
             d_states = p @ w["class"].T
-        order = np.argsort(np.where(head, wanted, v.classes), kind="stable")
-        edges = np.searchsorted(np.where(head, wanted, v.classes)[order], np.arange(v.classes + 1))
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], np.arange(v.classes + 1))
+        sorted_states, sorted_targets = states[order], targets[order]
         for k in range(v.classes):
-            at = order[edges[k] : edges[k + 1]]
+            i, j = edges[k], edges[k + 1]
             low, high = int(v.members[k][0]), int(v.members[k][-1]) + 1  # members of a class are neighbours by rank
-            if not len(at) or high - low == 1:
+            if i == j or high - low == 1:
                 continue
-            s = states[at]
-            logits = s @ w["word"][:, low:high] + w["word_bias"][low:high]
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            norm = p.sum(1)
-            inner, own = np.arange(len(at)), targets[at] - low
+            at, s = order[i:j], sorted_states[i:j]
+            logits, p, norm = _softmax(s @ w["word"][:, low:high] + w["word_bias"][low:high])
+            inner, own = rows[: j - i], sorted_targets[i:j] - low
             score[at] += logits[inner, own] - np.log(norm)
             if grads is not None:
                 p *= (weight[at] / norm)[:, None]
@@ -288,7 +301,7 @@ class Model:
 
     def train(self, docs: list[np.ndarray], rate: float = RATE):
         """One pass over the documents; pieces of similar length run side by side, steps by AdaGrad."""
-        pieces = sorted((d[max(0, i - 1) : i + PIECE] if i else self.started(d[:PIECE]) for d in docs for i in range(0, len(d), PIECE)), key=len)
+        pieces = sorted((d[max(0, i - 1) : i + PIECE] if i else self.started(d[:PIECE]) for d in docs for i in range(0, len(d), PIECE)), key=len, reverse=True)
         groups = [pieces[i : i + LANES] for i in range(0, len(pieces), LANES)]
         np.random.default_rng(3).shuffle(groups)
         past = {k: np.full_like(x, 1e-6) for k, x in self.w.items()}
@@ -315,33 +328,34 @@ class Model:
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each document's numbers, the state carried through the whole document."""
         out = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda i: len(docs[i]))
-        for i in range(0, len(order), LANES):
-            part = order[i : i + LANES]
-            group = [self.started(docs[j]) for j in part]
-            for ids, targets, mask, state, lanes in _windows(group, 2 * WINDOW, self.h):
+        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        at = 0
+        while at < len(order):
+            lanes = min(LANES, max(1, TABLE // (len(docs[order[at]]) + 1)))
+            part = np.array(order[at : at + lanes])
+            at += lanes
+            for ids, targets, mask, state, lanes in _windows([self.started(docs[j]) for j in part], 2 * WINDOW, self.h):
                 states, _ = self.forward(ids, state[:lanes], False)
                 scores, _ = self.output(states.reshape(-1, self.h), targets.reshape(-1))
-                out[part[::-1][:lanes]] += (scores.reshape(mask.shape) * mask).sum(0, dtype=np.float64)
+                out[part[:lanes]] += (scores.reshape(mask.shape) * mask).sum(0, dtype=np.float64)
                 state[:lanes] = states[-1]
         return out / LOG10
 
 
 def _windows(group: list[np.ndarray], window: int, hidden: int):
-    """(inputs, targets, mask, states, lanes) of successive windows of a group of sequences sorted by length; the longest
-    come first, and those that have ended leave. The caller writes the last states back."""
-    group = group[::-1]
+    """(inputs, targets, mask, states, lanes) of successive windows of a group of sequences, longest first; those that have
+    ended leave. The caller writes the last states back."""
     sizes = np.array([len(g) - 1 for g in group])
+    longest = int(sizes[0])
+    table_ = np.zeros((longest + 1, len(group)), group[0].dtype)
+    for k, g in enumerate(group):
+        table_[: len(g), k] = g
     state = np.zeros((len(group), hidden), np.float32)
-    for t in range(0, int(sizes[0]), window):
+    for t in range(0, longest, window):
         lanes = int((sizes > t).sum())
-        steps = min(window, int(sizes[0]) - t)
-        ids, targets, mask = np.zeros((steps, lanes), np.int64), np.zeros((steps, lanes), np.int64), np.zeros((steps, lanes), np.float32)
-        for k in range(lanes):
-            part = group[k][t : t + steps + 1]
-            n = len(part) - 1
-            ids[:n, k], targets[:n, k], mask[:n, k] = part[:-1], part[1:], 1
-        yield ids, targets, mask, state, lanes
+        stop = min(t + window, longest)
+        mask = (np.arange(t, stop)[:, None] < sizes[:lanes]).astype(np.float32)
+        yield table_[t:stop, :lanes].astype(np.int64), table_[t + 1 : stop + 1, :lanes].astype(np.int64), mask, state, lanes
 
 
 def _docs(batches, *columns):
