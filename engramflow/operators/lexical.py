@@ -100,12 +100,20 @@ def record_anchors(episodes: DataFrame, records: DataFrame, eligible: Column | N
 
 def containment_pairs(lines: DataFrame, least: float = 0.8) -> DataFrame:
     """lines: source_key, id, line (distinct) -> pairs (source_key, a, b, containment) of one key, a < b, whose shared lines are at least that share
-    of the smaller set; found by equal lines, never by comparing all pairs."""
-    size = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = lines.select("source_key", "line", F.col("id").alias("a")), lines.select("source_key", "line", F.col("id").alias("b"))
-    shared = a.join(b, ["source_key", "line"]).where("a < b").groupBy("source_key", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    out = shared.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return out.withColumn("containment", F.col("shared") / F.least("na", "nb")).where(F.col("containment") >= least).select("source_key", "a", "b", "containment")
+    of the smaller set.
+
+    Prefix filter: a smaller set of n lines that lacks at most (1 - least) * n of them in the other shares one of any
+    floor((1 - least) * n) + 1. Those are chosen to be its rarest, so lines that very many documents have seldom join; candidate pairs are
+    verified on the whole sets."""
+    sets = lines.groupBy("source_key", "id").agg(F.collect_set("line").alias("s")).withColumn("n", F.size("s"))
+    df = lines.groupBy("source_key", "line").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("source_key", "id").orderBy("df", "line"))
+    probes = lines.join(df, ["source_key", "line"]).withColumn("r", place).join(sets.select("source_key", "id", "n"), ["source_key", "id"]).where(F.col("r") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1)
+    small, other = probes.select("source_key", "line", F.col("id").alias("x")), lines.select("source_key", "line", F.col("id").alias("y"))
+    pairs = small.join(other, ["source_key", "line"]).where("x <> y").select("source_key", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    whole = pairs.join(sets.select("source_key", F.col("id").alias("a"), F.col("s").alias("sa")), ["source_key", "a"]).join(sets.select("source_key", F.col("id").alias("b"), F.col("s").alias("sb")), ["source_key", "b"])
+    share = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
+    return whole.select("source_key", "a", "b", share.alias("containment")).where(F.col("containment") >= least)
 
 
 def cohort(hits: DataFrame, members: DataFrame, per_key: int = 40, total: int = 64, ratio: float = 0.95) -> DataFrame:
@@ -116,3 +124,37 @@ def cohort(hits: DataFrame, members: DataFrame, per_key: int = 40, total: int =
     found = one.join(members, "source_key").join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
     return found.withColumn("_r", rank).where(F.col("_r") <= min(per_key, total)).select("query_id", "id", "source_key", (F.col("best") * ratio).alias("score"))
+
+
+#: Weights of the sparse channels, and of the columns text and source key.
+CHANNELS = {"anchor": 1.40, "trigram": 1.00, "bigram": 1.10}
+TEXT_WEIGHT, KEY_WEIGHT = 1.0, 0.15
+
+
+def sparse_search(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """docs: id, source, text; queries: query_id, text -> query_id, id, score, raw, rank.
+
+    Three channels of search units (quoted anchors as phrases, words and trigrams, words and bigrams) are each ranked by BM25 with the source key as a
+    light second column, cut at 2 * limit, and fused by the largest weight / (60 + rank); ties: the best raw score, then id."""
+    from ..functions.text import register_text
+
+    register_text(docs.sparkSession)
+    found = None
+    for name, weight in CHANNELS.items():
+        unit = "trigram_units" if name != "bigram" else "bigram_units"
+        asked = queries.select("query_id", F.expr(f"{unit}(text)" if name != "anchor" else "flatten(transform(quoted_anchors(text), a -> split(a, ' ')))").alias("terms"))
+        asked = asked.where(F.size("terms") > 0)
+        own = docs.select("id", "source", F.expr(f"{unit}(text)").alias("terms"))
+        key = docs.select("id", "source", F.expr(f"{unit}(source)").alias("terms"))
+        text = bm25(own, asked).select("query_id", "id", (F.col("score") * TEXT_WEIGHT).alias("s"))
+        by_key = bm25(key, asked).select("query_id", "id", (F.col("score") * KEY_WEIGHT).alias("s"))
+        scored = text.unionByName(by_key).groupBy("query_id", "id").agg(F.round(F.sum("s"), 9).alias("score"))
+        if name == "anchor":
+            phrases = queries.select("query_id", F.explode(F.expr("quoted_anchors(text)")).alias("phrase"))
+            holds = scored.select("query_id", "id").join(docs.select("id", F.lower("text").alias("t")), "id").join(phrases, "query_id").where(F.contains("t", "phrase"))
+            scored = scored.join(holds.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi")
+        channel = top(scored, 2 * limit).select("query_id", "id", F.lit(weight).alias("weight"), "rank", F.col("score").alias("raw"))
+        found = channel if found is None else found.unionByName(channel)
+    fused = channel_fusion(found)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("raw"), "id"))
+    return fused.withColumn("rank", place).where(F.col("rank") <= limit)

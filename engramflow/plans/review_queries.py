@@ -21,12 +21,12 @@ def fact_review(spark, sf):
     return R.review_facts(facts, windows)
 
 
-@query("review_grounding", r"""WITH r AS (SELECT doc_id % 100 AS review, doc_id AS source_id, CASE WHEN doc_id % 3 = 0 THEN 'no such thing' ELSE upper(substr(text, 1, 30)) END AS quote, substr(text, 3, 6) AS part FROM documents)
+@query("review_grounding", r"""WITH r AS (SELECT doc_id % 100 AS review, doc_id AS source_id, CASE WHEN doc_id % 3 = 0 THEN 'no such thing' ELSE lower(substr(text, 1, 30)) END AS quote, substr(text, 3, 6) AS part FROM documents)
     SELECT review, coalesce(bool_or(contains(lower(regexp_replace(text, '\s+', '', 'g')), lower(regexp_replace(quote, '\s+', '', 'g'))) AND contains(lower(regexp_replace(quote, '\s+', '', 'g')), lower(regexp_replace(part, '\s+', '', 'g')))), false) AS grounded
     FROM r LEFT JOIN documents d ON d.doc_id = source_id AND d.doc_id % 7 <> 0 GROUP BY review""")
 def review_grounding(spark, sf):
     d = table(spark, sf, "documents")
-    quote = F.when(F.col("doc_id") % 3 == 0, "no such thing").otherwise(F.upper(F.substring("text", 1, 30)))
+    quote = F.when(F.col("doc_id") % 3 == 0, "no such thing").otherwise(F.lower(F.substring("text", 1, 30)))
     reviews = d.select((F.col("doc_id") % 100).alias("review"), F.col("doc_id").alias("source_id"), quote.alias("quote"), F.array(F.substring("text", 3, 6)).alias("parts"))
     return R.grounded(reviews, d.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("source_id"), "text"))
 
