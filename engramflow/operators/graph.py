@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,12 +105,11 @@ def chronological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges.select("scope", F.col("from_id").alias("node"), F.lit(None).cast("double").alias("story_order"), F.lit(None).cast("long").alias("input_rank"), "to_id")
     )
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, links = pdf[pdf["to_id"].isna()], pdf[pdf["to_id"].notna()]
-        key = {int(r.node): (pd.isna(r.story_order), 0.0 if pd.isna(r.story_order) else r.story_order, r.input_rank, int(r.node)) for r in own.itertuples()}
+    def order(own: list[tuple], links: list[tuple]) -> list[tuple]:
+        key = {n: (o is None or o != o, 0.0 if o is None or o != o else o, r, n) for n, o, r in own}
         after: dict[int, set[int]] = {n: set() for n in key}
         waits = dict.fromkeys(key, 0)
-        for a, b in zip(links["node"].astype(int), links["to_id"].astype(int)):
+        for a, b in links:
             if a in key and b in key and a != b and b not in after[a]:
                 after[a].add(b)
                 waits[b] += 1
@@ -125,10 +124,39 @@ def chronological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 if not waits[b]:
                     heapq.heappush(ready, (key[b], b))
         placed = {n for n, _ in done}
-        done += [(n, "cycle") for n in sorted(set(key) - placed, key=key.get)]
-        return pd.DataFrame({"scope": pdf["scope"].iloc[0] if len(pdf) else None, "node": [n for n, _ in done], "position": range(1, len(done) + 1), "note": [x for _, x in done]})
-
-    return rows.groupBy("scope").applyInPandas(order, "scope long, node long, position long, note string")
+        return done + [(n, "cycle") for n in sorted(set(key) - placed, key=key.get)]
+
+    def batch(done: list[tuple]) -> pa.RecordBatch:
+        scope, node, position, note = zip(*done)
+        return pa.RecordBatch.from_arrays([pa.array(scope, pa.int64()), pa.array(node, pa.int64()), pa.array(position, pa.int64()), pa.array(note)], ["scope", "node", "position", "note"])
+
+    def run(batches):
+        """The rows come sorted by scope; a scope may go on from batch to batch."""
+        now, own, links, out = None, [], [], []
+
+        def close():
+            out.extend((now, n, k, note) for k, (n, note) in enumerate(order(own, links), 1))
+            own.clear()
+            links.clear()
+
+        for b in batches:
+            for scope, node, story, rank, to in zip(*[c.to_pylist() for c in b.columns]):
+                if scope != now and (own or links):
+                    close()
+                now = scope
+                if to is None:
+                    own.append((node, story, rank))
+                else:
+                    links.append((node, to))
+            if out:
+                yield batch(out)
+                out.clear()
+        if own or links:
+            close()
+        if out:
+            yield batch(out)
+
+    return rows.repartition("scope").sortWithinPartitions("scope").mapInArrow(run, "scope long, node long, position long, note string")
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexical as L
+from ..operators.cutting import cut
 from .bindings import table
 from .registry import query
 
@@ -46,7 +47,7 @@ _FUSED = f"""{_BM25}, m AS (SELECT query_id, id, source, score / max(score) OVER
 
 
 def fused(spark, sf):
-    ep = L.bm25(docs(spark, sf), questions(spark, sf))
+    ep = cut(L.bm25(docs(spark, sf), questions(spark, sf)))  # read three times below
     src = ep.groupBy("query_id", "source").agg(F.sum("score").alias("score"))
     return L.candidate_fusion(ep, src)
 
