@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .cutting import cut
 
+#: Fixed value: what an edge keeps of a score.
 DECAY = 0.85
 
 

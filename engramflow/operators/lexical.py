@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Saturation and length normalisation of BM25.
 K1, B = 1.2, 0.75
 
 
