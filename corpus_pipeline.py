@@ -1,13 +1,13 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 1. quality: the rules' rejects go.
-2. near_duplicates: of each group that SimHash links, the document with the smallest id stays.
+2. near_duplicates: of each group linked by a similarity of 0.8 or more in five-word shingles, one row stays (the smallest id).
 3. decontaminate: documents that hold a benchmark item go.
 4. pii: personal data in texts becomes its kind in angle brackets; n_chars follows.
 5. tokens: the texts as SentencePiece ids.
 
 All stages but the last return the columns of documents. Edge cases are those of the operators: null texts fail the
-quality rules, null ids pass stage 2 one by one, empty tables stay empty.
+quality rules, null ids come last in stage 2, empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramflow.llm import decontaminate, pii, quality_rules, sentencepiece, simhash
+from engramflow.llm import decontaminate, near_copies, pii, quality_rules, sentencepiece
 from engramflow.llm.common import table
 
 
@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
