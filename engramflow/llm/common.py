@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cutting import cut, shared_folder
+
+__all__ = ["SPACE", "cut", "pick", "shared_folder", "shuffle_parts", "table"]
+
 #: The six ASCII white-space characters that separate words.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -26,13 +28,5 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: checkpoint() into the folder the cluster shares (spark.checkpoint.dir)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="engramflow-"))
-    return df.checkpoint()
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,14 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import pick, shuffle_parts
 
-BLOCK_BYTES = 4 << 20
+#: Text of a block, and keys that a bucket receives, about, for inputs up to SMALL bytes; both grow with the root of larger inputs (see wider()).
+BLOCK_BYTES, BUCKET_KEYS, SMALL = 4 << 20, 4 << 20, 30 << 30
 #: Text that a task holds before it packs it.
 PIECE_BYTES = 32 << 20
-#: Keys that a bucket receives, about.
-BUCKET_KEYS = 4 << 20
 MESSAGE = "bucket int, block int, kind int, payload binary"
 ANSWER = "block int, kind int, bucket int, payload binary"
-LAST = np.iinfo(np.int64).max
+
+
+def wider(n_bytes: int) -> float:
+    """How much larger blocks and buckets are than for a small input. The root keeps the number of messages, blocks times buckets, in proportion to the
+    input; memory of a task grows with it (a factor of 58 from 30 GB to 100 TB)."""
+    return max(1.0, math.sqrt(n_bytes / SMALL))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -98,30 +102,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The documents of one block, one after another in one buffer, ordered by id, then text."""
+    """The documents of one block, one after another in one buffer, ordered by id (null last), then text; the ids of null are 0 and marked."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes]):
-        order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+    def __init__(self, ids: np.ndarray, texts: list[bytes], null: np.ndarray | None = None):
+        null = np.zeros(len(texts), bool) if null is None else null
+        order = sorted(range(len(texts)), key=lambda i: (null[i], ids[i], texts[i]))
         self.texts = [texts[i] for i in order]
-        self.ids = ids[order] if len(order) else ids
+        self.ids, self.null = (ids[order], null[order]) if len(order) else (ids, null)
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.ends = np.cumsum(self.sizes)
 
     @classmethod
     def of(cls, rows: pa.Table) -> Block:
         """The block that packed pieces make up."""
-        ids, texts = [np.zeros(0, np.int64)], []
+        ids, null, texts = [np.zeros(0, np.int64)], [np.zeros(0, bool)], []
         for piece in rows.column("piece").to_pylist():
-            own, sizes, data = split_parts(piece)
+            own, none, sizes, data = split_parts(piece)
             ids.append(unpack(own, np.int64))
+            null.append(unpack(none, np.uint8).astype(bool))
             data, at = zstandard.ZstdDecompressor().decompress(data), 0
             for n in unpack(sizes, np.int64).tolist():
                 texts.append(data[at : at + n])
                 at += n
-        return cls(np.concatenate(ids), texts)
+        return cls(np.concatenate(ids), texts, np.concatenate(null))
 
     def out_ids(self) -> pa.Array:
-        return pa.array(self.ids, mask=self.ids == LAST)
+        return pa.array(self.ids, mask=self.null)
 
 
 def _packed(batches):
@@ -133,14 +139,14 @@ def _packed(batches):
         blocks, pieces = [], []
         for block, (ids, texts) in held.items():
             blocks.append(block)
-            pieces.append(join_parts([pack(np.array(ids, np.int64)), pack(np.array([len(t) for t in texts], np.int64)), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]))
+            pieces.append(join_parts([pack(np.array([i or 0 for i in ids], np.int64)), pack(np.array([i is None for i in ids], np.uint8)), pack(np.array([len(t) for t in texts], np.int64)), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]))
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(pieces, pa.binary())], ["block", "piece"])
 
     for b in batches:
         for block, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             ids, texts = held.setdefault(block, ([], []))
-            ids.append(LAST if i is None else i)
+            ids.append(i)
             texts.append(t)
             size += len(t)
             if size >= PIECE_BYTES:
@@ -151,12 +157,12 @@ def _packed(batches):
 
 
 def blocked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(block and packed pieces of its documents, dealt by block; the bytes of all texts). Null ids come last, null text is empty."""
+    """(block and packed pieces of its documents, dealt by id and text, so rows of one id are spread; the bytes of all texts). Null text is empty."""
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(n_bytes / BLOCK_BYTES))
+    blocks = max(1, math.ceil(n_bytes / BLOCK_BYTES / wider(n_bytes)))
     parts = shuffle_parts(docs.sparkSession)
-    keyed = d.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    keyed = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
     return keyed.mapInArrow(_packed, "block int, piece binary").repartition(max(parts, min(blocks, 4 * parts)), "block"), n_bytes
 
 

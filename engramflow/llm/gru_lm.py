@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .exchange import LAST, Block, answer, ask, bucketed, join_parts, pack, pack_sorted, split_parts, unpack, unpack_sorted
+from .exchange import Block, answer, ask, bucketed, join_parts, pack, pack_sorted, split_parts, unpack, unpack_sorted, wider
 from .exchange import blocked as deal
 
 HIDDEN, HEAD, CLASSES, WINDOW, LANES, PIECE = 16, 1024, 24, 16, 512, 1024
@@ -72,12 +72,12 @@ class Tokens:
         self.sizes = np.diff(last, prepend=-1)
         self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
         self.order = np.argsort(self.hash)
-        self.held = np.array([held_out(None if i == LAST else int(i)) for i in block.ids.tolist()], bool)
+        self.held = np.array([held_out(None if none else i) for i, none in zip(block.ids.tolist(), block.null.tolist())], bool)
 
 
 class Counting:
     def __init__(self, n_bytes: int):
-        self.buckets = max(1, math.ceil(n_bytes / 30 / BUCKET_KEYS))
+        self.buckets = max(1, math.ceil(n_bytes / 30 / BUCKET_KEYS / wider(n_bytes)))
 
     def send(self, block: Block):
         t = Tokens(block)

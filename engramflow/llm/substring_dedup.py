@@ -3,14 +3,14 @@ r"""Substring deduplication with a count-min prefilter.
 A window is ``width`` consecutive words of one document (words ``[^\x20\x09-\x0D]+``, unchanged). A word
 goes if a window that covers it has a word sequence that also starts anywhere else.
 
-1. Every block of documents makes a sketch of its windows: a row of ``2**bits`` counters, kept as the sorted list of
-   counters that are not zero, each 1 or 2 (two or more). The width is ``SPREAD`` times the number of bytes over 6, so the
-   sketch grows with the input. Buckets own ranges of counters: they merge the blocks' sketches and
-   tell each block which of its counters are 2 or more. Merged counters never underestimate, so no
-   repeated window is lost.
-2. Only windows on such counters are sent on: their 128-bit hashes, grouped exactly by buckets of their
-   own. (Two independent 64-bit polynomial hashes over two word hashes; chance equality is
-   about n**2 / 2**129.)
+1. Every block of documents makes a count-min sketch of its windows: ``ROWS`` rows of ``2**bits`` counters, each row under a hash of its
+   own, kept as the sorted list of counters that are not zero, each 1 or 2 (two or more; more is never asked). The width is
+   ``SPREAD`` times the number of bytes over 6, so the sketch grows with the input. Buckets own ranges of a row's counters: they
+   merge the blocks' sketches by adding and tell each block which of its counters are 2 or more. A window's estimate is the
+   least of its counters; merged counters never underestimate, so no repeated window is lost.
+2. Only windows estimated at 2 or more are sent on: their 128-bit hashes, grouped exactly by buckets of their
+   own. (Two independent 64-bit polynomial hashes over two word hashes; windows with equal hashes count as equal, by chance with odds of
+   about n**2 / 2**129 for n windows.)
 3. Each block removes the words its repeated windows cover.
 
 A block sends a key once with its count (one or more), so a window that a third of all documents hold
@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import table
-from .exchange import BUCKET_KEYS, Block, answer, ask, ask_again, blocked, bucketed, finish, join_parts, mixed, pack, pack_sorted, powers, rolled, split_parts, unpack, unpack_sorted
+from .exchange import BUCKET_KEYS, Block, answer, ask, ask_again, blocked, bucketed, finish, join_parts, mixed, pack, pack_sorted, powers, rolled, split_parts, unpack, unpack_sorted, wider
 
-WIDTH, SPREAD = 35, 16
+WIDTH, SPREAD, ROWS = 35, 8, 2
 #: Odd multipliers of the polynomial hashes: over bytes of a word, then over words; two of each.
 BASES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-SKETCH, EXACT = 0, 1
+#: Kinds of messages: the sketch's rows are 0 and up.
+EXACT = 100
 
 
 def words_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,26 +96,32 @@ class Plan:
         self.width = width
         expected = max(1, n_bytes // 6)
         self.shift = np.uint64(max(0, 64 - math.ceil(math.log2(expected * SPREAD + 1))))
-        self.buckets = max(1, math.ceil(expected / BUCKET_KEYS))
+        self.buckets = max(1, math.ceil(expected / BUCKET_KEYS / wider(n_bytes)))
 
-    def sketch(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _count(h >> self.shift << self.shift)
+    def counters(self, hashes: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """The counter of each window in each row of the sketch."""
+        return [hashes[row] >> self.shift << self.shift for row in range(ROWS)]
 
     def _pieces(self, keys):
         return bucketed(keys, self.buckets)
 
     def send_sketch(self, block: Block):
-        _, h, _, _ = windows(block, self.width)
-        keys, many = self.sketch(h)
-        for b, i, j in self._pieces(keys):
-            yield SKETCH, b, join_parts([pack_sorted(keys[i:j] >> self.shift), pack(np.packbits(many[i:j]))])
-
-    def candidates(self, h: np.ndarray, answers: dict) -> np.ndarray:
-        keys, _ = self.sketch(h)
-        marked = np.zeros(len(keys), bool)
-        for b, i, j in self._pieces(keys):
-            marked[i:j] = np.unpackbits(unpack(answers[SKETCH, b], np.uint8), count=j - i)
-        return marked[np.searchsorted(keys, h >> self.shift << self.shift)]
+        _, h, g, _ = windows(block, self.width)
+        for row, counter in enumerate(self.counters((h, g))):
+            keys, many = _count(counter)
+            for b, i, j in self._pieces(keys):
+                yield row, b, join_parts([pack_sorted(keys[i:j] >> self.shift), pack(np.packbits(many[i:j]))])
+
+    def candidates(self, h: np.ndarray, g: np.ndarray, answers: dict) -> np.ndarray:
+        """Whether the least of a window's counters is 2 or more."""
+        found = np.ones(len(h), bool)
+        for row, counter in enumerate(self.counters((h, g))):
+            keys, _ = _count(counter)
+            marked = np.zeros(len(keys), bool)
+            for b, i, j in self._pieces(keys):
+                marked[i:j] = np.unpackbits(unpack(answers[row, b], np.uint8), count=j - i)
+            found &= marked[np.searchsorted(keys, counter)]
+        return found
 
     def exact(self, h: np.ndarray, g: np.ndarray):
         """(order of the windows by key, first of each key)"""
@@ -125,7 +132,7 @@ class Plan:
 
     def send_exact(self, block: Block, answers: dict):
         _, h, g, _ = windows(block, self.width)
-        some = self.candidates(h, answers)
+        some = self.candidates(h, g, answers)
         h, g = h[some], g[some]
         order, new = self.exact(h, g)
         first = np.flatnonzero(new)
@@ -141,7 +148,7 @@ class Plan:
         edges = np.concatenate([[0], np.cumsum(sizes)])
         many = np.concatenate([np.unpackbits(unpack(p[-1], np.uint8), count=n) for p, n in zip(parts, sizes)]).astype(bool)
         h = np.concatenate(keys)
-        if kind == SKETCH:
+        if kind < ROWS:
             order = np.argsort(h, kind="stable")
             s = h[order]
             new = np.concatenate([[True], s[1:] != s[:-1]])
@@ -156,7 +163,7 @@ class Plan:
     def repeated(self, block: Block, answers: dict) -> tuple[np.ndarray, np.ndarray]:
         """(whether each word of the block goes, words before each document)"""
         at, h, g, before = windows(block, self.width)
-        some = self.candidates(h, answers)
+        some = self.candidates(h, g, answers)
         at, h, g = at[some], h[some], g[some]
         order, new = self.exact(h, g)
         hit = np.zeros(int(new.sum()), bool)

@@ -9,14 +9,14 @@ their anchors at the same place, and only suffixes that start at anchors (one by
 sorting, each with its context of up to ``length - GRAM`` bytes before it.
 
 1. Blocks send the hashes of their anchors' grams to buckets (about three bytes each) and learn which grams
-   occur in more than one document, and which in more than ``HOT`` places.
-2. Suffixes of such grams go, with their context, to buckets that range-partition them by their leading
-   eight bytes at sampled splitters. A bucket sorts its suffixes by multikey quicksort, eight bytes a
+   occur in more than one document, and which in more than ``HOT`` places (about what fills a bucket by itself).
+2. Suffixes of such grams go, with their context, to buckets that range-partition them by their leading gram at splitters
+   sampled from all partitions. A bucket sorts its suffixes by multikey quicksort, eight bytes a
    key, and the contexts, read backwards, likewise; neighbours' common prefixes turn both orders
-   into classes for each length. Windows are equal if the classes of their two sides are. As all
-   suffixes with equal leading bytes fall between the same two splitters, no match crosses a boundary.
-   Windows of grams that occur in more than ``HOT`` places would fill one bucket; they are dealt out
-   by a 128-bit hash of the window instead, sent once a block with the smallest id there.
+   into classes for each length. Windows are equal if the classes of their two sides are. A splitter is a whole gram and every
+   match has its gram in common, so two suffixes on either side of a boundary have no match to compare.
+   A gram of more than ``HOT`` places is a hot group: it is split by its windows, which are dealt out
+   by a 128-bit hash of the window and sent once a block with the smallest id there.
 3. Blocks remove what their windows cover.
 
 Within a block equal suffixes with equal contexts are sent once, with the smallest id.
@@ -37,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, table
-from .exchange import Block, answer, ask, ask_again, blocked, bucketed, finish, join_parts, mixed, pack, pack_sorted, rolled, split_parts, unpack, unpack_sorted
+from .exchange import Block, answer, ask, ask_again, blocked, bucketed, finish, join_parts, mixed, pack, pack_sorted, rolled, split_parts, unpack, unpack_sorted, wider
 
-LENGTH, GRAM, HOT = 50, 16, 4096
+LENGTH, GRAM = 50, 16
 #: Anchors that a bucket of grams, and bytes of text for which a bucket of suffixes, receives, about.
 GRAM_KEYS, SUFFIX_BYTES = 2 << 20, 8 << 20
-#: Suffixes looked at for splitters, at most.
-SAMPLE = 20_000
+#: Places of a gram that are still sorted in one bucket.
+HOT = SUFFIX_BYTES // (2 * LENGTH)
+#: Suffixes looked at for a splitter, about.
+SAMPLE = 20
 SLICE = 1 << 18
 BASE, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 GRAMS, SUFFIXES, WINDOWS = 0, 1, 2
@@ -84,18 +86,19 @@ class Anchors:
         good = (low <= high) & (at >= begin)
         self.at, self.low, self.high, self.gram, self.document = at[good], low[good], high[good], gram[good], document[good]
         self.ids = block.ids[self.document] if len(block.ids) else np.zeros(0, np.int64)
+        self.late = block.null[self.document] if len(block.ids) else np.zeros(0, bool)
         self.length = length
 
     def only(self, chosen: np.ndarray) -> Anchors:
         part = object.__new__(Anchors)
         part.buf, part.length = self.buf, self.length
-        for k in ("at", "low", "high", "gram", "document", "ids"):
+        for k in ("at", "low", "high", "gram", "document", "ids", "late"):
             setattr(part, k, getattr(self, k)[chosen])
         return part
 
     def leading(self) -> np.ndarray:
-        """The eight bytes at each anchor as a number that orders like them."""
-        return self.buf[self.at[:, None] + np.arange(8)].copy().view(">u8").astype(np.uint64).reshape(-1)
+        """The gram at each anchor."""
+        return np.ascontiguousarray(self.buf[self.at[:, None] + np.arange(GRAM)]).view(f"S{GRAM}").reshape(-1)
 
     def segments(self) -> tuple[list[bytes], np.ndarray]:
         """Equal suffixes with equal contexts once: their bytes, and which of them each anchor has."""
@@ -137,18 +140,33 @@ def _side(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int, wi
     return order, common
 
 
-def _earlier(groups: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _least(number: np.ndarray, n: int, ids: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the smallest id, whether all are null) of each of n groups; null ids come after all others."""
+    least, none = np.full(n, np.iinfo(np.int64).max), np.ones(n, bool)
+    np.minimum.at(least, number[~late], ids[~late])
+    none[number[~late]] = False
+    return least, none
+
+
+def _after(ids: np.ndarray, late: np.ndarray, least: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """Whether ids come after their groups' least."""
+    return ~none & (late | (ids > least))
+
+
+def _earlier(groups: np.ndarray, ids: np.ndarray, late: np.ndarray) -> np.ndarray:
     """Whether a smaller id has the same group."""
     order = np.argsort(groups, kind="stable")
     s = groups[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    least = np.minimum.reduceat(ids[order], first)
+    known = np.where(late, np.iinfo(np.int64).max, ids)[order]
+    many = np.diff(np.append(first, len(s)))
+    least, none = np.repeat(np.minimum.reduceat(known, first), many), np.repeat(np.logical_and.reduceat(late[order], first), many)
     hit = np.empty(len(ids), bool)
-    hit[order] = ids[order] > np.repeat(least, np.diff(np.append(first, len(s))))
+    hit[order] = _after(ids[order], late[order], least, none)
     return hit
 
 
-def compare_suffixes(segments: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+def compare_suffixes(segments: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, late: np.ndarray, length: int) -> np.ndarray:
     """For each suffix (its segment of the joined bytes, its offset in it) a bit for each window, by the window's
     distance to the anchor: whether a smaller id has the window."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
@@ -164,7 +182,7 @@ def compare_suffixes(segments: np.ndarray, sizes: np.ndarray, offsets: np.ndarra
         right[order] = np.cumsum(common < length - o)
         left[back_order] = np.cumsum(back_common < o)
         at = np.flatnonzero(chosen)
-        hit = _earlier(right[at] * (len(sizes) + 1) + left[at], ids[at])
+        hit = _earlier(right[at] * (len(sizes) + 1) + left[at], ids[at], late[at])
         bits[at[hit]] |= np.uint64(1) << np.uint64(o)
     return bits
 
@@ -173,10 +191,10 @@ class Plan:
     """Sizes and splitters fixed on the driver; the bodies of the passes."""
 
     def __init__(self, n_bytes: int, length: int, splitters: np.ndarray):
-        self.length, self.splitters, self.hot, self.piece = length, splitters, HOT, SLICE
+        self.length, self.splitters, self.hot, self.piece = length, splitters, HOT * wider(n_bytes), SLICE
         expected = max(1, n_bytes // 18)
         self.shift = np.uint64(max(0, 64 - math.ceil(math.log2(expected + 1)) - 8))
-        self.buckets = max(1, math.ceil(expected / GRAM_KEYS))
+        self.buckets = max(1, math.ceil(expected / GRAM_KEYS / wider(n_bytes)))
 
     def grams(self, anchors: Anchors):
         """(each anchor's key's number, keys, places of each, whether in two documents)"""
@@ -189,7 +207,7 @@ class Plan:
     def send_grams(self, block: Block):
         _, keys, count, many = self.grams(Anchors(block, self.length, self.piece))
         for b, i, j in bucketed(keys, self.buckets):
-            yield GRAMS, b, join_parts([pack_sorted(keys[i:j] >> self.shift), pack(np.minimum(count[i:j], 1 << 16).astype(np.uint32)), pack(np.packbits(many[i:j]))])
+            yield GRAMS, b, join_parts([pack_sorted(keys[i:j] >> self.shift), pack(count[i:j].astype(np.uint32)), pack(np.packbits(many[i:j]))])
 
     def reply_grams(self, payloads: list[bytes]) -> list[bytes]:
         parts = [split_parts(p) for p in payloads]
@@ -219,25 +237,23 @@ class Plan:
         return anchors.only(code[number] == 1), anchors.only(code[number] == 2)
 
     def suffixes(self, anchors: Anchors):
-        """(each anchor's segment's number in order of sending, segments, smallest ids, (bucket, start, end))"""
+        """(each anchor's segment's number in order of sending, segments, smallest ids, whether null, (bucket, start, end))"""
         segments, which = anchors.segments()
-        ids = np.full(len(segments), np.iinfo(np.int64).max)
-        np.minimum.at(ids, which, anchors.ids)
-        leading = np.zeros(len(segments), np.uint64)
+        ids, late = _least(which, len(segments), anchors.ids, anchors.late)
+        leading = np.zeros(len(segments), f"S{GRAM}")
         leading[which] = anchors.leading()
         order = np.argsort(leading, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         edges = [0, *np.searchsorted(leading[order], self.splitters).tolist(), len(order)]
         pieces = [(b, edges[b], edges[b + 1]) for b in range(len(edges) - 1) if edges[b + 1] > edges[b]]
-        return back[which], [segments[i] for i in order.tolist()], ids[order], pieces
+        return back[which], [segments[i] for i in order.tolist()], ids[order], late[order], pieces
 
     def windows(self, anchors: Anchors):
-        """(each anchor's segment's number, segments' smallest ids, segment and place in it of each window,
-        its key's number, keys' two hashes, smallest ids)"""
+        """(each anchor's segment's number, segments' smallest ids and whether null, segment and place in it of each window,
+        its key's number, keys' two hashes, smallest ids, whether null)"""
         segments, which = anchors.segments()
-        least = np.full(len(segments), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, anchors.ids)
+        least = _least(which, len(segments), anchors.ids, anchors.late)
         sizes = np.array([len(s) for _, s in segments], np.int64)
         text = np.frombuffer(b"".join(s for _, s in segments), np.uint8).astype(np.uint64) + np.uint64(1)
         n = sizes - self.length + 1
@@ -245,7 +261,7 @@ class Plan:
         place = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
         if not len(segment):
             empty = np.zeros(0, np.uint64)
-            return which, least, segment, place, place, empty, empty, place
+            return which, least, segment, place, place, empty, empty, (place, place.astype(bool))
         at = np.repeat(np.cumsum(sizes) - sizes, n) + place
         h, g = (mixed(rolled(text, self.length, base)[at]) for base in (BASE, SECOND))
         del text, at
@@ -254,63 +270,63 @@ class Plan:
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
         number = np.empty(len(h), np.int64)
         number[order] = np.cumsum(new) - 1
-        first = np.full(int(new.sum()), np.iinfo(np.int64).max)
-        np.minimum.at(first, number, least[segment])
+        first = _least(number, int(new.sum()), least[0][segment], least[1][segment])
         return which, least, segment, place, number, h[new], g[new], first
 
     def send_again(self, block: Block, answers: dict):
         usual, frequent = self.divided(block, answers)
-        _, segments, ids, pieces = self.suffixes(usual)
+        _, segments, ids, late, pieces = self.suffixes(usual)
         for b, i, j in pieces:
             part = segments[i:j]
             text = np.frombuffer(b"".join(s for _, s in part), np.uint8)
-            yield SUFFIXES, b, join_parts([pack(text), pack(np.array([len(s) for _, s in part], np.uint8)), pack(np.array([o for o, _ in part], np.uint8)), pack(ids[i:j])])
-        *_, h, g, least = self.windows(frequent)
+            yield SUFFIXES, b, join_parts([pack(text), pack(np.array([len(s) for _, s in part], np.uint8)), pack(np.array([o for o, _ in part], np.uint8)), pack(ids[i:j]), pack(np.packbits(late[i:j]))])
+        *_, h, g, (least, none) = self.windows(frequent)
         for b, i, j in bucketed(h, self.buckets):
-            yield WINDOWS, b, join_parts([pack_sorted(h[i:j]), pack(g[i:j]), pack(least[i:j])])
+            yield WINDOWS, b, join_parts([pack_sorted(h[i:j]), pack(g[i:j]), pack(least[i:j]), pack(np.packbits(none[i:j]))])
 
     def reply(self, kind: int, payloads: list[bytes]) -> list[bytes]:
         if kind == GRAMS:
             return self.reply_grams(payloads)
         parts = [split_parts(p) for p in payloads]
-        ids = [unpack(p[-1], np.int64) for p in parts]
+        ids = [unpack(p[-2], np.int64) for p in parts]
         edges = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        late = np.concatenate([np.unpackbits(unpack(p[-1], np.uint8), count=len(x)) for p, x in zip(parts, ids)]).astype(bool)
         ids = np.concatenate(ids)
         if kind == SUFFIXES:
             text = np.concatenate([unpack(p[0], np.uint8) for p in parts])
             sizes, offsets = (np.concatenate([unpack(p[k], np.uint8) for p in parts]).astype(np.int64) for k in (1, 2))
-            bits = compare_suffixes(text, sizes, offsets, ids, self.length)
+            bits = compare_suffixes(text, sizes, offsets, ids, late, self.length)
             return [pack(bits[i:j]) for i, j in zip(edges, edges[1:])]
         h, g = np.concatenate([unpack_sorted(p[0]) for p in parts]), np.concatenate([unpack(p[1], np.uint64) for p in parts])
         order = np.lexsort((g, h))
         group = np.empty(len(h), np.int64)
         group[order] = np.cumsum(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]))
-        hit = _earlier(group, ids)
+        hit = _earlier(group, ids, late)
         return [pack(np.packbits(hit[i:j])) for i, j in zip(edges, edges[1:])]
 
     def removed(self, block: Block, answers: dict) -> np.ndarray:
         """Whether each byte of the block goes."""
         usual, frequent = self.divided(block, answers)
-        which, segments, least, pieces = self.suffixes(usual)
+        which, segments, least, none, pieces = self.suffixes(usual)
         bits = np.zeros(len(segments), np.uint64)
         for b, i, j in pieces:
             bits[i:j] = unpack(answers[SUFFIXES, b], np.uint64)
         mine = bits[which]
-        mine[usual.ids > least[which]] = np.iinfo(np.uint64).max
+        mine[_after(usual.ids, usual.late, least[which], none[which])] = np.iinfo(np.uint64).max
         gone = []
         for o in range(self.length - GRAM + 1):
             at = usual.at - o
             gone.append(at[(at >= usual.low) & (at <= usual.high) & ((mine >> np.uint64(o) & np.uint64(1)) == 1)])
-        which, least, segment, place, number, h, _, first = self.windows(frequent)
+        which, (least, none), segment, place, number, h, _, (first, no_first) = self.windows(frequent)
         hit = np.zeros(len(h), bool)
         for b, i, j in bucketed(h, self.buckets):
             hit[i:j] = np.unpackbits(unpack(answers[WINDOWS, b], np.uint8), count=j - i)
         if len(which):
             # windows that go, of each segment; of copies with larger ids all go
-            goes = hit[number] | (least[segment] > first[number])
+            goes = hit[number] | _after(least[segment], none[segment], first[number], no_first[number])
             n = np.bincount(segment, minlength=len(least))
             start = np.cumsum(n) - n
-            later = frequent.ids > least[which]
+            later = _after(frequent.ids, frequent.late, least[which], none[which])
             one = np.flatnonzero(~later)
             many = n[which[one]]
             at = np.repeat(start[which[one]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
@@ -325,22 +341,23 @@ class Plan:
 
 
 def _splitters(docs: DataFrame, n_bytes: int, length: int) -> np.ndarray:
-    """Quantiles of the leading bytes of sampled suffixes; they only balance the buckets."""
-    buckets = math.ceil(n_bytes / SUFFIX_BYTES)
+    """Quantiles of the leading grams of suffixes sampled from all partitions, about SAMPLE a bucket; they only balance the buckets."""
+    buckets = math.ceil(n_bytes / SUFFIX_BYTES / wider(n_bytes))
     if buckets < 2:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, f"S{GRAM}")
+    # a tenth of the anchors (one byte in 18) of a share of the documents
+    share = min(1.0, SAMPLE * buckets * 180 / n_bytes)
 
     def lead(batches):
         for b in batches:
-            for t in b.column(0).to_pylist():
-                found = Anchors(Block(np.zeros(1, np.int64), [t]), length)
-                take = found.only(np.arange(0, len(found.at), max(1, len(found.at) // 20)))
-                yield pa.RecordBatch.from_arrays([pa.array(take.leading().view(np.int64))], ["lead"])
+            found = Anchors(Block(np.zeros(b.num_rows, np.int64), b.column(0).to_pylist()), length)
+            take = found.only(np.arange(0, len(found.at), 10))
+            yield pa.RecordBatch.from_arrays([pa.array(take.leading().tolist(), pa.binary())], ["lead"])
 
     texts = pick(docs, "text").select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    share = min(1.0, SAMPLE * 50 / n_bytes)
-    seen = texts.sample(share, 7).mapInArrow(lead, "lead long").limit(SAMPLE).toPandas()["lead"].to_numpy().astype(np.int64).view(np.uint64)
-    return np.unique(np.sort(seen)[np.arange(1, buckets) * len(seen) // buckets]) if len(seen) else np.zeros(0, np.uint64)
+    rows = texts.sample(share, 7).mapInArrow(lead, "lead binary").toArrow()
+    seen = np.sort(np.array([bytes(x) for x in rows.column("lead").to_pylist()], f"S{GRAM}"))
+    return np.unique(seen[np.arange(1, buckets) * len(seen) // buckets]) if len(seen) else np.zeros(0, f"S{GRAM}")
 
 
 def _run(docs: DataFrame, length: int, make, schema: str) -> DataFrame:

@@ -89,3 +89,18 @@ def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {(r.doc_id, r.n_removed, r.kept_sha256) for r in suffix_dedup.query(spark, "/root/testdata/sf0.001").collect()}
     assert got == {(i, n, hashlib.sha256(t).hexdigest()) for i, n, t in brute_bytes(rows, 50)}
+
+
+def test_the_largest_id_is_no_null(spark):
+    most = (1 << 63) - 1
+    text = "a passage of fifty bytes or more that two rows have, word by word"
+    rows = [(most, text), (None, text), (most, text + "!")]
+    got = {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame(spark, rows), 50).collect()}
+    assert got == {(most, text.encode()), (None, b""), (most, (text + "!").encode())}
+    assert sorted(str(r.doc_id) for r in substring_dedup.remove_repeats(frame(spark, rows), 7).collect()) == ["9223372036854775807", "9223372036854775807", "None"]
+
+
+def test_messages_grow_with_the_input():
+    for n_bytes in (1 << 30, 30 << 30, 1 << 40, 100 << 40):
+        blocks, buckets = (n_bytes / size / exchange.wider(n_bytes) for size in (exchange.BLOCK_BYTES, suffix_dedup.SUFFIX_BYTES))
+        assert blocks * buckets <= max(1.1 * n_bytes / (30 << 30), 1) * (30 << 30) ** 2 / exchange.BLOCK_BYTES / suffix_dedup.SUFFIX_BYTES
