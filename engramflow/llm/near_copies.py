@@ -1,17 +1,23 @@
-r"""Near copies by the Jaccard similarity of five-word shingles, verified exactly.
+r"""Near copies by the Jaccard similarity of five-word shingles: found by SimHash and min-hash keys, verified exactly.
 
 Shingles: texts are lower-cased in A-Z, words are ``[^\x20\x09-\x0D]+``, shingles are ``WIDTH`` words (fewer words: the
 whole sequence); a text is the set of its shingles. Two texts are linked if |A & B| / |A | B| >= 4/5.
 
-Search: texts of the same words are one node. A node has ``BANDS`` keys, each of the minima of ``ROWS`` hash functions over its
-shingles, and a sketch of the low bytes of all those minima. Linked texts miss each other in all keys with probability
-(1 - 0.8^6)^64 < 4e-9, or agree in fewer than ``LEAST`` bytes of the sketch with less than 1e-10; so the search is complete but for these
-odds, and what it finds is compared shingle by shingle. Members of a key that links have already brought together
-are not compared again: the first round compares all members of a key with its first, the second each member with its best partners of other
-components by sketch, the third with all that are left.
-
-Scale: keys with one member go first. A key of more than ``BLOCK`` members is searched in pairs of blocks, so no
-task holds more than about twice as many; a key whose members are alike but not linked has pairs in proportion to the square of their number.
+1. Documents are dealt into blocks by a digest of their words, so texts of the same words meet and become one node (the smallest id's row).
+2. Blocks tell buckets which shingle hashes they hold and hear which of them another node holds (a counter sketch, as in
+   substring_dedup: it never takes a shared shingle for a single one). A node of n shingles of which u are its own alone
+   shares n - u at most; linked nodes share 4/5 of either, so nodes with 5 (n - u) < 4 n have no link and leave the search, with all texts
+   that are nobody's copies. The same counts bound each pair: |A & B| <= m, |A | B| >= n_a + n_b - m, m = min(n_a - u_a, n_b - u_b).
+3. The rest is searched by the Golay keys of operator 8 (five-word fingerprints within two bits) and by ``BANDS`` min-hash keys of ``ROWS`` minima each, as
+   two bits hold only the closest copies: at a similarity of 0.8 some ten of 64 bits differ. Linked texts miss each other in all bands with
+   probability (1 - 0.8^6)^64 < 4e-9.
+4. Candidates are verified shingle by shingle in rounds, between which links become components: first every member of a key with the key's
+   centre (its node with the fewest shingles of its own), then members with the centres of the key's other components, then all pairs of a key that are
+   still in different components and within the bound. So a group of many copies of one text costs a pair a member.
+
+Scale: keys with one member go first. The last round deals a key of more than ``BLOCK`` members in pairs of blocks, so no
+task holds more than about twice as many. A centre of many pairs is sent to ``SALTS`` places. Left quadratic: members of a key that are within the bound
+of each other, unlinked, and in different components.
 
 Edge cases: null text counts as empty; null ids come after all others; repeated rows are copies; empty tables stay empty; other columns are
 kept and never read.
@@ -19,20 +25,28 @@ kept and never read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from . import simhash
+from .common import cut, pick, shuffle_parts
 from .components import components
+from .exchange import PIECE_BYTES, _answers, _messages, answer, bucketed, join_parts, mixed, pack, pack_sorted, rolled, split_parts, unpack, wider
+from .exchange import Block as Texts
+from .substring_dedup import Plan as Sketch
+from .substring_dedup import word_hashes, words_of
 
 WIDTH, ROWS, BANDS, BLOCK = 5, 6, 64, 1024
-#: Shared bytes of the sketches of a pair that is compared.
-LEAST = 254
-#: Best partners a member is compared with, by round after the first; 0: all.
-PARTNERS = (8, 0)
+#: Text of a block of nodes, about; counters of the sketch a shingle.
+BLOCK_BYTES, SPREAD = 4 << 20, 64
+#: Pairs of a node from which on its text is sent to several places, and how many.
+MANY, SALTS = 128, 64
 _draw = np.random.default_rng(20)
 _TIMES = _draw.integers(0, 1 << 32, (ROWS * BANDS, 1), np.uint32) | np.uint32(1)
 _PLUS = _draw.integers(0, 1 << 32, (ROWS * BANDS, 1), np.uint32)
@@ -52,8 +66,8 @@ def linked(a: set[bytes], b: set[bytes]) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def sketch(found: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, low bytes of the minima) of a set of shingles."""
+def keys_of(found: set[bytes]) -> np.ndarray:
+    """The keys of a set of shingles, one a band."""
     digest = xxhash.xxh3_64_intdigest
     hashes = np.fromiter(map(digest, found), np.uint64, len(found)).astype(np.uint32)
     least = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
@@ -62,93 +76,196 @@ def sketch(found: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
         x += _PLUS
         np.minimum(least, x.min(1), out=least)
     keys = (least.reshape(BANDS, ROWS).astype(np.uint64) * _MIX).sum(1, dtype=np.uint64) + _BAND
-    return keys.view(np.int64), least.astype(np.uint8)
+    return keys.view(np.int64)
+
+
+class Nodes:
+    """The distinct sequences of words of a block, ordered by digest: text, and id (or null) and hash of the first row of each."""
+
+    def __init__(self, rows: pa.Table):
+        best: dict[bytes, tuple] = {}
+        for piece in rows.column("piece").to_pylist():
+            digests, ids, none, hashes, sizes, data = split_parts(piece)
+            ids, none, hashes, sizes = unpack(ids, np.int64), unpack(none, np.uint8), unpack(hashes, np.int64), unpack(sizes, np.int64)
+            data, at = zstandard.ZstdDecompressor().decompress(data), 0
+            for k, n in enumerate(sizes.tolist()):
+                row = (bool(none[k]), int(ids[k]), int(hashes[k]))
+                key = digests[16 * k : 16 * k + 16]
+                if key not in best or row < best[key][0]:
+                    best[key] = (row, data[at : at + n])
+                at += n
+        keys = sorted(best)
+        self.rows, self.texts = [best[k][0] for k in keys], [best[k][1] for k in keys]
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node, hash) of every distinct shingle hash of every node of more than WIDTH words; others can only be linked to their equals."""
+        block = Texts(np.arange(len(self.texts)), [t.lower() for t in self.texts])
+        starts, ends, before, buf = words_of(block)
+        words, n = word_hashes(starts, ends, buf), np.diff(before)
+        at = np.flatnonzero((np.arange(len(words)) + WIDTH <= np.repeat(before[1:], n)) & np.repeat(n > WIDTH, n)) if len(words) else np.zeros(0, np.int64)
+        if not len(at):
+            return at, np.zeros(0, np.uint64)
+        node = block.ids[np.repeat(np.arange(len(n)), n)[at]]
+        hashes = mixed(rolled(words, WIDTH, 0xD6E8FEB86659FD93)[at])
+        order = np.lexsort((hashes, node))
+        node, hashes = node[order], hashes[order]
+        new = np.concatenate([[True], (node[1:] != node[:-1]) | (hashes[1:] != hashes[:-1])])
+        return node[new], hashes[new]
+
+
+def _packed(blocks: int):
+    """A task's rows by block; rows of the same words are one from here on (the first of them)."""
 
+    def run(batches):
+        held: dict[int, dict[bytes, tuple]] = {}
+        size = 0
+
+        def flush():
+            names, pieces = [], []
+            for block, rows in held.items():
+                first = [r for r, _ in rows.values()]
+                names.append(block)
+                pieces.append(join_parts([
+                    b"".join(rows), pack(np.array([i for _, i, _ in first], np.int64)), pack(np.array([n for n, _, _ in first], np.uint8)), pack(np.array([h for _, _, h in first], np.int64)),
+                    pack(np.array([len(t) for _, t in rows.values()], np.int64)), zstandard.ZstdCompressor(level=1).compress(b"".join(t for _, t in rows.values())),
+                ]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(pieces, pa.binary())], ["block", "piece"])
 
-def _first(row):
-    """The first of rows (doc_id, h); null ids come last."""
-    return F.min_by(row, F.struct(row["doc_id"].isNull(), row["doc_id"], row["h"])).alias("row")
+        for b in batches:
+            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                t = t or b""
+                key = xxhash.xxh3_128_digest(b" ".join(t.lower().split()))
+                rows = held.setdefault(int.from_bytes(key[:8], "little") % blocks, {})
+                row, old = (i is None, i or 0, h), rows.get(key)
+                if old is None:
+                    size += len(t)
+                if old is None or row < old[0]:
+                    rows[key] = (row, t)
+                if size >= PIECE_BYTES:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
+    return run
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, h (a hash of the text), words (a digest of its words), keys of every row."""
 
-    def run(batches):
-        for b in batches:
-            digests, keys = [], []
-            for t in b.column(2):
-                t = t.as_py() or b""
-                digests.append(xxhash.xxh3_128_digest(b" ".join(t.lower().split())))
-                keys.append(sketch(shingles(t))[0].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "h", "words", "keys"])
+_NODE = "node long, doc_id long, h long, n int, u int, text binary"
 
-    d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(run, "doc_id long, h long, words binary, keys binary")
 
+def _nodes(docs: DataFrame) -> DataFrame:
+    """node, doc_id, h (a hash of the text) of the first row of each sequence of words; n, u and text only of nodes that may have a link."""
+    d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(n_bytes / BLOCK_BYTES / wider(n_bytes)))
+    parts = shuffle_parts(docs.sparkSession)
+    dealt = d.mapInArrow(_packed(blocks), "block int, piece binary").repartition(max(parts, min(blocks, 4 * parts)), "block")
+    plan = Sketch(n_bytes, WIDTH, SPREAD)
+
+    def counted(hashes: np.ndarray):
+        """(counters, of how many nodes, each hash's counter)"""
+        return np.unique(plan.counters((hashes, hashes))[0], return_inverse=True, return_counts=True)
+
+    def send(rows: pa.Table) -> pa.Table:
+        keys, _, n = counted(Nodes(rows).shingles()[1])
+        sent = [(0, b, join_parts([pack_sorted(keys[i:j] >> plan.shift), pack(np.packbits(n[i:j] > 1))])) for b, i, j in bucketed(keys, plan.buckets)]
+        return _messages(rows.column("block")[0].as_py(), sent)
+
+    def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
+        nodes, answers = Nodes(rows), _answers(found)
+        node, hashes = nodes.shingles()
+        keys, which, _ = counted(hashes)
+        shared = np.zeros(len(keys), bool)
+        for b, i, j in bucketed(keys, plan.buckets):
+            shared[i:j] = np.unpackbits(unpack(answers[0, b], np.uint8), count=j - i)
+        n = np.bincount(node, minlength=len(nodes.rows))
+        u = n - np.bincount(node, weights=shared[which], minlength=len(nodes.rows)).astype(np.int64)
+        may = (n > 0) & (5 * (n - u) >= 4 * n)
+        block = rows.column("block")[0].as_py() if rows.num_rows else 0
+        return pa.table({
+            "node": pa.array((block << 32) + np.arange(len(n), dtype=np.int64)), "doc_id": pa.array([None if r[0] else r[1] for r in nodes.rows], pa.int64()), "h": pa.array([r[2] for r in nodes.rows], pa.int64()),
+            "n": pa.array(n, pa.int32()), "u": pa.array(u, pa.int32()), "text": pa.array([t if m else None for t, m in zip(nodes.texts, may.tolist())], pa.binary()),
+        })
+
+    answers = answer(dealt.groupBy("block").applyInArrow(send, "bucket int, block int, kind int, payload binary"), plan.reply)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, _NODE)
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """key, node, n, u of the band keys that more than one node has."""
 
-def _sketched(texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(shingles(t.as_py()))[1].tobytes() for t in b.column(1)], pa.binary())], ["node", "sketch"])
+            keys = np.concatenate([np.zeros(0, np.int64), *[keys_of(shingles(t.as_py())) for t in b.column(3)]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(b.column(k).to_numpy(zero_copy_only=False), BANDS)) for k in range(3)]], ["key", "node", "n", "u"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, sketch binary")
+    keys = nodes.select("node", "n", "u", "text").mapInArrow(run, "key long, node long, n int, u int").repartition("key")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return keys.join(shared.select("key"), "key")
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """key, node of the keys that more than one node has."""
+def _within(na, ua, nb, ub):
+    """Whether two nodes' counts of shingles, and of those that are theirs alone, allow a similarity of 4/5."""
+    m = F.least(na - ua, nb - ub)
+    return 5 * m >= 4 * (na + nb - m)
 
-    def run(batches):
-        for b in batches:
-            keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], ["key", "node"])
 
-    keys = nodes.select("node", "keys").mapInArrow(run, "key long, node long").repartition("key")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keys.join(shared.select("key"), "key")
+def _centre(*also: str):
+    return F.min(F.struct("u", "node", "n", *also)).alias("c")
 
 
-def _best(agree: np.ndarray, k: int) -> np.ndarray:
-    """The k largest of each row that aren't zero, or all of them."""
-    if k and agree.shape[1] > k:
-        kept = np.zeros_like(agree)
-        at = np.argpartition(agree, -k, axis=1)[:, -k:]
-        np.put_along_axis(kept, at, np.take_along_axis(agree, at, 1), 1)
-        return kept > 0
-    return agree > 0
+def _with_centres(members: DataFrame) -> DataFrame:
+    """u, v: every member of a key with the key's centre, unless they are of one component."""
+    pairs = members.join(members.groupBy("key").agg(_centre("component")), "key").where((F.col("component") != F.col("c.component")) & _within(F.col("n"), F.col("u"), F.col("c.n"), F.col("c.u")))
+    return pairs.select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
 
 
-def _candidates(members: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
-    """members: key, node, component -> u, v: pairs to compare, u < v, of members of a key and of different components."""
+def _open(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """members with their component, of the keys that still have several."""
+    now = members.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
+    return now.join(several, "key")
+
+
+def _with_other_centres(open_: DataFrame) -> DataFrame:
+    """u, v: members of the smaller components of a key with the centre of its largest, and its centre with theirs."""
+    parts = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), _centre())
+    largest = parts.groupBy("key").agg(F.max_by(F.struct("component", "c"), F.struct("k", -F.col("component"))).alias("top"))
+    pairs = open_.join(largest, "key").where(F.col("component") != F.col("top.component")).select("node", "n", "u", F.col("top.c").alias("c"))
+    pairs = pairs.where(_within(F.col("n"), F.col("u"), F.col("c.n"), F.col("c.u")))
+    return pairs.select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
+
+
+def _all_pairs(open_: DataFrame) -> DataFrame:
+    """u, v: the pairs of members of a key in different components that are within the bound."""
 
     def run(batches):
         for b in batches:
-            found = set()
+            found: set[tuple[int, int]] = set()
             for i, j, group in zip(*[b.column(c).to_pylist() for c in range(3)]):
                 group.sort(key=lambda m: m["node"])
-                sides = [[m for m in group if m["own"] == side] for side in dict.fromkeys((i, j))]
-                left, right = sides[0], sides[-1]
-                if not left or not right:
+                sides = [[m for m in group if m["own"] == side] for side in (i, j)]
+                x, y = ({k: np.array([m[k] for m in side], np.int64) for k in ("node", "component", "n", "u")} for side in sides)
+                if not len(x["node"]) or not len(y["node"]):
                     continue
-                x, y = (np.frombuffer(b"".join(m["sketch"] for m in side), np.uint8).reshape(len(side), -1) for side in (left, right))
-                p, q = (np.array([m["component"] for m in side]) for side in (left, right))
-                agree = np.stack([(y == row).sum(1, dtype=np.int16) for row in x])
-                agree[(agree < LEAST) | (p[:, None] == q)] = 0
-                for a, c in zip(*np.nonzero(_best(agree, k) | _best(agree.T, k).T)):
-                    u, v = left[a]["node"], right[c]["node"]
-                    found.add((min(u, v), max(u, v)))
+                for k in range(len(x["node"])):
+                    most = np.minimum(x["n"][k] - x["u"][k], y["n"] - y["u"])
+                    ok = (5 * most >= 4 * (x["n"][k] + y["n"] - most)) & (y["component"] != x["component"][k])
+                    own = int(x["node"][k])
+                    found.update((min(own, v), max(own, v)) for v in y["node"][ok].tolist() if v != own)
             u, v = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    open_ = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(open_.select("key", blocks.alias("blocks")), "key").join(sketches, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "component", "own", "sketch")).alias("group"))
+    dealt = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "component", "own", "n", "u")).alias("group"))
     return dealt.select("i", "j", "group").mapInArrow(run, "u long, v long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (u, v) with ok: whether their texts are linked."""
+    """pairs (u, v) with ok: whether their texts are linked. A u of many pairs is sent to SALTS places, which share its pairs."""
 
     def run(batches):
         for b in batches:
@@ -158,27 +275,49 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append(linked(last[1], shingles(c.as_py())))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["u", "v", "ok"])
 
-    both = pairs.join(texts.toDF("v", "b"), "v").join(texts.toDF("u", "a"), "u").select("u", "v", "a", "b")
-    return both.mapInArrow(run, "u long, v long, ok boolean")
+    pairs = cut(pairs)
+    many = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MANY).select("u", F.lit(SALTS).alias("salts"))
+    left = texts.select(F.col("node").alias("u"), F.col("text").alias("a")).join(many, "u", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    right = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(many, "u", "left")
+    right = right.withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int"))
+    return right.join(left, ["u", "salt"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long, ok boolean")
+
+
+def _by_fingerprint(texts: DataFrame) -> DataFrame:
+    """u, v: nodes whose five-word fingerprints are within two bits, as operator 8 finds them: equal ones by their first node, others by a forest."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.fromiter((simhash.fingerprint(t.as_py(), WIDTH) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64))], ["node", "fp"])
+
+    prints = cut(texts.select("node", "text").mapInArrow(run, "node long, fp long"))
+    firsts = prints.groupBy("fp").agg(F.min("node").alias("first"))
+    same = prints.join(firsts, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    near = simhash.links(firsts.select("fp")).join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v")
+    return same.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """row (doc_id, h: a hash of the text), component: the first row of each sequence of words in docs, null ids last."""
-    nodes = _keyed(docs).groupBy("words").agg(_first(F.struct("doc_id", "h")), F.first("keys").alias("keys"))
-    nodes = cut(nodes.select("row", "keys").withColumn("node", F.monotonically_increasing_id()))
-    members = cut(_keys(nodes))
-    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h"))
-    d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("h"))
-    texts = cut(d.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text").dropDuplicates(["node"]))
-    firsts = members.groupBy("key").agg(F.min("node").alias("u"))
-    tested = cut(_verified(members.join(firsts, "key").select("u", F.col("node").alias("v")).where("u < v").distinct(), texts))
+    nodes = cut(_nodes(docs))
+    texts = nodes.where("text IS NOT NULL")
+    members = cut(_members(texts))
+    tested = cut(_verified(_by_fingerprint(texts), texts))
     reached = cut(components(tested.where("ok").select("u", "v")))
-    for k in PARTNERS:
-        now = members.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = _candidates(now, _sketched(texts), k).join(tested, ["u", "v"], "left_anti")
-        tested = tested.unionByName(cut(_verified(pairs, texts)))
+    for search in (_with_centres, _with_other_centres, _all_pairs):
+        left = _open(members, reached)
+        found = search(left).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")) if search is _all_pairs else search(left)
+        known = tested.select(F.least("u", "v").alias("_u"), F.greatest("u", "v").alias("_v"))
+        fresh = found.join(known, (F.least("u", "v") == F.col("_u")) & (F.greatest("u", "v") == F.col("_v")), "left_anti")
+        tested = tested.unionByName(cut(_verified(fresh, texts)))
         reached = cut(components(tested.where("ok").select("u", "v")))
-    return nodes.select("row", "node").join(reached, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
+    row = F.struct("doc_id", "h").alias("row")
+    return nodes.select(row, "node").join(reached, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
+
+
+def _first(row):
+    """The first of rows (doc_id, h); null ids come last."""
+    return F.min_by(row, F.struct(row["doc_id"].isNull(), row["doc_id"], row["h"])).alias("row")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -109,15 +109,15 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, h (a hash of the text), fp (the fingerprint's 64 bits as a signed long)."""
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
 
-    d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(run, "doc_id long, fp long")
+    d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    return d.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def forest(prints: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -168,25 +168,32 @@ def links(prints: DataFrame) -> DataFrame:
     return found.unionByName(stars).distinct()
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """fp, component (one of the fingerprints that links reach)."""
+    groups = cut(prints.select("fp").distinct())
+    return groups.join(components(links(groups)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (the smallest doc_id that links reach), one row per document."""
     prints = cut(fingerprints(docs, width))
-    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    reached = components(links(groups))
-    named = groups.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select("fp", "component_id")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = cut(_components(prints).join(least, "fp"))
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs without all but the first (smallest id) document of each component; repeated rows of it go as well."""
+    """One row of docs of each component: the smallest id's (null ids come last), then the smallest hash of the text. Rows are judged by their own
+    fingerprints, so rows of one id with different texts have a component each."""
     names = docs.columns
-    kept = near_duplicates(docs, width).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    prints = cut(fingerprints(docs, width))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
+    kept = prints.join(_components(prints), "fp").groupBy("component").agg(F.min_by(F.struct("doc_id", "h"), order).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h"))
     safe = docs.toDF(*[f"_d{i}" for i in range(len(names))])
-    at = f"_d{names.index('doc_id')}"
-    known = safe.where(F.col(at).isNotNull()).join(kept, F.col(at) == F.col("_kept"), "left_semi").dropDuplicates([at])
-    return known.unionByName(safe.where(F.col(at).isNull())).toDF(*names)
+    at, text = f"_d{names.index('doc_id')}", f"_d{names.index('text')}"
+    safe = safe.withColumn("_t", F.xxhash64(text))
+    return safe.join(kept, F.col(at).cast("long").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left_semi").dropDuplicates([at, "_t"]).drop("_t").toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

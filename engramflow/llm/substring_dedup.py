@@ -60,6 +60,19 @@ def _slices(starts: np.ndarray, ends: np.ndarray, size: int = 1 << 18):
         i = j
 
 
+def word_hashes(starts: np.ndarray, ends: np.ndarray, buf: np.ndarray, over_bytes: int = BASES[0][0]) -> np.ndarray:
+    """A hash of each word."""
+    word = np.empty(len(starts), np.uint64)
+    for i, j in _slices(starts, ends):
+        low = starts[i]
+        piece = buf[low : ends[j - 1]]
+        summed = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers(over_bytes, len(piece)), dtype=np.uint64, out=summed[1:])
+        total = (summed[ends[i:j] - low] - summed[starts[i:j] - low]) * powers(pow(over_bytes, -1, 1 << 64), len(piece))[starts[i:j] - low]
+        word[i:j] = mixed(total + (ends[i:j] - starts[i:j]).astype(np.uint64))
+    return word
+
+
 def windows(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first words, two hashes of all windows, words before each document)."""
     starts, ends, before, buf = words_of(block)
@@ -68,17 +81,7 @@ def windows(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     at = np.flatnonzero(np.arange(len(starts)) + width <= last)
     if not len(at):
         return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64), before
-    hashes = []
-    for over_bytes, over_words in BASES:
-        word = np.empty(len(starts), np.uint64)
-        for i, j in _slices(starts, ends):
-            low = starts[i]
-            piece = buf[low : ends[j - 1]]
-            summed = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers(over_bytes, len(piece)), dtype=np.uint64, out=summed[1:])
-            total = (summed[ends[i:j] - low] - summed[starts[i:j] - low]) * powers(pow(over_bytes, -1, 1 << 64), len(piece))[starts[i:j] - low]
-            word[i:j] = mixed(total + (ends[i:j] - starts[i:j]).astype(np.uint64))
-        hashes.append(mixed(rolled(word, width, over_words)[at]))
+    hashes = [mixed(rolled(word_hashes(starts, ends, buf, over_bytes), width, over_words)[at]) for over_bytes, over_words in BASES]
     return at, *hashes, before
 
 
@@ -92,10 +95,10 @@ def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Plan:
     """Sizes fixed on the driver; the bodies of the three passes."""
 
-    def __init__(self, n_bytes: int, width: int):
+    def __init__(self, n_bytes: int, width: int, spread: int = SPREAD):
         self.width = width
         expected = max(1, n_bytes // 6)
-        self.shift = np.uint64(max(0, 64 - math.ceil(math.log2(expected * SPREAD + 1))))
+        self.shift = np.uint64(max(0, 64 - math.ceil(math.log2(expected * spread + 1))))
         self.buckets = max(1, math.ceil(expected / BUCKET_KEYS / wider(n_bytes)))
 
     def counters(self, hashes: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:

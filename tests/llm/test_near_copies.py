@@ -64,13 +64,28 @@ def test_pairs_at_the_threshold_meet():
     shared = []
     for n in range(400):
         common = {b"c%d-%d" % (n, i) for i in range(200)}
-        a, b = (near_copies.sketch(common | {b"%s%d-%d" % (side, n, i) for i in range(25)}) for side in (b"a", b"b"))
-        shared.append((int((a[0] == b[0]).sum()), int((a[1] == b[1]).sum())))
-    bands, sketch = np.array(shared).T
-    assert bands.min() > 0 and sketch.min() >= near_copies.LEAST
+        a, b = (near_copies.keys_of(common | {b"%s%d-%d" % (side, n, i) for i in range(25)}) for side in (b"a", b"b"))
+        shared.append(int((a == b).sum()))
+    bands = np.array(shared)
+    assert bands.min() > 0
     assert 14 < bands.mean() < 20
 
 
+def test_a_group_around_the_threshold_costs_a_pair_a_member(spark, monkeypatch):
+    """Copies of one text with one to eight edits: those with three or fewer are linked to it, most pairs of the rest are alike and not linked."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(150)]
+    texts = [" ".join(base)] + [" ".join(edited(rng, base, 1 + i % 8)) for i in range(400)]
+    compared, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, found: compared.append(pairs.count()) or verified(pairs, found))
+    got = near_copies.near_copies(spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA)).collect()
+    names: dict = {}
+    for r in sorted(got, key=lambda r: r.row.doc_id):
+        names.setdefault(r.component, r.row.doc_id)
+    assert {r.row.doc_id: names[r.component] for r in got} == dict(enumerate(brute_components(texts)))
+    assert sum(compared) < 4 * len(texts)
+
+
 def test_odd_rows(spark):
     rows = [(1, "one two three", "", 1), (1, "four five six", "", 1), (1, "four five six", "", 1), (None, "ONE two three", "", 1), (None, "seven", "", 1), (None, "seven", "", 1), (2, None, "", 1), (3, "", "", 1)]
     got = near_copies.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
