@@ -7,18 +7,18 @@
 5. tokens: the texts as SentencePiece ids.
 
 All stages but the last return the columns of documents. Edge cases are those of the operators: null texts fail the
-quality rules, null ids come last in stage 2, empty tables stay empty.
+quality rules, null ids come last in stage 2, rows are judged one by one whatever their ids, empty tables stay empty, other columns are kept
+even if their names clash.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from engramflow.llm import decontaminate, near_copies, pii, quality_rules, sentencepiece
-from engramflow.llm.common import table
+from engramflow.llm.common import shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +47,23 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontam
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what lies between them is written to the shared folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="engramflow-")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir. What lies between them is written to the shared folder and removed when the stage after it is written;
+    only the last stage's input stays, as the result is read from it."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+            path = f"{folder}/{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if last:
+                _remove(spark, last)
+            last = path
     return docs
