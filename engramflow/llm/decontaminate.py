@@ -12,11 +12,13 @@ digits becomes one space. An item of m characters is found in a document if some
   no region within the budget is lost.
 * The rest is verified by an alignment inside the band's diagonals (an exact occurrence needs none).
 
+Items of fewer than ``2 * Q`` characters after normalising have no edit to spare: they are found exactly, all of a chunk in one pass by an automaton, and as
+whole words: neither neighbour in the text may be a letter or digit, unless it or the item's end beside it belongs to a script without blanks.
+
 The items' q-gram index is broadcast in chunks of at most ``CHUNK`` characters of items (its proven bound),
 documents are read once a chunk and never shuffled. Documents are looked at whole, in overlapping pieces.
 
-Edge cases: null or empty texts and items match nothing; items of fewer than ``2 * Q`` characters after
-normalising are too short to be evidence and match nothing; k is lowered for short items so that t stays
+Edge cases: null or empty texts match nothing, nor do items without a letter or digit; k is lowered for items just over ``2 * Q`` characters so that t stays
 at least 1; null ids are kept as they are; repeated rows repeat their matches; empty tables give empty
 results; other columns are ignored.
 """
@@ -85,16 +87,58 @@ def align(region: np.ndarray, item: np.ndarray, shift: int, width: int, k: int)
     return int(row[best]), len(item) + shift + best
 
 
+def _joined(point: int) -> bool:
+    """Whether a code point is of a script that puts no blanks between words (Thai to Khmer, kana, Han, Hangul)."""
+    return 0x0E00 <= point <= 0x0EFF or 0x1000 <= point <= 0x109F or 0x1780 <= point <= 0x17FF or 0x3040 <= point <= 0x30FF or 0x3400 <= point <= 0x9FFF or 0xAC00 <= point <= 0xD7AF or point >= 0x20000
+
+
+class Short:
+    """Items that are found exactly, as whole words of the normalised text."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.items: dict[str, list[int]] = {}
+        for number, points in items:
+            self.items.setdefault("".join(map(chr, points.tolist())), []).append(number)
+        self.automaton = None
+
+    def __getstate__(self):
+        return {"items": self.items, "automaton": None}
+
+    def find(self, points: np.ndarray):
+        """(item's number, end) of the first place of every item."""
+        if not self.items or not len(points):
+            return
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for word in self.items:
+                self.automaton.add_word(word, word)
+            self.automaton.make_automaton()
+        text, seen = "".join(map(chr, points.tolist())), set()
+        apart = lambda a, b: text[a] == " " or _joined(ord(text[a])) or _joined(ord(text[b]))
+        for last, word in self.automaton.iter(text):
+            first = last - len(word) + 1
+            if word not in seen and (first == 0 or apart(first - 1, first)) and (last + 1 == len(text) or apart(last + 1, last)):
+                seen.add(word)
+                for number in self.items[word]:
+                    yield number, last + 1
+
+
 class Index:
     """The q-grams of a chunk of items, and what finds them in texts."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, ratio: float):
-        self.q, self.ids, self.items = q, [], []
+        self.q, self.ids, self.items, short = q, [], [], []
         for i, t in items:
             points = normalise(t or "")
             if len(points) >= 2 * q:
                 self.ids.append(i)
                 self.items.append(points)
+            elif len(points):
+                short.append((i, points))
+        self.short = Short([(len(self.ids) + k, points) for k, (_, points) in enumerate(short)])
+        self.ids += [i for i, _ in short]
         self.k, self.t = np.array([budget(len(x), q, ratio) for x in self.items], np.int64).reshape(-1, 2).T
         self.sizes = np.array([len(x) for x in self.items], np.int64)
         grams = [rolled(x.astype(np.uint64), q, BASE) for x in self.items]
@@ -136,6 +180,7 @@ class Index:
         """{item's number: (edits, end in the normalised text)}, the least of each item."""
         best: dict[int, tuple[int, int]] = {}
         points = normalise(text or "")
+        best.update((number, (0, end)) for number, end in self.short.find(points))
         if len(points) < self.q or not self.items:
             return best
         for start in range(0, max(1, len(points) - self.span), piece):

@@ -1,18 +1,19 @@
 r"""Personal data by bootstrapped contextual extraction.
 
 1. Base entities (email, ip, card, phone) are found by fixed patterns in each whole text. They are the
-   seeds. Every other chunk without white space that holds a digit or ``@`` is a candidate.
+   seeds. Candidates are every other chunk without white space that holds a digit or ``@``, stripped of punctuation at its ends, and every run of
+   two or more digit groups joined by single blanks, dots, hyphens or brackets.
 2. Each seed and candidate (a mention) gives two lexical contexts: the two words before it, and the word
    before with the word after. Contexts and surfaces form a bipartite graph, one edge for each pair with
-   its count.
+   its count. Words and surfaces of over ``LONG`` characters stand in it by a digest.
 3. Spark scores the graph in ``ROUNDS`` rounds of joins and aggregations. A pattern (context, kind) scores the
    share of its mentions whose surface is believed to be of the kind, ``sum(n * belief) / (sum(n) + 1)``, and needs
-   ``MIN_SEEDS`` distinct seed surfaces. The belief in a surface is 1 for seeds, else noisy-or over its
-   patterns that score ``MIN_PATTERN`` or more.
+   ``MIN_SEEDS`` distinct surfaces that are seeds or believed with ``MIN_BELIEF`` in the round before, so surfaces that were found induce
+   new patterns. The belief in a surface is 1 for seeds, else noisy-or over its patterns that score ``MIN_PATTERN`` or more.
 4. Candidates whose surface is believed with ``MIN_BELIEF`` or more become further spans of that kind (the
-   most believed; ties: the first of the kinds as listed).
+   most believed; ties: the first of the kinds as listed), unless they lie inside a longer one.
 
-The text is read once; the graph is built from the mentions, which are few, and never leaves the
+The text is read once, in time proportional to its length; the graph is built from the mentions, which are few, and never leaves the
 executors. All contexts and surfaces take part; none is capped or broadcast.
 
 Edge cases: null text counts as empty; null and repeated ids are kept, one result for each row; an empty
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,8 +35,8 @@ from .common import cut, pick, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, MIN_PATTERN, MIN_BELIEF = 3, 3, 0.5, 0.6
-#: Code points looked at on either side for context words.
-REACH = 80
+#: Characters from which on a word or surface is known by its digest.
+LONG = 128
 #: The base patterns.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -42,11 +44,16 @@ PATTERNS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
-_MAILBOX = re.compile(r"[A-Za-z0-9._%+@-]+")
+_PHONE = re.compile(PATTERNS["phone"])
+_NAME_END = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 _MARK = re.compile(r"[0-9@]")
+_CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
+_GROUPS = re.compile(r"(?<![0-9])\(?[0-9]++(?:(?:\) ?|[ .-]\(?)[0-9]++)++")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_ENDS = ".,;:!?\"'()[]{}<>"
 
 
 def luhn(digits: str) -> bool:
@@ -67,55 +74,88 @@ def _valid(kind: str, found: str) -> bool:
 
 
 def _emails(text: str):
-    """The same matches as the pattern's over the whole text: one can only lie in a run of its own characters."""
+    """The pattern's matches, looked for at every ``@``: the name before it reaches back to the ``@`` or match before, so no character is read again."""
     done, at = 0, text.find("@")
     while at >= 0:
-        low = at
-        while low > done and _MAILBOX.match(text[low - 1]):
-            low -= 1
-        high = _MAILBOX.match(text, at).end()
-        for m in _COMPILED["email"].finditer(text, low, high):
-            yield m.start(), m.end()
-        done = high
-        at = text.find("@", high)
+        name = _NAME_END.match(text[done:at][::-1])
+        domain = _DOMAIN.match(text, at + 1) if name else None
+        if domain:
+            yield at - name.end(), domain.end()
+        done = domain.end() if domain else at + 1
+        at = text.find("@", max(done, at + 1))
+
+
+def _ips(text: str):
+    """The pattern's matches: each run of digits joined by single dots gives its parts four by four."""
+    for run in _DOTTED.finditer(text):
+        if run[0].count(".") < 3:
+            continue
+        parts, at = run[0].split("."), run.start()
+        for k in range(0, len(parts) - 3, 4):
+            found = ".".join(parts[k : k + 4])
+            yield at, at + len(found)
+            at += len(found) + 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind's number, start, end), by kind, then start."""
     spans = [(0, *s) for s in _emails(text)]
-    for k, kind in enumerate(KINDS[1:], 1):
-        spans += [(k, m.start(), m.end()) for m in _COMPILED[kind].finditer(text) if _valid(kind, m[0])]
-    return spans
+    spans += [(1, s, e) for s, e in _ips(text) if _valid("ip", text[s:e])]
+    spans += [(2, m.start(), m.end()) for m in _CARD.finditer(text) if m.end() - m.start() >= 16 and _valid("card", m[0])]
+    return spans + [(3, m.start(), m.end()) for m in _PHONE.finditer(text) if _valid("phone", m[0])]
+
+
+def _known(word: str) -> str:
+    """A word or surface as the graph has it."""
+    return word.lower() if len(word) <= LONG else f"{word[:8].lower()}#{hashlib.md5(word.lower().encode('utf-8', 'replace')).hexdigest()}"
+
+
+def _candidates(text: str, words: list[tuple[int, int]], starts: list[int], covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Words with a digit or @ and runs of digit groups that touch no covered span (sorted, apart), by start."""
+    found, m = set(), _MARK.search(text)
+    while m:
+        low, high = words[bisect_right(starts, m.start()) - 1]
+        inner = text[low:high]
+        start, end = low + len(inner) - len(inner.lstrip(_ENDS)), low + len(inner.rstrip(_ENDS))
+        if start < end:
+            found.add((start, end))
+        m = _MARK.search(text, high)
+    found.update(g.span() for g in _GROUPS.finditer(text))
+    out, at = [], 0
+    for start, end in sorted(found):
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        if at == len(covered) or covered[at][0] >= end:
+            out.append((start, end))
+    return out
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str]:
-    before = text[max(0, start - REACH) : start].lower().split()[-2:]
-    after = text[end : end + REACH].lower().split()[:1]
-    return " ".join(before) if len(before) == 2 else "", f"{before[-1]} _ {after[0]}" if before and after else ""
+def _apart(spans) -> list[tuple[int, int]]:
+    """Spans sorted, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
 
 
 def mentions(text: str) -> tuple[list[tuple], list[tuple]]:
     """Base spans, and all mentions as (kind's number or -1, start, end, surface, words before, words around)."""
     base = base_spans(text)
-    rows = [(k, s, e) for k, s, e in base]
-    covered = sorted((s, e) for _, s, e in base)
-    starts, at, done = [], 0, -1
-    for m in _MARK.finditer(text):
-        if m.start() < done:
-            continue
-        low = m.start()
-        while low > 0 and not text[low - 1] in " \t\n\x0b\x0c\r":
-            low -= 1
-        chunk = _CHUNK.match(text, low)
-        done = chunk.end()
-        inner = chunk[0]
-        left = len(inner) - len(inner.lstrip(".,;:!?\"'()[]{}<>"))
-        start, end = low + left, low + len(inner.rstrip(".,;:!?\"'()[]{}<>"))
-        while at < len(covered) and covered[at][1] <= start:
-            at += 1
-        if end - start >= 5 and not any(s < end and e > start for s, e in covered[max(0, at - 3) : at + 3]):
-            starts.append((-1, start, end))
-    return base, [(k, s, e, text[s:e].lower(), *_context(text, s, e)) for k, s, e in rows + starts]
+    covered = _apart((s, e) for _, s, e in base)
+    if not base and not _MARK.search(text):
+        return base, []
+    words = [m.span() for m in _CHUNK.finditer(text)]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    spans, rows = base + [(-1, s, e) for s, e in _candidates(text, words, starts, covered)], []
+    for k, s, e in spans:
+        i, j = bisect_left(starts, s), bisect_right(ends, e)  # words that begin before the mention; the first that ends after it
+        before = [_known(text[a : min(b, s)]) for a, b in words[max(0, i - 2) : i]]
+        after = _known(text[max(starts[j], e) : ends[j]]) if j < len(words) else ""
+        rows.append((k, s, e, _known(text[s:e]), " ".join(before) if len(before) == 2 else "", f"{before[-1]} _ {after}" if before and after else ""))
+    return base, rows
 
 
 _MENTION = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("surface", pa.string()), ("before", pa.string()), ("around", pa.string())]))
@@ -141,20 +181,19 @@ def find(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, _FOUND)
 
 
-def score(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_pattern: float = MIN_PATTERN) -> DataFrame:
+def score(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_pattern: float = MIN_PATTERN, min_belief: float = MIN_BELIEF) -> DataFrame:
     """edges: context, surface, n; seeds: surface, kind -> surface, kind, belief of surfaces that aren't seeds of the kind."""
-    strong = edges.join(seeds, "surface").groupBy("context", "kind").agg(F.countDistinct("surface").alias("k")).where(F.col("k") >= min_seeds)
-    graph = cut(edges.join(strong.select("context", "kind"), "context"))
-    all_n = cut(graph.groupBy("context", "kind").agg(F.sum("n").alias("all_n")))
+    edges = cut(edges)
+    all_n = cut(edges.groupBy("context").agg(F.sum("n").alias("all_n")))
     known = seeds.select("surface", "kind", F.lit(1.0).alias("belief"))
-    belief = known
+    belief, new = known, known.limit(0)
     for _ in range(rounds):
-        scored = graph.join(belief, ["surface", "kind"]).groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("belief")).alias("s"))
-        patterns = scored.join(all_n, ["context", "kind"]).select("context", "kind", (F.col("s") / (F.col("all_n") + 1)).alias("score")).where(F.col("score") >= min_pattern)
-        found = graph.join(patterns, ["context", "kind"]).groupBy("surface", "kind").agg((-F.expm1(F.sum(F.log1p(-F.col("score"))))).alias("belief"))
+        hits = edges.join(belief, "surface").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("belief")).alias("s"), F.countDistinct(F.when(F.col("belief") >= min_belief, F.col("surface"))).alias("k"))
+        patterns = hits.where(F.col("k") >= min_seeds).join(all_n, "context").select("context", "kind", (F.col("s") / (F.col("all_n") + 1)).alias("score")).where(F.col("score") >= min_pattern)
+        found = edges.join(patterns, "context").groupBy("surface", "kind").agg((-F.expm1(F.sum(F.log1p(-F.col("score"))))).alias("belief"))
         new = cut(found.join(seeds, ["surface", "kind"], "left_anti"))
         belief = known.unionByName(new)
-    return new if rounds else known.limit(0)
+    return new
 
 
 def extract(docs: DataFrame, min_belief: float = MIN_BELIEF, **how) -> DataFrame:
@@ -163,9 +202,11 @@ def extract(docs: DataFrame, min_belief: float = MIN_BELIEF, **how) -> DataFrame
     flat = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     seeds = cut(flat.where("kind >= 0").select("surface", "kind").distinct())
     edges = flat.select("surface", F.explode(F.array(F.concat(F.lit("b:"), "before"), F.concat(F.lit("a:"), "around"))).alias("context")).where("length(context) > 2").groupBy("context", "surface").agg(F.count(F.lit(1)).alias("n"))
-    belief = score(edges, seeds, **how).where(F.col("belief") >= min_belief)
+    belief = score(edges, seeds, min_belief=min_belief, **how).where(F.col("belief") >= min_belief)
     best = belief.withColumn("rank", F.row_number().over(Window.partitionBy("surface").orderBy(F.desc("belief"), "kind"))).where("rank = 1").select("surface", F.col("kind").alias("as_kind"))
     more = flat.where("kind < 0").join(best, "surface").groupBy("row").agg(F.collect_list(F.struct(F.col("as_kind").alias("kind"), "start", "end")).alias("more"))
+    inside = lambda x: F.exists("more", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"]))
+    more = more.select("row", F.filter("more", lambda x: ~inside(x)).alias("more"))
     return found.drop("mentions").join(more, "row", "left").select("doc_id", "h", "base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:long,end:long>>")).alias("more"))
 
 

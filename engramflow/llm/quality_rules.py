@@ -5,8 +5,11 @@ without a shuffle. Words are ``[^\x20\x09-\x0D]+``.
 
 Edge cases: a null text counts as empty (no words, hence ``base_failed``); a null ``doc_id`` is kept
 as it is; repeated rows give repeated results; an empty table gives an empty result; columns of the
-input other than ``doc_id`` and ``text`` are ignored. Word positions and a hash of each three-word
-window share one 64-bit key, sorted inside the row; equal hashes are confirmed on the words.
+input other than ``doc_id`` and ``text`` are ignored.
+
+Repeated windows: word positions and a hash of each three-word window share one 64-bit key, sorted inside the row, so that equal windows are neighbours.
+Neighbours are compared word by word. If two neighbours have one hash and different words, the row's windows are
+sorted by their words instead. So the count is exact whatever the hashes.
 """
 
 from __future__ import annotations
@@ -61,25 +64,41 @@ def _repeat_words(words: Column) -> Column:
         def key(i):
             return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))
 
-        def same(s, a, b):
-            x, y = F.get(s, a), F.get(s, b)
-            p, q = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
-            equal = x.bitwiseOR(mask) == y.bitwiseOR(mask)
-            for k in range(3):
-                equal = equal & (F.get(words, p + k) == F.get(words, q + k))
-            return equal
+        def one_hash(s, a, b):
+            return F.get(s, a).bitwiseOR(mask) == F.get(s, b).bitwiseOR(mask)
+
+        def one_window(s, a, b):
+            p, q = F.get(s, a).bitwiseAND(mask).cast("int"), F.get(s, b).bitwiseAND(mask).cast("int")
+            return (F.get(words, p) == F.get(words, q)) & (F.get(words, p + 1) == F.get(words, q + 1)) & (F.get(words, p + 2) == F.get(words, q + 2))
+
+        def places(s):
+            return F.sequence(F.lit(0), F.size(s) - 1)
 
         def starts(s):
-            hit = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: same(s, j, j - 1) | same(s, j, j + 1))
+            hit = F.filter(places(s), lambda j: F.coalesce(one_hash(s, j, j - 1), F.lit(False)) | F.coalesce(one_hash(s, j, j + 1), F.lit(False)))
             return F.array_sort(F.transform(hit, lambda j: F.get(s, j).bitwiseAND(mask).cast("int")))
 
+        def mixed_up(s):
+            """Whether neighbours of one hash differ; if none do, all of a hash are equal."""
+            return F.exists(places(s), lambda j: F.coalesce(one_hash(s, j, j + 1) & ~one_window(s, j, j + 1), F.lit(False)))
+
+        def starts_by_words():
+            windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("i"))))
+
+            def of(s):
+                equal = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+                hit = F.filter(places(s), lambda j: equal(F.get(s, j), F.get(s, j - 1)) | equal(F.get(s, j), F.get(s, j + 1)))
+                return F.array_sort(F.transform(hit, lambda j: F.get(s, j)["i"]))
+
+            return _let(windows, of)
+
         def covered(p):
             return F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(
                 F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0).cast("long"), lambda acc, k: acc + F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - F.get(p, k), F.lit(3))).cast("long"))
             )
 
         keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), key))
-        return _let(keys, lambda s: _let(starts(s), covered))
+        return _let(keys, lambda s: _let(F.when(mixed_up(s), starts_by_words()).otherwise(starts(s)), covered))
 
     mask = F.pow(F.lit(2.0), F.floor(F.log2(n)) + 1).cast("long") - 1
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(_let(mask, counted))

@@ -1,6 +1,6 @@
 """Property-graph operators over edge tables (association_id, from_id, to_id, weight, confidence, polarity).
 
-Endpoints are node names of any one type. Loops run a bounded or converging number of joins; each round's frontier
+Endpoints are node names of any one type. Loops run until they converge; each round's frontier
 is cut into the shared folder, and nothing but row counts comes to the driver."""
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-    """The limit best edges of each node: weight, then confidence, both descending, then id."""
+    """The limit best edges of each node: weight, then confidence, both descending, then id.
+
+    Spark cuts each task's edges of a node to the limit before the shuffle, so a hub sends limit rows a task."""
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), F.desc("confidence"), "association_id"))
     return both_ways(edges).join(nodes.select("node").distinct(), "node").withColumn("rank", rank).where(F.col("rank") <= limit)
 
@@ -54,23 +56,22 @@ def beam_traversal(edges: DataFrame, seeds: DataFrame, hops: int, beam: int) ->
     return best, paths
 
 
-def spreading_activation(edges: DataFrame, seeds: DataFrame, floor: float = 0.0, most: int = 50) -> DataFrame:
+def spreading_activation(edges: DataFrame, seeds: DataFrame, floor: float = 0.0) -> DataFrame:
     """root, node, support: the largest product of conductances from a root's seeds, to the fixed point.
 
     seeds: root, node, activation (positive ones count). Conductance: weight * confidence * DECAY / sqrt(degree of the
-    target), the degree being distinct neighbours by positive edges; loops don't conduct. Supports at or below floor end a path."""
+    target), the degree being distinct neighbours by positive edges; loops don't conduct. Supports at or below floor end a path. Conductances are
+    at most DECAY (a product of weight and confidence counts as 1 at most), so a path's support falls by DECAY a step and no best path has a cycle: the frontier runs dry by itself."""
     ways = both_ways(edges.where("weight * confidence > 0 AND from_id <> to_id"))
     degree = ways.groupBy(F.col("node").alias("other")).agg(F.countDistinct("other").alias("degree"))
-    flow = ways.groupBy("node", "other").agg(F.max(F.col("weight") * F.col("confidence")).alias("c")).join(degree, "other").select("node", "other", (F.col("c") * DECAY / F.sqrt("degree")).alias("c"))
+    flow = ways.groupBy("node", "other").agg(F.max(F.least(F.lit(1.0), F.col("weight") * F.col("confidence"))).alias("c")).join(degree, "other").select("node", "other", (F.col("c") * DECAY / F.sqrt("degree")).alias("c"))
     flow = cut(flow)
     best = cut(seeds.where("activation > 0").groupBy("root", "node").agg(F.max("activation").alias("support")))
     frontier = best
-    for _ in range(most):
+    while not frontier.isEmpty():
         reached = frontier.join(flow, "node").groupBy("root", F.col("other").alias("node")).agg(F.max(F.col("support") * F.col("c")).alias("support")).where(F.col("support") > floor)
         old = best.select("root", "node", F.col("support").alias("_old"))
         frontier = cut(reached.join(old, ["root", "node"], "left").where("_old IS NULL OR support > _old").select("root", "node", "support"))
-        if frontier.isEmpty():
-            break
         best = cut(best.join(frontier.select("root", "node"), ["root", "node"], "left_anti").unionByName(frontier))
     return best
 
@@ -80,17 +81,70 @@ def noisy_or(support: DataFrame) -> DataFrame:
     return support.groupBy("node").agg(F.when(F.max("support") >= 1, 1.0).otherwise(-F.expm1(F.sum(F.log1p(-F.least("support", F.lit(1 - 1e-16)))))).alias("activation"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """start, node: everything that directed edges reach from the starts, cycles tolerated; by doubling paths, so a path of
-    n edges takes log2(n) rounds."""
-    jump = cut(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("other")).where("node <> other").distinct())
-    reach, n = cut(starts.select(F.col("node").alias("start"), "node").distinct().join(jump, "node").select("start", F.col("other").alias("node")).distinct()), -1
-    while (now := reach.count()) != n:
-        n = now
-        reach = cut(reach.unionByName(reach.join(jump, "node").select("start", F.col("other").alias("node"))).distinct())
-        far = jump.select(F.col("node").alias("_a"), F.col("other").alias("node")).join(jump, "node").select(F.col("_a").alias("node"), "other")
-        jump = cut(jump.unionByName(far.where("node <> other")).distinct())
-    return reach
+def contract(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """links: node, other (distinct, no loops) -> (steps: node, other, path; members: path, node, away; rings: ring, node).
+
+    An inner node has one link in and one out. Runs of inner nodes become paths, named by their last node; away is a member's distance from the
+    node after the path. steps link the other nodes, through a path or directly (path null). rings are cycles of inner nodes alone.
+    Runs are found by doubling pointers, each inner node having one: a run of n nodes takes log2(n) rounds of as many rows as nodes."""
+    into = links.groupBy(F.col("other").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+    out = links.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("other").alias("next")).where("n = 1").select("node", "next")
+    inner = cut(out.join(into, "node"))
+    ends = inner.join(inner.select(F.col("node").alias("next"), F.lit(True).alias("goes")), "next", "left")
+    # head: where a pointer stands; an open one stands on an inner node, a closed one behind its run
+    now = cut(ends.select("node", F.col("next").alias("head"), F.coalesce("goes", F.lit(False)).alias("open"), F.lit(1).cast("long").alias("away"), F.col("node").alias("last"), F.least("node", "next").alias("ring")))
+    size, left, span = now.count(), now.where("open").count(), 1
+    while left and span < size:
+        far = now.select(F.col("node").alias("head"), F.col("head").alias("_h"), F.col("open").alias("_o"), F.col("away").alias("_a"), F.col("last").alias("_l"), F.col("ring").alias("_r"))
+        moved = now.where("open").join(far, "head").select("node", F.col("_h").alias("head"), F.col("_o").alias("open"), (F.col("away") + F.col("_a")).alias("away"), F.col("_l").alias("last"), F.least("ring", "_r").alias("ring"))
+        now = cut(now.where("NOT open").unionByName(moved))
+        left, span = now.where("open").count(), 2 * span
+    members = now.where("NOT open").select(F.col("last").alias("path"), "node", "away", F.col("head").alias("end"))
+    rings = now.where("open").select("ring", "node")
+    outer = links.join(inner.select("node"), "node", "left_anti")
+    steps = outer.join(members.select(F.col("node").alias("other"), "path", "end"), "other", "left").select("node", F.coalesce("end", "other").alias("other"), "path").distinct()
+    return cut(steps), cut(members), rings
+
+
+#: Rounds in which a frontier goes link by link before runs of links are contracted.
+PLAIN = 6
+
+
+def reachable(edges: DataFrame, starts: DataFrame, plain: int = PLAIN) -> DataFrame:
+    """start, node: everything that directed edges reach from the starts (a start itself if it lies on a cycle), cycles tolerated.
+
+    The frontier goes ahead link by link for a few rounds; if it is still alive, runs of nodes without a branch are contracted and it goes on run by run.
+    So a chain of n edges takes log2(n) rounds, and rows are what is reached, never the closure of the graph."""
+    links = cut(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("other")).where("node <> other").distinct())
+    frontier = cut(starts.select(F.col("node").alias("start"), "node").distinct().join(links, "node").select("start", F.col("other").alias("node")).distinct())
+    reach = frontier
+    for _ in range(plain):
+        if frontier.isEmpty():
+            return reach
+        ahead = frontier.join(links, "node").select("start", F.col("other").alias("node")).distinct()
+        frontier = cut(ahead.join(reach, ["start", "node"], "left_anti"))
+        reach = reach.unionByName(frontier)
+    if frontier.isEmpty():
+        return reach
+    reach = cut(reach)
+    steps, members, rings = contract(links)
+    # a frontier inside a run reaches the rest of it and the node behind it, one on a ring the whole ring
+    inside = cut(frontier.join(members, "node"))
+    part = inside.select("start", "path", F.col("away").alias("_a")).join(members, "path").where("away < _a").select("start", "node")
+    ring = frontier.join(rings, "node").select("start", "ring").distinct().join(rings, "ring").select("start", "node")
+    behind = inside.select("start", F.col("end").alias("node")).distinct()
+    seen = cut(frontier.join(members, "node", "left_anti").select("start", "node").unionByName(behind).distinct())
+    frontier, whole = seen, None
+    while not frontier.isEmpty():
+        ahead = cut(frontier.join(steps, "node").select("start", "other", "path").distinct())
+        through = ahead.where("path IS NOT NULL").select("start", "path")
+        whole = through if whole is None else whole.unionByName(through)
+        frontier = cut(ahead.select("start", F.col("other").alias("node")).distinct().join(seen, ["start", "node"], "left_anti"))
+        seen = cut(seen.unionByName(frontier))
+    out = reach.unionByName(part).unionByName(ring).unionByName(seen)
+    if whole is not None:
+        out = out.unionByName(whole.distinct().join(members, "path").select("start", "node"))
+    return out.distinct()
 
 
 def would_cycle(edges: DataFrame, proposed: DataFrame) -> DataFrame:
@@ -161,19 +215,21 @@ def chronological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """scope, node of those left when nodes that nothing precedes are peeled off again and again."""
-    left = cut(edges.select("scope", "from_id", "to_id").distinct())
-    n = -1
-    while (now := left.count()) != n:
-        n = now
-        ends = left.select("scope", F.col("to_id").alias("from_id")).distinct()
-        left = cut(left.join(ends, ["scope", "from_id"], "left_semi"))
-    n = -1
+    """edges: scope, from_id, to_id -> scope, node of those left when nodes that nothing precedes, or that precede nothing, are peeled off again and again: all on
+    cycles or between two. A loop is a cycle of its node.
+
+    Runs without a branch are contracted first, so rounds follow the branching of the graph, not its length."""
+    pair = lambda c: F.struct(F.col("scope"), F.col(c).alias("id"))
+    links = cut(edges.select(pair("from_id").alias("node"), pair("to_id").alias("other")).distinct())
+    loops = links.where("node = other").select("node")
+    steps, members, rings = contract(links.where("node <> other"))
+    left, n = cut(steps.unionByName(loops.select("node", F.col("node").alias("other"), F.lit(None).cast(steps.schema["path"].dataType).alias("path")))), -1
     while (now := left.count()) != n:
         n = now
-        starts = left.select("scope", F.col("from_id").alias("to_id")).distinct()
-        left = cut(left.join(starts, ["scope", "to_id"], "left_semi"))
-    return left.select("scope", F.col("from_id").alias("node")).distinct()
+        left = cut(left.join(left.select(F.col("other").alias("node")).distinct(), "node", "left_semi"))
+        left = cut(left.join(left.select(F.col("node").alias("other")).distinct(), "other", "left_semi"))
+    nodes = left.select("node").unionByName(left.select(F.col("other").alias("node"))).unionByName(left.where("path IS NOT NULL").select("path").distinct().join(members, "path").select("node")).unionByName(rings.select("node"))
+    return nodes.distinct().select("node.scope", F.col("node.id").alias("node"))
 
 
 def shortcut_targets(edges: DataFrame, seeds: DataFrame, least: float = 0.05) -> DataFrame:

@@ -1,10 +1,11 @@
 """Writes and stateful folds of edge strengths, as pure functions of tables of events.
 
 Folds are ordered: every event has a sequence column. Weights that only rise have a closed form; mixed signs are affine maps w -> a w + b, which compose,
-so that a fold is one aggregation of an ordered array inside its group."""
+so that an edge's events are folded in parts of the sequence and then part by part."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +28,59 @@ def reinforce(edges: DataFrame, signals: DataFrame) -> DataFrame:
     )
 
 
-def _fold(events: DataFrame, a: Column, b: Column, start: Column) -> DataFrame:
-    steps = events.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", a.alias("a"), b.alias("b")))).alias("steps"), F.first("start").alias("start"))
-    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    return steps.select("id", F.aggregate("steps", start, lambda w, e: clip(w * e["a"] + e["b"])).alias("weight"), F.size("steps").cast("long").alias("events"))
+#: Sequence numbers in one part of a fold: an edge's events are folded part by part, then the parts, so no array holds more than a part's events.
+PART = 1 << 16
 
 
-def utility_fold(events: DataFrame) -> DataFrame:
-    """events: id, seq, outcome, query_hash, start -> id, weight, events: success w + .2 (1 - w), harm w * .5, else w * .98, clipped; a query counts once
-    (its first event)."""
-    once = events.withColumn("_r", F.row_number().over(Window.partitionBy("id", "query_hash").orderBy("seq"))).where("_r = 1")
+def _fold(events: DataFrame, a: Column, b: Column, start: Column) -> DataFrame:
+    """w <- a w + b in order of seq, 0 <= a, a + b <= 1, so that weights stay within [0, 1] and steps compose to one step."""
+    steps = events.select("id", "seq", F.expr(f"seq div {PART}").alias("_part"), a.alias("a"), b.alias("b"), start.alias("_start"))
+    compose = lambda acc, e: F.struct((acc["a"] * e["a"]).alias("a"), (acc["b"] * e["a"] + e["b"]).alias("b"))
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    parts = steps.groupBy("id", "_part").agg(F.array_sort(F.collect_list(F.struct("seq", "a", "b"))).alias("s"), F.min_by("_start", "seq").alias("_start"), F.count(F.lit(1)).alias("n"))
+    parts = parts.select("id", "_part", F.aggregate("s", none, compose).alias("m"), "_start", "n")
+    whole = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_part", F.col("m.a").alias("a"), F.col("m.b").alias("b")))).alias("s"), F.min_by("_start", "_part").alias("_start"), F.sum("n").alias("events"))
+    return whole.select("id", F.aggregate("s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_start"))), lambda w, e: w * e["a"] + e["b"]).alias("weight"), "events")
+
+
+#: Query hashes that an edge remembers.
+MEMORY = 128
+
+
+def counted_once(events: DataFrame, memory: int = MEMORY) -> DataFrame:
+    """events: id, seq, query_hash, ... -> those that count: a query counts unless its hash is among the last memory hashes that counted for the edge (then
+    the event changes nothing, the memory neither). A null or empty hash always counts and is not remembered.
+
+    Events go through in order, an edge's in one task, which holds the memory and no events; all that can repeat within the memory is looked at: an event
+    whose hash never came before for its edge counts without it."""
+    columns = events.columns
+    again = events.where("query_hash <> ''").groupBy("id", "query_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id").distinct()
+    plain = events.join(again, "id", "left_anti").select(*columns)
+    kinds = dict(events.dtypes)
+
+    def run(batches):
+        now, seen = None, {}
+        for b in batches:
+            keep = []
+            for i, h in zip(b.column(columns.index("id")).to_pylist(), b.column(columns.index("query_hash")).to_pylist()):
+                if i != now:
+                    now, seen = i, {}
+                key = None if h is None or h == "" else str(h)
+                keep.append(key is None or key not in seen)
+                if key is not None and key not in seen:
+                    seen[key] = True
+                    if len(seen) > memory:
+                        del seen[next(iter(seen))]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    some = events.join(again, "id", "left_semi").select(*columns).repartition("id").sortWithinPartitions("id", "seq")
+    return plain.unionByName(some.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns)))
+
+
+def utility_fold(events: DataFrame, memory: int = MEMORY) -> DataFrame:
+    """events: id, seq, outcome, query_hash, start -> id, weight, events: success w + .2 (1 - w), harm w * .5, else w * .98; a query counts as counted_once()
+    says."""
+    once = counted_once(events, memory)
     a = F.when(F.col("outcome") == "success", 0.8).when(F.col("outcome") == "harm", 0.5).otherwise(0.98)
     return _fold(once, a, F.when(F.col("outcome") == "success", 0.2).otherwise(0.0), F.col("start"))
 

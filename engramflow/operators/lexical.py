@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+from .cutting import cut
+
 #: Saturation and length normalisation of BM25.
 K1, B = 1.2, 0.75
 
@@ -19,22 +24,77 @@ def postings(docs: DataFrame, terms: str = "terms") -> DataFrame:
     return docs.select("id", "source", F.explode(terms).alias("term")).groupBy("id", "source", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """docs: id, source, terms; queries: query_id, terms -> query_id, id, source, score.
-
-    idf = log1p((S - df + .5) / (df + .5)) with df and S counting sources; lengths are of documents; a query's terms count once;
-    terms c1: weigh 0.15. Only terms that queries have are counted and joined.
-    Scores are rounded to nine digits, so that copies of a text tie whatever the order of summing."""
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = asked.select("term").distinct()
-    size = docs.select("id", F.size("terms").alias("len"))
-    totals = docs.agg(F.countDistinct("source").alias("s"), F.avg(F.size("terms")).alias("avg"))
-    hits = docs.select("id", "source", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "source", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.countDistinct("source").alias("df"))
-    weighed = df.join(F.broadcast(totals)).select("term", (F.log1p((F.col("s") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.when(F.col("term").startswith("c1:"), 0.15).otherwise(1.0)).alias("idf"), "avg")
-    norm = k1 * ((1 - b) + b * F.col("len") / F.col("avg"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return hits.join(weighed, "term").join(size, "id").select("id", "source", "term", part.alias("part")).join(asked, "term").groupBy("query_id", "id", "source").agg(F.round(F.sum("part"), 9).alias("score"))
+class Bm25:
+    """idf, mean length and formula over the fields of encoded documents; df and the number of sources count sources.
+
+    idf = log1p((S - df + .5) / (df + .5)); a term's part is idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)); terms c1: weigh
+    0.15; a query's terms count once; scores are rounded to nine digits, so that copies of a text tie whatever the order of summing."""
+
+    def __init__(self, encoded: DataFrame, block: scan.Block, weights: dict[str, float], k1: float = K1, b: float = B):
+        self.block, self.weights, self.k1, self.b = block, weights, k1, b
+        totals = encoded.agg(F.countDistinct("source").alias("s"), *[F.avg(f"{f}_len").alias(f) for f in weights]).first()
+        light = np.array([0.15 if t.startswith("c1:") else 1.0 for t in block.names])
+        self.idf, self.mean = {}, {}
+        for f in weights:
+            df = np.zeros(len(block.names))
+            for r in encoded.select("source", F.explode(f"{f}_term").alias("term")).groupBy("term").agg(F.countDistinct("source").alias("df")).toLocalIterator():
+                df[r.term] = r.df
+            self.idf[f] = np.log1p((totals.s - df + 0.5) / (df + 0.5)) * light
+            self.mean[f] = totals[f] or 1.0
+
+    def __call__(self, part) -> np.ndarray:
+        total = 0.0
+        for f, weight in self.weights.items():
+            doc, term, tf, size = scan.postings(part, f)
+            norm = self.k1 * ((1 - self.b) + self.b * size / self.mean[f])
+            total = total + weight * scan.summed(self.block, part.num_rows, doc, term, self.idf[f][term] * tf * (self.k1 + 1) / (tf + norm[doc]))
+        if "holds" in part.schema.names:
+            good = np.zeros(total.shape, bool)
+            lists = part.column("holds")
+            good[lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))] = True
+            total = np.where(good, total, 0.0)
+        return np.round(total, 9)
+
+
+_TOP = "query_id long, id long, source string, score double"
+
+
+def _top_of(encoded: DataFrame, block: scan.Block, score, k: int, adjust=None) -> DataFrame:
+    """Every task's k best of each query; adjust(batch) gives a factor by document."""
+    sent = encoded.sparkSession.sparkContext.broadcast((block, score))
+
+    def run(batches):
+        own, value = sent.value
+        best = scan.Best(len(own.ids), k)
+        for part, scores in scan.slices(batches, own, value):
+            if adjust is not None:
+                scores = scores * adjust(part)[None, :]
+            best.add(scores, part.column("id").to_numpy(), part.column("source").to_pylist())
+        rows = [(int(own.ids[q]), i, source, -s) for q, held in enumerate(best.rows) for s, i, source in held]
+        columns = zip(*rows) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.float64()))], ["query_id", "id", "source", "score"])
+
+    return encoded.mapInArrow(run, _TOP)
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] | None = None, phrases: bool = False, by_length: bool = False) -> DataFrame:
+    """docs: id, source and an array of terms for each field of weights (default: terms); queries: query_id, terms -> query_id, id, source, score,
+    rank of the k best documents of each query by the weighed sum of the fields' BM25.
+
+    phrases: docs have text, queries phrases, and only documents that hold one of a query's phrases (lower case) count. by_length: scores are divided
+    by the length of the first field. Documents without an asked term have no rank."""
+    weights = weights or {"terms": 1.0}
+    fields = list(weights)
+    found = docs.sparkSession.createDataFrame([], _TOP)
+    docs = docs.withColumn("source", F.col("source").cast("string"))
+    if phrases:
+        docs = docs.withColumn("text", F.lower("text"))
+    size = f"{fields[0]}_len"
+    adjust = (lambda part: 1.0 / np.maximum(part.column(size).to_numpy(), 1)) if by_length else None
+    for block in scan.blocks(queries, *(["phrases"] if phrases else [])):
+        encoded = scan.encode(docs, block, fields, ("source",), "text" if phrases else None)
+        found = found.unionByName(_top_of(encoded, block, Bm25(encoded, block, weights), k, adjust))
+    return scan.ranked(found, k)
 
 
 def top(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -69,18 +129,113 @@ def representatives(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "id"))).where("_r = 1").drop("_r")
 
 
-def cue_search(cues: DataFrame, queries: DataFrame) -> DataFrame:
-    """cues: id, features; queries: query_id, features (distinct) -> query_id, id, score: sqrt(overlap / weight of the cue * overlap / weight of the
-    query) with idf = ln((N + 1) / (df + .5)), for features no cue has ln((N + 1) / .5)."""
+def lexical_votes(docs: DataFrame, queries: DataFrame, share: float = 0.35, k: int = 60) -> DataFrame:
+    """docs: id, source, terms; queries: query_id, terms -> id, source, score: candidate_fusion() of the BM25 of documents and of sources (sums of their
+    documents') without a row for each query and document.
+
+    Three passes over the encoded documents: the best score of each query and the sum of each (query, source); then the best value and first
+    document of each (query, source); then each document's votes summed over the queries."""
+    spark = docs.sparkSession
+    docs = docs.withColumn("source", F.col("source").cast("string"))
+    out, asked = None, 0
+    for block in scan.blocks(queries):
+        encoded = scan.encode(docs, block, ["terms"], ("source",))
+        score = Bm25(encoded, block, {"terms": 1.0})
+        sent = spark.sparkContext.broadcast((block, score))
+
+        def sums(batches, sent=sent):
+            own, value = sent.value
+            for part, scores in scan.slices(batches, own, value):
+                names, number = np.unique(np.array(part.column("source").to_pylist(), object).astype(str), return_inverse=True)
+                by = np.zeros((len(names), len(own.ids)))
+                np.add.at(by, number, scores.T)
+                most = np.zeros((len(names), len(own.ids)))
+                np.maximum.at(most, number, scores.T)
+                s, q = np.nonzero(by > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(names[s], pa.string()), pa.array(by[s, q]), pa.array(most[s, q])], ["q", "source", "total", "most"])
+
+        own = cut(encoded.mapInArrow(sums, "q int, source string, total double, most double").groupBy("q", "source").agg(F.sum("total").alias("total"), F.max("most").alias("most")))
+        scale = {r.q: (r.most, r.total) for r in own.groupBy("q").agg(F.max("most").alias("most"), F.max("total").alias("total")).toLocalIterator()}
+        asked += len(scale)
+        ep = np.array([scale.get(q, (1.0, 1.0))[0] or 1.0 for q in range(len(block.ids))])
+        src = np.array([scale.get(q, (1.0, 1.0))[1] or 1.0 for q in range(len(block.ids))])
+        # every source's row of shares goes to its documents, so a task needs those of its own documents only
+        shares = own.groupBy("source").agg(F.collect_list("q").alias("qs"), F.collect_list("total").alias("totals"))
+        held = encoded.join(shares, "source", "left")
+        scales = spark.sparkContext.broadcast((block, score, ep, src))
+
+        def values(part, own_, value, ep_, src_):
+            scores = value(part)
+            v = scores / ep_[:, None]
+            for d, (qs, totals) in enumerate(zip(part.column("qs").to_pylist(), part.column("totals").to_pylist())):
+                if qs:
+                    v[qs, d] += share * np.array(totals) / src_[qs]
+            return np.where(scores > 0, v, 0.0)
+
+        def firsts(batches, scales=scales):
+            own_, value, ep_, src_ = scales.value
+            for part, v in scan.slices(batches, own_, lambda p: values(p, own_, value, ep_, src_)):
+                ids, sources = part.column("id").to_numpy(), part.column("source").to_pylist()
+                q, d = np.nonzero(v > 0)
+                order = np.lexsort((ids[d], -v[q, d]))
+                best: dict = {}
+                for i in order.tolist():
+                    best.setdefault((int(q[i]), sources[d[i]]), (float(v[q[i], d[i]]), int(ids[d[i]])))
+                rows = [(a, s, x, i) for (a, s), (x, i) in best.items()]
+                columns = zip(*rows) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.float64(), pa.int64()))], ["q", "source", "best", "first"])
+
+        best = held.mapInArrow(firsts, "q int, source string, best double, first long").groupBy("q", "source").agg(F.max("best").alias("best"), F.max_by(-F.col("first"), F.struct("best", -F.col("first"))).alias("first"))
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("best"), F.desc("first")))
+        places = best.withColumn("place", place).groupBy("source").agg(F.collect_list("q").alias("pq"), F.collect_list("best").alias("bests"), F.collect_list("place").alias("places"))
+
+        def votes(batches, scales=scales):
+            own_, value, ep_, src_ = scales.value
+            for part, v in scan.slices(batches, own_, lambda p: values(p, own_, value, ep_, src_)):
+                total = np.zeros(part.num_rows)
+                for d, (qs, bests, at) in enumerate(zip(*[part.column(c).to_pylist() for c in ("pq", "bests", "places")])):
+                    if qs:
+                        total[d] = (v[qs, d] / np.array(bests) / (k + np.array(at))).sum()
+                hit = np.flatnonzero((v > 0).any(0))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(hit)), part.column("source").take(pa.array(hit)), pa.array(total[hit])], ["id", "source", "x"])
+
+        one = held.join(places, "source", "left").mapInArrow(votes, "id long, source string, x double")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return spark.createDataFrame([], "id long, source string, score double")
+    return out.groupBy("id").agg(F.first("source").alias("source"), (F.sum("x") / max(asked, 1)).alias("score"))
+
+
+class Cosine:
+    """sqrt(overlap / weight of the document * overlap / weight of the query) with idf of asked features and the documents' own weights."""
+
+    def __init__(self, block: scan.Block, idf: np.ndarray, none: float):
+        self.block, self.idf = block, idf
+        weight = np.where(idf > 0, idf, none)
+        self.query = np.bincount(block.query, weights=np.repeat(weight, np.diff(block.first)), minlength=len(block.ids))
+
+    def __call__(self, part) -> np.ndarray:
+        doc, term, _, _ = scan.postings(part, "features")
+        o = scan.summed(self.block, part.num_rows, doc, term, self.idf[term])
+        return np.sqrt(o / np.maximum(part.column("weight").to_numpy(zero_copy_only=False), 1e-300)[None, :] * o / np.maximum(self.query, 1e-300)[:, None])
+
+
+def cue_search(cues: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """cues: id, features (distinct); queries: query_id, features (distinct) -> query_id, id, score, rank of the k best: sqrt(overlap / weight of the cue *
+    overlap / weight of the query) with idf = ln((N + 1) / (df + .5)), for features no cue has ln((N + 1) / .5)."""
     docs = cues.select("id", F.explode("features").alias("f"))
-    asked = queries.select("query_id", F.explode("features").alias("f"))
-    n = cues.agg(F.count(F.lit(1)).alias("n"))
-    idf = docs.groupBy("f").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("f", F.log((F.col("n") + 1) / (F.col("df") + 0.5)).alias("idf"))
-    doc_w = docs.join(idf, "f").groupBy("id").agg(F.sum("idf").alias("dw"))
-    weighed = asked.join(idf, "f", "left").join(F.broadcast(n)).select("query_id", "f", F.coalesce("idf", F.log((F.col("n") + 1) / 0.5)).alias("idf"))
-    query_w = weighed.groupBy("query_id").agg(F.sum("idf").alias("qw"))
-    shared = weighed.join(docs, "f").groupBy("query_id", "id").agg(F.sum("idf").alias("o"))
-    return shared.join(doc_w, "id").join(query_w, "query_id").select("query_id", "id", F.sqrt(F.col("o") / F.col("dw") * F.col("o") / F.col("qw")).alias("score"))
+    n = cues.count()
+    idf = cut(docs.groupBy("f").agg(F.log((n + 1) / (F.count(F.lit(1)) + 0.5)).alias("idf")))
+    weighed = cues.join(docs.join(idf, "f").groupBy("id").agg(F.sum("idf").alias("weight")), "id").withColumn("source", F.lit("")).withColumnRenamed("features", "terms")
+    found = cues.sparkSession.createDataFrame([], _TOP)
+    for block in scan.blocks(queries.withColumnRenamed("features", "terms")):
+        known = np.zeros(len(block.names))
+        names = cues.sparkSession.createDataFrame([(t,) for t in block.names], "f string")
+        for r in idf.join(F.broadcast(names), "f").toLocalIterator():
+            known[block.number[r.f]] = r.idf
+        encoded = scan.encode(weighed.withColumnRenamed("terms", "features"), block, ["features"], ("source", "weight"))
+        found = found.unionByName(_top_of(encoded, block, Cosine(block, known, float(np.log((n + 1) / 0.5))), k))
+    return scan.ranked(found, k).select("query_id", "id", "score", "rank")
 
 
 def record_anchors(episodes: DataFrame, records: DataFrame, eligible: Column | None = None) -> DataFrame:
@@ -143,18 +298,11 @@ def sparse_search(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     found = None
     for name, weight in CHANNELS.items():
         unit = "trigram_units" if name != "bigram" else "bigram_units"
-        asked = queries.select("query_id", F.expr(f"{unit}(text)" if name != "anchor" else "flatten(transform(quoted_anchors(text), a -> split(a, ' ')))").alias("terms"))
-        asked = asked.where(F.size("terms") > 0)
-        own = docs.select("id", "source", F.expr(f"{unit}(text)").alias("terms"))
-        key = docs.select("id", "source", F.expr(f"{unit}(source)").alias("terms"))
-        text = bm25(own, asked).select("query_id", "id", (F.col("score") * TEXT_WEIGHT).alias("s"))
-        by_key = bm25(key, asked).select("query_id", "id", (F.col("score") * KEY_WEIGHT).alias("s"))
-        scored = text.unionByName(by_key).groupBy("query_id", "id").agg(F.round(F.sum("s"), 9).alias("score"))
-        if name == "anchor":
-            phrases = queries.select("query_id", F.explode(F.expr("quoted_anchors(text)")).alias("phrase"))
-            holds = scored.select("query_id", "id").join(docs.select("id", F.lower("text").alias("t")), "id").join(phrases, "query_id").where(F.contains("t", "phrase"))
-            scored = scored.join(holds.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi")
-        channel = top(scored, 2 * limit).select("query_id", "id", F.lit(weight).alias("weight"), "rank", F.col("score").alias("raw"))
+        anchors = name == "anchor"
+        asked = queries.select("query_id", F.expr(f"{unit}(text)" if not anchors else "flatten(transform(quoted_anchors(text), a -> split(a, ' ')))").alias("terms"), F.expr("quoted_anchors(text)").alias("phrases"))
+        own = docs.select("id", "source", F.expr(f"{unit}(text)").alias("words"), F.expr(f"{unit}(source)").alias("key"), *(["text"] if anchors else []))
+        best = bm25_top(own, asked.where(F.size("terms") > 0), 2 * limit, {"words": TEXT_WEIGHT, "key": KEY_WEIGHT}, phrases=anchors)
+        channel = best.select("query_id", "id", F.lit(weight).alias("weight"), "rank", F.col("score").alias("raw"))
         found = channel if found is None else found.unionByName(channel)
     fused = channel_fusion(found)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("raw"), "id"))

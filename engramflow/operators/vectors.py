@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors in one broadcast block: the block's size is this times the dimension times eight bytes.
+#: Query vectors that are broadcast, or in one pack: this times the dimension times eight bytes.
 QUERY_BLOCK = 4096
 
 
@@ -30,61 +30,125 @@ def rejected(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
+_HITS = "query_id long, id long, score double"
+
+
+class _Best:
+    """The k best rows of each query of a block, merged batch by batch; k 0: all."""
+
+    def __init__(self, queries: int, k: int, floor: float):
+        self.k, self.floor = k, floor
+        self.ids, self.scores = [np.zeros(0, np.int64)] * queries, [np.zeros(0)] * queries
+
+    def add(self, scores: np.ndarray, ids: np.ndarray):
+        for i, row in enumerate(scores):
+            least = self.scores[i][-1] if self.k and len(self.scores[i]) >= self.k else -np.inf
+            use = np.flatnonzero((row > -np.inf) & (row >= max(self.floor, least)))
+            if not len(use):
+                continue
+            if self.k and len(use) > self.k:
+                kth = np.partition(row[use], len(use) - self.k)[len(use) - self.k]
+                use = use[row[use] >= kth]
+            all_ids, all_scores = np.concatenate([self.ids[i], ids[use]]), np.concatenate([self.scores[i], row[use]])
+            order = np.lexsort((all_ids, -all_scores))
+            order = order[: self.k] if self.k else order
+            self.ids[i], self.scores[i] = all_ids[order], all_scores[order]
+
+    def rows(self, query_ids: np.ndarray):
+        sizes = [len(x) for x in self.ids]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate([np.zeros(0, np.int64), *self.ids])), pa.array(np.concatenate([np.zeros(0), *self.scores]))], ["query_id", "id", "score"])
+
+
+def _matrix(column) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1)
+
+
+def _packed(rows: DataFrame, names: tuple[str, ...], by: str | None, prefix: str, size: int) -> DataFrame:
+    """rows in packs of at most size vectors (of one value of by): ids and vectors as bytes. No shuffle: a task packs what it reads."""
+    kinds = dict(rows.dtypes)
+    schema = f"{prefix}ids binary, {prefix}v binary" + (f", key {kinds[by]}" if by else "")
+
+    def run(batches):
+        held: dict = {}
+
+        def pack(key):
+            ids, vs = held.pop(key)
+            columns = [pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.concatenate(vs).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns + ([pa.array([key])] if by else []), [f"{prefix}ids", f"{prefix}v"] + (["key"] if by else []))
+
+        for b in batches:
+            ids, v = b.column(0).to_pylist(), _matrix(b.column(1)) if b.num_rows else None
+            keys = b.column(2).to_pylist() if by else [None] * len(ids)
+            for i, key in enumerate(keys):
+                own = held.setdefault(key, ([], []))
+                own[0].append(ids[i])
+                own[1].append(v[i])
+                if len(own[0]) == size:
+                    yield pack(key)
+        for key in list(held):
+            yield pack(key)
+
+    return rows.select(*names, *([by] if by else [])).mapInArrow(run, schema)
+
+
+def _by_packs(index: DataFrame, queries: DataFrame, k: int, by: str | None, floor: float, skip_self: bool) -> DataFrame:
+    """Packs of queries against packs of the index, each pair of packs in one call; with by, only packs of one value meet."""
+    asked, held = _packed(queries, ("query_id", "v"), by, "q", QUERY_BLOCK), _packed(index, ("id", "v"), by, "i", 4 * QUERY_BLOCK)
+
+    def run(batches):
+        for b in batches:
+            for qi, qv, ii, iv in zip(*[b.column(c).to_pylist() for c in ("qids", "qv", "iids", "iv")]):
+                qi, ii = np.frombuffer(qi, np.int64), np.frombuffer(ii, np.int64)
+                scores = np.frombuffer(qv).reshape(len(qi), -1) @ np.frombuffer(iv).reshape(len(ii), -1).T
+                if skip_self:
+                    scores[qi[:, None] == ii[None, :]] = -np.inf
+                best = _Best(len(qi), k, floor)
+                best.add(scores, ii)
+                yield best.rows(qi)
+
+    both = held.join(asked, "key") if by else held.crossJoin(asked)
+    return both.select("qids", "qv", "iids", "iv").mapInArrow(run, _HITS)
+
+
 def search_many(index: DataFrame, queries: DataFrame, k: int, by: str | None = None, floor: float | None = None, skip_self: bool = False) -> DataFrame:
     """index: id, v (and by); queries: query_id, v (and by) -> query_id, id, score, rank (from 1).
 
-    Queries go out in blocks of QUERY_BLOCK vectors. Every task multiplies its rows with the block and
-    keeps its own k best for each query; only those meet in the final ranking. by: only rows with the query's value
-    take part. floor: the least score. k of 0 or less gives nothing."""
+    Up to QUERY_BLOCK query vectors are broadcast: every task multiplies its rows with the block and keeps its own k best for each query.
+    More queries go in packs, and packs of queries meet packs of the index (of their value of by, if there is one), so nothing of the queries
+    comes to the driver. Either way only k rows of a query and task meet in the final ranking. floor: the least score, asked where the score is
+    worked out. k of 0 or less gives nothing."""
     spark = index.sparkSession
     columns = ["id", "v", *([by] if by else [])]
-    schema = "query_id long, id long, score double"
-    found = spark.createDataFrame([], schema)
     if k <= 0:
-        return found.withColumn("rank", F.lit(0))
-
-    def blocks():
-        part = []
-        for r in queries.select("query_id", "v", *([by] if by else [])).toLocalIterator():
-            part.append(r)
-            if len(part) == QUERY_BLOCK:
-                yield part
-                part = []
-        if part:
-            yield part
-
-    for block in blocks():
-        ids = np.array([r.query_id for r in block])
-        keys = [r[by] for r in block] if by else None
-        sent = spark.sparkContext.broadcast((ids, np.array([r.v for r in block], np.float64), keys))
-
-        def local(batches, sent=sent):
+        return spark.createDataFrame([], _HITS).withColumn("rank", F.lit(0))
+    least = -np.inf if floor is None else floor
+    block = queries.select("query_id", "v", *([by] if by else [])).limit(QUERY_BLOCK + 1).collect()
+    if len(block) > QUERY_BLOCK:
+        found = _by_packs(index, queries, k, by, least, skip_self)
+    elif not block:
+        found = spark.createDataFrame([], _HITS)
+    else:
+        keys = np.array([r[by] for r in block], object) if by else None
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in block], np.int64), np.array([r.v for r in block], np.float64), keys))
+
+        def local(batches):
             ids, q, keys = sent.value
-            best: dict[int, pd.DataFrame] = {}
-            for pdf in batches:
-                if not len(pdf):
+            best = _Best(len(ids), k, least)
+            for b in batches:
+                if not b.num_rows:
                     continue
-                own = pdf["id"].to_numpy()
-                scores = q @ np.stack(pdf["v"].to_numpy()).T
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                scores = q @ _matrix(b.column(1)).T
                 if keys is not None:
-                    scores[np.array(keys)[:, None] != pdf[by].to_numpy()[None, :]] = -np.inf
+                    scores[keys[:, None] != np.array(b.column(2).to_pylist(), object)[None, :]] = -np.inf
                 if skip_self:
                     scores[ids[:, None] == own[None, :]] = -np.inf
-                for i, row in enumerate(scores):
-                    use = np.flatnonzero(row > -np.inf)
-                    if len(use) > k:
-                        kth = np.partition(row[use], len(use) - k)[len(use) - k]
-                        use = use[row[use] >= kth]
-                    new = pd.DataFrame({"query_id": ids[i], "id": own[use], "score": row[use]})
-                    if i in best:
-                        new = pd.concat([best[i], new])
-                    best[i] = new.sort_values(["score", "id"], ascending=[False, True]).head(k)
-            for pdf in best.values():
-                yield pdf
-
-        found = found.unionByName(index.select(*columns).mapInPandas(local, schema))
-    if floor is not None:
-        found = found.where(F.col("score") >= floor)
+                best.add(scores, own)
+            yield best.rows(ids)
+
+        found = index.select(*columns).mapInArrow(local, _HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

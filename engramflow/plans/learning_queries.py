@@ -84,14 +84,14 @@ def canonical_receipts(spark, sf):
 
 
 @query("concept_resolution", """WITH c AS (SELECT p_partkey AS id, p_name AS name, p_brand || '/' || p_type || '/' || p_size AS alias FROM part),
-    d AS (SELECT l_orderkey AS draft, min(p_name) AS name, list_distinct(list(alias)) AS names FROM lineitem JOIN c ON id = l_partkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 25 GROUP BY l_orderkey),
+    d AS (SELECT l_orderkey AS draft, min(p_name) AS name, list_distinct(list(alias)) AS names FROM lineitem JOIN c ON id = l_partkey JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey),
     e AS (SELECT draft, min(id) AS exact FROM d JOIN c USING (name) GROUP BY draft HAVING count(DISTINCT id) = 1),
     a AS (SELECT draft, min(id) AS agreed FROM (SELECT draft, unnest(names) AS alias FROM d) JOIN c USING (alias) GROUP BY draft HAVING count(DISTINCT id) = 1)
     SELECT draft, coalesce(exact, agreed) AS id, CASE WHEN exact IS NOT NULL THEN 'name' WHEN agreed IS NOT NULL THEN 'alias' ELSE 'new' END AS how FROM d LEFT JOIN e USING (draft) LEFT JOIN a USING (draft)""")
 def concept_resolution(spark, sf):
-    """Drafts (orders with the names of their larger line items) resolved to parts by name, then by agreeing aliases."""
+    """Drafts (orders with the names of their line items) resolved to parts by name, then by agreeing aliases."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws("/", "p_brand", "p_type", "p_size").alias("alias"))
-    lines = table(spark, sf, "lineitem").where("l_quantity > 25").join(part, F.col("l_partkey") == F.col("id"))
+    lines = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("id"))
     drafts = lines.groupBy(F.col("l_orderkey").alias("draft")).agg(F.min("name").alias("name"), F.collect_set("alias").alias("names"))
     return L.resolve_concepts(drafts, part.select("id", "name"), part.select("id", "alias"))
 
@@ -119,12 +119,12 @@ def edge_admission(spark, sf):
     return L.admission(rows).groupBy(F.coalesce("reason", F.lit("admitted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("edge_equivalence", """SELECT count(*) AS edges, count(DISTINCT k) AS classes FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'semantic|' || least(l_suppkey, l_partkey) || '|' || greatest(l_suppkey, l_partkey)
-    ELSE 'causal|' || l_suppkey || '|' || l_partkey END AS k FROM lineitem)""")
+@query("edge_equivalence", """SELECT k, count(*) AS edges FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'semantic|' || least(l_suppkey, l_partkey) || '|' || greatest(l_suppkey, l_partkey)
+    ELSE 'causal|' || l_suppkey || '|' || l_partkey END AS k FROM lineitem) GROUP BY k""")
 def edge_equivalence(spark, sf):
     """Edges that are one: semantic ones in either direction, others in theirs."""
     kind = F.when(F.col("l_linestatus") == "O", "semantic").otherwise("causal")
-    return table(spark, sf, "lineitem").select(L.equivalence_key(kind, F.col("l_suppkey"), F.col("l_partkey")).alias("k")).agg(F.count("*").alias("edges"), F.countDistinct("k").alias("classes"))
+    return table(spark, sf, "lineitem").select(L.equivalence_key(kind, F.col("l_suppkey"), F.col("l_partkey")).alias("k")).groupBy("k").agg(F.count("*").alias("edges"))
 
 
 @query("edge_weights", f"""WITH {EDGES} SELECT association_id, round(greatest(0, least(1, 0.8 * weight + 0.1 * (confidence * polarity + 1) / 2 + 0.05 * least(1, evidence_count / 4) + 0.05)), 8) AS direct,
@@ -145,20 +145,13 @@ _PROPOSALS = f"""{UNIT}, p AS (SELECT e.vec_id AS edge, s.vec_id AS slot, e.vec_
     r AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY score DESC, key DESC, anchor DESC, edge, target) AS place FROM m)"""
 
 
-def proposals(spark, sf):
-    """Every vector as an edge's cue, every twentieth and its successor as a slot's context and need."""
-    from ..operators.vectors import search_many
-
+def proposed(spark, sf):
+    """Every vector as an edge's cue, and every twentieth and its successor as a slot's context and need."""
     index = unit(spark, sf)
-    slots = index.where("id % 20 = 0").select(F.col("id").alias("query_id"), "v")
-    needs = index.where("id % 20 = 1").select((F.col("id") - 1).alias("query_id"), "v")
-    n = index.count()
-    c = search_many(index, slots, n).select(F.col("query_id").alias("slot"), F.col("id").alias("edge"), F.col("score").alias("context_similarity"))
-    d = search_many(index, needs, n).select(F.col("query_id").alias("slot"), F.col("id").alias("edge"), F.col("score").alias("need_similarity"))
-    life = F.when(F.col("edge") % 5 == 0, "probation").when(F.col("edge") % 5 == 1, "retired").otherwise("active")
-    return c.join(d, ["slot", "edge"]).join(index.select(F.col("id").alias("edge"), "label"), "edge").select(
-        "edge", "slot", (F.col("edge") % 37).alias("target"), ((F.col("label") + 1) / 10).alias("anchor"), "context_similarity", "need_similarity", life.alias("lifecycle"), ((F.col("edge") % 11) / 10).alias("utility")
-    )
+    life = F.when(F.col("id") % 5 == 0, "probation").when(F.col("id") % 5 == 1, "retired").otherwise("active")
+    cues = index.select(F.col("id").alias("edge"), (F.col("id") % 37).alias("target"), ((F.col("label") + 1) / 10).alias("anchor"), life.alias("lifecycle"), ((F.col("id") % 11) / 10).alias("utility"), "v")
+    needs = index.where("id % 20 = 1").select((F.col("id") - 1).alias("slot"), F.col("v").alias("need"))
+    return cues, index.where("id % 20 = 0").select(F.col("id").alias("slot"), F.col("v").alias("context")).join(needs, "slot")
 
 
 @query("contextual_match", f"""WITH {_PROPOSALS}, f AS (SELECT *, score * (1 - target / 100) AS final FROM r WHERE reason IS NULL AND score * (1 - target / 100) >= 0.001),
@@ -166,14 +159,14 @@ def proposals(spark, sf):
     SELECT slot, edge, target, round(final, 6) AS final, row_number() OVER (PARTITION BY slot ORDER BY final DESC, place)::INT AS rank FROM o QUALIFY row_number() OVER (PARTITION BY slot ORDER BY final DESC, place) <= 8""")
 def contextual_match(spark, sf):
     """Two-key matches, multiplied by their targets' support, distinct by target and capped after full ranking."""
-    matched = C.match(proposals(spark, sf), "cn", "geomean", 0.05, 0.05)
+    cues, slots = proposed(spark, sf)
     support = spark.range(37).select(F.col("id").alias("target"), (1 - F.col("id") / 100).alias("support"))
-    return C.select_targets(matched, support, 0.001, 8, 12).select("slot", "edge", "target", F.round("final", 6).alias("final"), "rank")
+    return C.search(cues, slots, support, 0.001, 8, 12, "cn", "geomean", 0.05, 0.05).withColumn("final", F.round("final", 6))
 
 
 @query("contextual_rejections", f"""WITH {_PROPOSALS} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
 def contextual_rejections(spark, sf):
-    return C.match(proposals(spark, sf), "cn", "geomean", 0.05, 0.05).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return C.rejections(*proposed(spark, sf), "cn", "geomean", 0.05, 0.05)
 
 
 @query("proposal_keys", f"""WITH {EDGES} SELECT association_id, sha256(from_id || chr(31) || to_id || chr(31) || polarity) AS proposal_key FROM edges""")
@@ -210,24 +203,24 @@ def coverage_state(spark, sf):
     return E.coverage_state(supports, wanted).select("request", "need", "mode", "covered", F.size("held").cast("long").alias("held"))
 
 
-@query("masked_delta", f"""WITH {_CONTRIB}, t AS (SELECT DISTINCT request, need FROM c WHERE tokens > 44), m AS (SELECT DISTINCT request, need FROM c WHERE tokens > 44 AND edge_id % 5 <> 0 UNION SELECT DISTINCT request, 'extra' FROM c WHERE request % 10 = 0)
+@query("masked_delta", f"""WITH {_CONTRIB}, t AS (SELECT DISTINCT request, need FROM c), m AS (SELECT DISTINCT request, need FROM c WHERE edge_id % 5 <> 0 UNION SELECT DISTINCT request, 'extra' FROM c WHERE request % 10 = 0)
     SELECT request, count(*) FILTER (WHERE NOT l) AS gained, count(*) FILTER (WHERE l) AS lost, CASE WHEN count(*) FILTER (WHERE l) > 0 THEN 'harmful' WHEN count(*) FILTER (WHERE NOT l) > 0 THEN 'sufficient' ELSE 'no_op' END AS verdict
     FROM (SELECT DISTINCT request FROM c) LEFT JOIN (SELECT request, need, false AS l FROM t ANTI JOIN m USING (request, need) UNION ALL SELECT request, need, true FROM m ANTI JOIN t USING (request, need)) USING (request) GROUP BY request""")
 def masked_delta(spark, sf):
     """What requests gain or lose by every fifth edge; some masked sides hold a need that the treatment lacks."""
-    c = contributions(spark, sf).where("tokens > 44")
+    c = contributions(spark, sf)
     hidden = c.where("edge_id % 5 = 0").select("edge_id").distinct()
     needs = lambda df: df.groupBy("request").agg(F.collect_set("need").alias("needs"))
     masked = E.mask(c, hidden).select("request", "need").unionByName(c.where("request % 10 = 0").select("request", F.lit("extra").alias("need")))
     return E.masked_delta(needs(c), needs(masked)).select("request", F.size("gained").cast("long").alias("gained"), F.size("lost").cast("long").alias("lost"), "verdict")
 
 
-@query("edge_attribution", f"""WITH {_CONTRIB}, w AS (SELECT DISTINCT request, CASE WHEN edge_id % 3 = 0 THEN NULL ELSE edge_id END AS edge_id, need FROM c WHERE tokens > 48),
+@query("edge_attribution", f"""WITH {_CONTRIB}, w AS (SELECT DISTINCT request, CASE WHEN edge_id % 3 = 0 THEN NULL ELSE edge_id END AS edge_id, need FROM c),
     h AS (SELECT request, need, count(*) AS holders, bool_or(edge_id IS NULL) AS base FROM w GROUP BY ALL)
     SELECT request, edge_id, count(*) AS needs, bool_or(NOT base) AS sufficient, bool_or(holders = 1) AS necessary FROM w JOIN h USING (request, need) WHERE edge_id IS NOT NULL GROUP BY ALL""")
 def edge_attribution(spark, sf):
     """Single-edge and leave-one-out attribution over all edges; edges divisible by three stand for the base."""
-    c = contributions(spark, sf).where("tokens > 48").withColumn("edge_id", F.when(F.col("edge_id") % 3 != 0, F.col("edge_id")))
+    c = contributions(spark, sf).withColumn("edge_id", F.when(F.col("edge_id") % 3 != 0, F.col("edge_id")))
     return E.attribution(c, c).select("request", "edge_id", "needs", "sufficient", "necessary")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexical as L
-from ..operators.cutting import cut
 from .bindings import table
 from .registry import query
 
@@ -29,7 +28,7 @@ _BM25 = f"""{_DOCS}, h AS (SELECT id, source, term, count(*) AS tf FROM (SELECT
 @query("bm25_topk", f"""WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM bm) WHERE rank <= 10""")
 def bm25_topk(spark, sf):
-    return L.top(L.bm25(docs(spark, sf), questions(spark, sf)), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return L.bm25_top(docs(spark, sf), questions(spark, sf), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("postings_stats", f"""WITH {_DOCS}, p AS (SELECT id, source, term, count(*) AS tf FROM (SELECT id, source, unnest(terms) AS term FROM d) GROUP BY ALL)
@@ -47,9 +46,7 @@ _FUSED = f"""{_BM25}, m AS (SELECT query_id, id, source, score / max(score) OVER
 
 
 def fused(spark, sf):
-    ep = cut(L.bm25(docs(spark, sf), questions(spark, sf)))  # read three times below
-    src = ep.groupBy("query_id", "source").agg(F.sum("score").alias("score"))
-    return L.candidate_fusion(ep, src)
+    return L.lexical_votes(docs(spark, sf), questions(spark, sf))
 
 
 @query("candidate_fusion", f"WITH {_FUSED} SELECT id, round(score, 7) AS score FROM f")
@@ -60,8 +57,7 @@ def candidate_fusion(spark, sf):
 
 @query("source_representatives", f"WITH {_FUSED} SELECT source, id, round(score, 7) AS score FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, id) = 1")
 def source_representatives(spark, sf):
-    scored = fused(spark, sf).join(docs(spark, sf).select("id", "source"), "id")
-    return L.representatives(scored).select("source", "id", F.round("score", 7).alias("score"))
+    return L.representatives(fused(spark, sf)).select("source", "id", F.round("score", 7).alias("score"))
 
 
 @query("channel_max_fusion", f"""WITH {_BM25}, c AS (SELECT query_id, id, 1.0 AS w, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm
@@ -69,10 +65,9 @@ def source_representatives(spark, sf):
     SELECT query_id, id, round(max(w / (60 + rank)), 6) AS score, round(max(score), 6) AS raw FROM c WHERE rank <= 20 GROUP BY ALL""")
 def channel_max_fusion(spark, sf):
     """Two channels (BM25, BM25 by length) fused by the largest weight / (60 + rank), not by the sum."""
-    scores = L.bm25(docs(spark, sf), questions(spark, sf))
-    short = scores.join(docs(spark, sf).select("id", F.size("terms").alias("n")), "id").withColumn("score", F.col("score") / F.col("n")).drop("n")
-    one = L.top(scores, 20).select("query_id", "id", F.lit(1.0).alias("weight"), "rank", F.col("score").alias("raw"))
-    two = L.top(short, 20).select("query_id", "id", F.lit(1.1).alias("weight"), "rank", F.col("score").alias("raw"))
+    own, asked = docs(spark, sf), questions(spark, sf)
+    one = L.bm25_top(own, asked, 20).select("query_id", "id", F.lit(1.0).alias("weight"), "rank", F.col("score").alias("raw"))
+    two = L.bm25_top(own, asked, 20, by_length=True).select("query_id", "id", F.lit(1.1).alias("weight"), "rank", F.col("score").alias("raw"))
     return L.channel_fusion(one.unionByName(two)).select("query_id", "id", F.round("score", 6).alias("score"), F.round("raw", 6).alias("raw"))
 
 
@@ -85,7 +80,7 @@ def channel_max_fusion(spark, sf):
 def cue_idf_search(spark, sf):
     cues = docs(spark, sf).select("id", F.array_distinct("terms").alias("features"))
     asked = questions(spark, sf).select("query_id", F.array_distinct("terms").alias("features"))
-    return L.top(L.cue_search(cues, asked), 10).select("query_id", "id", F.round("score", 6).alias("score"))
+    return L.cue_search(cues, asked, 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("record_anchors", """WITH r AS (SELECT conv_id * 1000 + turn AS id, conv_id AS source, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS fs FROM conversations),
@@ -117,5 +112,5 @@ def line_containment(spark, sf):
     SELECT k.query_id, d.id, k.source AS source_key, round(best * 0.95, 6) AS score FROM k JOIN d ON d.source = k.source ANTI JOIN hh ON hh.query_id = k.query_id AND hh.id = d.id
     QUALIFY row_number() OVER (PARTITION BY k.query_id ORDER BY d.id) <= 40""")
 def source_key_cohort(spark, sf):
-    hits = L.top(L.bm25(docs(spark, sf), questions(spark, sf)), 20).select("query_id", "id", F.col("source").alias("source_key"), "score")
+    hits = L.bm25_top(docs(spark, sf), questions(spark, sf), 20).select("query_id", "id", F.col("source").alias("source_key"), "score")
     return L.cohort(hits, docs(spark, sf).select("id", F.col("source").alias("source_key"))).withColumn("score", F.round("score", 6))

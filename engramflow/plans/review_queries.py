@@ -10,14 +10,14 @@ from .registry import query
 
 
 @query("fact_review", """WITH f AS (SELECT doc_id AS fact, doc_id AS id, substr(text, 10, 25) AS quote FROM documents), h AS (SELECT f.*, d.text, CASE WHEN length(quote) > 0 THEN (length(v) - length(replace(v, quote, ''))) // length(quote) ELSE 0 END AS n, v
-    FROM f JOIN (SELECT doc_id, text, substr(text, 1, 400) AS v FROM documents) d ON d.doc_id = f.id)
+    FROM f JOIN (SELECT doc_id, text, text AS v FROM documents) d ON d.doc_id = f.id)
     SELECT fact, id, CASE WHEN n = 0 THEN 'not_visible' WHEN n > 1 THEN 'ambiguous' ELSE 'accept' END AS status, CASE WHEN n = 1 THEN instr(v, quote) - 1 END::BIGINT AS start,
     CASE WHEN n = 1 THEN sha256(id || '|' || (instr(v, quote) - 1) || '|' || quote) END AS span_hash FROM h""")
 def fact_review(spark, sf):
-    """Quotes of documents that must be literally and once in the visible first 400 characters."""
+    """Quotes of documents that must be literally and once in the whole text, which is the visible window."""
     d = table(spark, sf, "documents")
     facts = d.select(F.col("doc_id").alias("fact"), F.col("doc_id").alias("id"), F.substring("text", 10, 25).alias("quote"))
-    windows = d.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("start"), F.lit(400).cast("long").alias("end"), F.substring("text", 1, 400).alias("text"))
+    windows = d.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"), "text")
     return R.review_facts(facts, windows)
 
 
@@ -31,14 +31,14 @@ def review_grounding(spark, sf):
     return R.grounded(reviews, d.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("source_id"), "text"))
 
 
-@query("evidence_cache", """SELECT count(*) AS held FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 6 <> 2""")
+@query("evidence_cache", """SELECT doc_id AS key, substr(text, 1, 10) AS quote FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 6 <> 2 AND length(text) > 0""")
 def evidence_cache(spark, sf):
     """Cached spans re-verified: a quarter has another source hash, others another place."""
     d = table(spark, sf, "documents").where("length(text) > 0")
     digest = F.when(F.col("doc_id") % 4 == 1, F.sha2(F.lit("old"), 256)).otherwise(F.sha2("text", 256))
     quote = F.when(F.col("doc_id") % 6 == 2, F.lit("\u0001")).otherwise(F.substring("text", 1, 10))
     cache = d.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("source_id"), F.lit(0).alias("start"), F.length(quote).alias("length"), quote.alias("quote"), digest.alias("source_hash"))
-    return R.cached_evidence(cache, d.select(F.col("doc_id").alias("source_id"), "text")).agg(F.count("*").alias("held"))
+    return R.cached_evidence(cache, d.select(F.col("doc_id").alias("source_id"), "text")).select("key", "quote")
 
 
 @query("retrieval_evaluation", r"""WITH d AS (SELECT DISTINCT doc_id, text, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, text, ws, unnest(range(1, len(ws) - 1)) AS i FROM (SELECT *, regexp_split_to_array(text, '[ \n]+') AS ws FROM documents))),
@@ -53,13 +53,17 @@ def retrieval_evaluation(spark, sf):
     from pyspark.sql import Window
 
     words = F.split("text", "[ \n]+")
-    grams = F.when(F.size(words) > 2, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<string>"))
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(grams)).alias("k"))
+    three = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
+    # split once a row: a lambda's variable is not worked out again for every word
+    grams = F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 2, three(ws)).otherwise(F.array().cast("array<string>")))[0]
+    d = table(spark, sf, "documents").select("doc_id", "text")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("item"), F.array_join(F.slice(words, 1, 3), " ").alias("k"))
-    pairs = d.join(b, "k").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.col("text") != F.col("item"), F.abs(F.length("text") - F.length("item")), "doc_id"))
-    ranked = pairs.withColumn("rank", rank)
-    matches = ranked.where(F.contains(F.col("text"), F.col("item"))).select("question", (F.col("doc_id") % 2).alias("group"), F.col("doc_id").alias("id"))
+    found = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("k")).join(b, "k").select("question", "item", "doc_id")
+    pairs = found.join(d, "doc_id").select(
+        "question", "doc_id", (F.col("text") != F.col("item")).alias("other"), F.abs(F.length("text") - F.length("item")).alias("away"), F.contains(F.col("text"), F.col("item")).alias("gold")
+    )
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy("other", "away", "doc_id")))
+    matches = ranked.where("gold").select("question", (F.col("doc_id") % 2).alias("group"), F.col("doc_id").alias("id"))
     groups = b.select("question", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("group"))
     return R.evaluate_retrieval(ranked.select("question", F.col("doc_id").alias("id"), "rank"), matches, groups).withColumn("recall", F.round("recall", 6))
 

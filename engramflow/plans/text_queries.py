@@ -116,9 +116,10 @@ def task_counts(spark, sf):
     return events(spark, sf).groupBy(F.col("event_type").alias("stage"), (F.col("value") > 50).alias("done")).agg(F.count("*").alias("n"))
 
 
-@query("sources_without_episodes", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("sources_without_episodes", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def sources_without_episodes(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers as sources, pending orders as episodes."""
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("orphan_associations", f"""WITH {EDGES} SELECT association_id, from_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 100 <> 7) AS no_episode, to_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 50 <> 3) AS no_concept
@@ -131,18 +132,17 @@ def orphan_associations(spark, sf):
     return j.where("a IS NULL OR b IS NULL").select("association_id", F.col("a").isNull().alias("no_episode"), F.col("b").isNull().alias("no_concept"))
 
 
-@query("concepts_without_links", f"""WITH {EDGES} SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT to_id FROM edges WHERE weight > 0.98)""")
+@query("concepts_without_links", f"""WITH {EDGES} SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT to_id FROM edges WHERE evidence_count > 1)""")
 def concepts_without_links(spark, sf):
-    """Concepts that no strong edge touches, edges being seen from both ends."""
-    strong = edges(spark, sf).where("weight > 0.98")
-    touched = strong.select(F.col("to_id").alias("p_partkey")).unionByName(strong.select((-1 - F.col("from_id")).alias("p_partkey")))
+    """Concepts that no reinforced edge touches, edges being seen from both ends."""
+    e = edges(spark, sf).where("evidence_count > 1")
+    touched = e.select(F.col("to_id").alias("p_partkey")).unionByName(e.select((-1 - F.col("from_id")).alias("p_partkey")))
     return table(spark, sf, "part").join(touched, "p_partkey", "left_anti").select("p_partkey")
 
 
-@query("edge_endpoint_projection", f"""WITH {EDGES} SELECT association_id, o_orderpriority AS from_text, p_name AS to_text FROM edges LEFT JOIN orders ON o_orderkey = from_id LEFT JOIN part ON p_partkey = to_id WHERE confidence > 0.99""")
+@query("edge_endpoint_projection", f"""WITH {EDGES} SELECT association_id, o_orderpriority AS from_text, p_name AS to_text FROM edges LEFT JOIN orders ON o_orderkey = from_id LEFT JOIN part ON p_partkey = to_id""")
 def edge_endpoint_projection(spark, sf):
-    e = edges(spark, sf).where("confidence > 0.99")
-    return e.join(table(spark, sf, "orders"), F.col("from_id") == F.col("o_orderkey"), "left").join(table(spark, sf, "part"), F.col("to_id") == F.col("p_partkey"), "left").select("association_id", F.col("o_orderpriority").alias("from_text"), F.col("p_name").alias("to_text"))
+    return edges(spark, sf).join(table(spark, sf, "orders"), F.col("from_id") == F.col("o_orderkey"), "left").join(table(spark, sf, "part"), F.col("to_id") == F.col("p_partkey"), "left").select("association_id", F.col("o_orderpriority").alias("from_text"), F.col("p_name").alias("to_text"))
 
 
 @query("temporal_edges_of_scope", f"""WITH {TEMPORAL} SELECT scope, from_id, to_id, date_diff('day', a.o_orderdate, b.o_orderdate)::INT AS days FROM temporal JOIN orders a ON a.o_orderkey = from_id JOIN orders b ON b.o_orderkey = to_id WHERE a.o_custkey = scope AND b.o_custkey = scope""")
@@ -160,12 +160,12 @@ def timeline_listing(spark, sf):
     return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(order.asc_nulls_last(), "o_orderkey")).alias("place"))
 
 
-@query("live_edges", f"""WITH {EDGES} SELECT count(*) AS live FROM edges WHERE polarity > 0 AND weight > 0 AND (to_id % 4 <> 0 OR to_id IN (SELECT p_partkey FROM part WHERE p_size > 25))""")
+@query("live_edges", f"""WITH {EDGES} SELECT association_id, from_id, to_id FROM edges WHERE polarity > 0 AND weight > 0 AND (to_id % 4 <> 0 OR to_id IN (SELECT p_partkey FROM part WHERE p_size > 25))""")
 def live_edges(spark, sf):
     """Not retired, positive weight, and recall edges only with a valid receipt."""
     e = edges(spark, sf).where("polarity > 0 AND weight > 0")
     valid = table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("to_id"))
-    return e.where("to_id % 4 <> 0").unionByName(e.where("to_id % 4 = 0").join(valid, "to_id", "left_semi").select(*e.columns)).agg(F.count("*").alias("live"))
+    return e.where("to_id % 4 <> 0").unionByName(e.where("to_id % 4 = 0").join(valid, "to_id", "left_semi").select(*e.columns)).select("association_id", "from_id", "to_id")
 
 
 @query("recall_metrics", """WITH r AS (SELECT o_custkey AS run, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),

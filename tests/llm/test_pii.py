@@ -24,6 +24,42 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert pii.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_grouped_digits_and_new_patterns(spark):
+    """Surfaces with blanks are found by context; what was found makes patterns of its own in the next round."""
+    phones = ["+1 555 123 4567", "+1 555 123 4568", "+1 555 123 4569", "+1 555 123 4560"]
+    rows = [(i, f"please call {p} today", "", 0) for i, p in enumerate(phones)]
+    unseen = ["(555) 987-6543", "555 987 6544", "555.987.6545", "555 987 6546"]
+    rows += [(10 + i, f"please call {p} today", "", 0) for i, p in enumerate(unseen)]
+    rows += [(20 + i, f"her own desk {p} rings", "", 0) for i, p in enumerate(unseen)]
+    rows += [(30, "her own desk 12-34-56 rings", "", 0), (31, "in 2020 35 people", "", 0), (32, "call 5", "", 0)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.more] for r in pii.extract(frame).collect()}
+    for i, p in enumerate(unseen):
+        assert got[10 + i] == [(3, 12, 12 + len(p))] and got[20 + i] == [(3, 13, 13 + len(p))]
+    assert got[30] == [(3, 13, 21)] and got[31] == got[32] == []
+    assert {r.doc_id: len(r.more) for r in pii.extract(frame, rounds=1).collect()}[30] == 0
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    n = 5_000_000
+    for text in ("1" * n, "a" * n + "@b", "a@" * (n // 2), "1." * (n // 2), "1 " * (n // 20), "+1" + "(" * n, "a" * n + "@" + "b" * n, "x" * n + " 4111 1111 1111 1111 " + "y" * n, "(" * n, "1-(" * (n // 10)):
+        start = time.perf_counter()
+        base, rows = pii.mentions(text)
+        assert time.perf_counter() - start < 30
+        assert all(len(r[3]) <= pii.LONG and len(r[4]) <= 2 * pii.LONG + 1 for r in rows)
+    assert [(k, e - s) for k, s, e in pii.base_spans("x" * n + " 4111 1111 1111 1111 " + "y" * n)] == [(2, 19)]
+
+
+def test_extra_columns_that_differ_in_case(spark):
+    rows = [(1, "mail a@b.com", "no 1.2.3.4", 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, TEXT string, Doc_Id int")
+    assert [tuple(map(tuple, r.base)) for r in pii.extract(frame).collect()] == [((0, 5, 12),)]
+    out = pii.redact(frame)
+    assert out.columns == ["doc_id", "text", "TEXT", "Doc_Id"] and [tuple(r) for r in out.collect()] == [(1, "mail <email>", "no 1.2.3.4", 2)]
+
+
 def test_redact_replaces_spans_and_keeps_columns(spark):
     rows = [(1, "write a@b.com or +1 555 123 4567 now", "k", 3), (2, None, None, None), (None, "ip 1.2.3.4", "k", 1), (1, "write a@b.com or +1 555 123 4567 now", "k", 3)]
     out = pii.redact(spark.createDataFrame(rows, SCHEMA))
