@@ -54,7 +54,7 @@ def counted_once(events: DataFrame, memory: int = MEMORY) -> DataFrame:
     Events go through in order, an edge's in one task, which holds the memory and no events; all that can repeat within the memory is looked at: an event
     whose hash never came before for its edge counts without it."""
     columns = events.columns
-    again = events.where("query_hash <> ''").groupBy("id", "query_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id").distinct()
+    again = events.where(F.col("query_hash").cast("string") != "").groupBy("id", "query_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id").distinct()
     plain = events.join(again, "id", "left_anti").select(*columns)
     kinds = dict(events.dtypes)
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def _matches(block: Block):
 def _encoded(column: pa.Array, number: dict[str, int]) -> tuple[pa.Array, pa.Array, np.ndarray]:
     """(numbers of asked terms, their frequencies, lengths in terms) of an array of strings a document."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.array([0 if n is None else n for n in pa.compute.list_value_length(lists).to_pylist()], np.int64)
+    sizes = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
     words = lists.flatten().dictionary_encode()
     code = np.array([number.get(w, -1) for w in words.dictionary.to_pylist()] or [-1], np.int64)
     at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
