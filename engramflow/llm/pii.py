@@ -5,7 +5,8 @@ r"""Personal data by bootstrapped contextual extraction.
    two or more digit groups joined by single blanks, dots, hyphens or brackets.
 2. Each seed and candidate (a mention) gives two lexical contexts: the two words before it, and the word
    before with the word after. Contexts and surfaces form a bipartite graph, one edge for each pair with
-   its count. Words and surfaces of over ``LONG`` characters stand in it by a digest.
+   its count. Surfaces of over ``LONG`` characters stand in it by a digest, words (or what of a word is beside the mention) by
+   their first and last ``ENDS`` characters and their length, so that many mentions beside one long word don't read it each time.
 3. Spark scores the graph in ``ROUNDS`` rounds of joins and aggregations. A pattern (context, kind) scores the
    share of its mentions whose surface is believed to be of the kind, ``sum(n * belief) / (sum(n) + 1)``, and needs
    ``MIN_SEEDS`` distinct surfaces that are seeds or believed with ``MIN_BELIEF`` in the round before, so surfaces that were found induce
@@ -35,8 +36,8 @@ from .common import cut, pick, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, MIN_PATTERN, MIN_BELIEF = 3, 3, 0.5, 0.6
-#: Characters from which on a word or surface is known by its digest.
-LONG = 128
+#: Characters beyond which a surface is known by its digest and a word by ENDS characters of either end and its length.
+LONG, ENDS = 128, 48
 #: The base patterns.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -53,7 +54,7 @@ _MARK = re.compile(r"[0-9@]")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _GROUPS = re.compile(r"(?<![0-9])\(?[0-9]++(?:(?:\) ?|[ .-]\(?)[0-9]++)++")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_ENDS = ".,;:!?\"'()[]{}<>"
+_PUNCTUATION = ".,;:!?\"'()[]{}<>"
 
 
 def luhn(digits: str) -> bool:
@@ -105,9 +106,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans + [(3, m.start(), m.end()) for m in _PHONE.finditer(text) if _valid("phone", m[0])]
 
 
-def _known(word: str) -> str:
-    """A word or surface as the graph has it."""
-    return word.lower() if len(word) <= LONG else f"{word[:8].lower()}#{hashlib.md5(word.lower().encode('utf-8', 'replace')).hexdigest()}"
+def _surface(found: str) -> str:
+    """A surface as the graph has it."""
+    return found.lower() if len(found) <= LONG else f"{found[:8].lower()}#{hashlib.md5(found.lower().encode('utf-8', 'replace')).hexdigest()}"
+
+
+def _word(text: str, start: int, end: int) -> str:
+    """A word, text[start:end], as the graph has it."""
+    if end - start <= LONG:
+        return text[start:end].lower()
+    return f"{text[start : start + ENDS].lower()}#{end - start}#{text[end - ENDS : end].lower()}"
 
 
 def _candidates(text: str, words: list[tuple[int, int]], starts: list[int], covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -116,7 +124,7 @@ def _candidates(text: str, words: list[tuple[int, int]], starts: list[int], cove
     while m:
         low, high = words[bisect_right(starts, m.start()) - 1]
         inner = text[low:high]
-        start, end = low + len(inner) - len(inner.lstrip(_ENDS)), low + len(inner.rstrip(_ENDS))
+        start, end = low + len(inner) - len(inner.lstrip(_PUNCTUATION)), low + len(inner.rstrip(_PUNCTUATION))
         if start < end:
             found.add((start, end))
         m = _MARK.search(text, high)
@@ -152,9 +160,9 @@ def mentions(text: str) -> tuple[list[tuple], list[tuple]]:
     spans, rows = base + [(-1, s, e) for s, e in _candidates(text, words, starts, covered)], []
     for k, s, e in spans:
         i, j = bisect_left(starts, s), bisect_right(ends, e)  # words that begin before the mention; the first that ends after it
-        before = [_known(text[a : min(b, s)]) for a, b in words[max(0, i - 2) : i]]
-        after = _known(text[max(starts[j], e) : ends[j]]) if j < len(words) else ""
-        rows.append((k, s, e, _known(text[s:e]), " ".join(before) if len(before) == 2 else "", f"{before[-1]} _ {after}" if before and after else ""))
+        before = [_word(text, a, min(b, s)) for a, b in words[max(0, i - 2) : i]]
+        after = _word(text, max(starts[j], e), ends[j]) if j < len(words) else ""
+        rows.append((k, s, e, _surface(text[s:e]), " ".join(before) if len(before) == 2 else "", f"{before[-1]} _ {after}" if before and after else ""))
     return base, rows
 
 
