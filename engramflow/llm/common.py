@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cutting import cut, shared_folder
 
-__all__ = ["SPACE", "cut", "pick", "shared_folder", "shuffle_parts", "table"]
+__all__ = ["SPACE", "cut", "pick", "shared_folder", "shuffle_parts", "table", "trim"]
 
 #: The six ASCII white-space characters that separate words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -30,3 +33,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def trim() -> None:
+    """Give memory that this worker has freed back to the system: workers serve later stages too, beside an executor's heap that has grown."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, table, trim
 from .exchange import rolled
 
 Q, RATIO = 8, 0.08
@@ -228,6 +228,7 @@ def leaks(docs: DataFrame, bench: DataFrame, q: int = Q, ratio: float = RATIO) -
         index = spark.sparkContext.broadcast(Index(chunk, q, ratio))
 
         def run(batches, index=index):
+            trim()
             look = index.value
             for b in batches:
                 rows = [(d, look.ids[i], *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for i, hit in look.find(t.as_py()).items()]
@@ -248,6 +249,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, q: int = Q, ratio: float = RAT
         index = spark.sparkContext.broadcast(Index(chunk, q, ratio))
 
         def run(batches, index=index):
+            trim()
             look = index.value
             for b in batches:
                 yield b.filter(pa.array([not look.find(t.as_py()) for t in b.column(text)], pa.bool_()))

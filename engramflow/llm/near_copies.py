@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, pick, shuffle_parts
+from .common import cut, pick, shuffle_parts, trim
 from .components import components
 from .exchange import PIECE_BYTES, _answers, _messages, answer, bucketed, join_parts, mixed, pack, pack_sorted, rolled, split_parts, unpack, wider
 from .exchange import Block as Texts
@@ -44,7 +44,7 @@ from .substring_dedup import word_hashes, words_of
 
 WIDTH, ROWS, BANDS, BLOCK = 5, 6, 64, 1024
 #: Text of a block of nodes, about; counters of the sketch a shingle.
-BLOCK_BYTES, SPREAD = 4 << 20, 64
+BLOCK_BYTES, SPREAD = 2 << 20, 64
 #: Pairs of a node from which on its text is sent to several places, and how many.
 MANY, SALTS = 128, 64
 _draw = np.random.default_rng(20)
@@ -117,6 +117,7 @@ def _packed(blocks: int):
     """A task's rows by block; rows of the same words are one from here on (the first of them)."""
 
     def run(batches):
+        trim()
         held: dict[int, dict[bytes, tuple]] = {}
         size = 0
 
@@ -168,11 +169,13 @@ def _nodes(docs: DataFrame) -> DataFrame:
         return np.unique(plan.counters((hashes, hashes))[0], return_inverse=True, return_counts=True)
 
     def send(rows: pa.Table) -> pa.Table:
+        trim()
         keys, _, n = counted(Nodes(rows).shingles()[1])
         sent = [(0, b, join_parts([pack_sorted(keys[i:j] >> plan.shift), pack(np.packbits(n[i:j] > 1))])) for b, i, j in bucketed(keys, plan.buckets)]
         return _messages(rows.column("block")[0].as_py(), sent)
 
     def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
+        trim()
         nodes, answers = Nodes(rows), _answers(found)
         node, hashes = nodes.shingles()
         keys, which, _ = counted(hashes)
@@ -196,6 +199,7 @@ def _members(nodes: DataFrame) -> DataFrame:
     """key, node, n, u of the band keys that more than one node has."""
 
     def run(batches):
+        trim()
         for b in batches:
             keys = np.concatenate([np.zeros(0, np.int64), *[keys_of(shingles(t.as_py())) for t in b.column(3)]])
             yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(b.column(k).to_numpy(zero_copy_only=False), BANDS)) for k in range(3)]], ["key", "node", "n", "u"])
@@ -241,6 +245,7 @@ def _all_pairs(open_: DataFrame) -> DataFrame:
     """u, v: the pairs of members of a key in different components that are within the bound."""
 
     def run(batches):
+        trim()
         for b in batches:
             found: set[tuple[int, int]] = set()
             for i, j, group in zip(*[b.column(c).to_pylist() for c in range(3)]):
@@ -268,6 +273,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (u, v) with ok: whether their texts are linked. A u of many pairs is sent to SALTS places, which share its pairs."""
 
     def run(batches):
+        trim()
         for b in batches:
             last, ok = (None, set()), []
             for u, a, c in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
@@ -287,6 +293,7 @@ def _by_fingerprint(texts: DataFrame) -> DataFrame:
     """u, v: nodes whose five-word fingerprints are within two bits, as operator 8 finds them: equal ones by their first node, others by a forest."""
 
     def run(batches):
+        trim()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.fromiter((simhash.fingerprint(t.as_py(), WIDTH) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64))], ["node", "fp"])
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pick, table
+from .common import cut, pick, table, trim
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, MIN_PATTERN, MIN_BELIEF = 3, 3, 0.5, 0.6
@@ -176,6 +176,7 @@ def find(docs: DataFrame) -> DataFrame:
     base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
+        trim()
         for b in batches:
             marked = pc.fill_null(pc.match_substring_regex(b.column(2), "[0-9@]"), False).to_pylist()
             base, rows = [], []
@@ -234,6 +235,7 @@ def redact(docs: DataFrame, **how) -> DataFrame:
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.concat("base", "more").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_id", "_h"])
 
     def run(batches):
+        trim()
         for b in batches:
             out = []
             for t, ss in zip(b.column(text).to_pylist(), b.column("_spans").to_pylist()):

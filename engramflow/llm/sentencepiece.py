@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, table, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, UNKNOWN = "▁", 10.0
@@ -292,6 +292,7 @@ def encode(docs: DataFrame, path: str = MODEL, batch: int = 256) -> DataFrame:
     shared = load(docs.sparkSession, path)
 
     def run(batches):
+        trim()
         tokenizer = shared.value
         is_byte = np.zeros(len(tokenizer.output), bool)
         is_byte[tokenizer.bytes[tokenizer.bytes >= 0]] = True
@@ -318,6 +319,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     shared = load(encoded.sparkSession, path)
 
     def run(batches):
+        trim()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.decode([i for i in ids or [] if i is not None]) for ids in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
