@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cutting import cut, shared_folder
 
-__all__ = ["SPACE", "cut", "pick", "shared_folder", "shuffle_parts", "table", "trim"]
+__all__ = ["SPACE", "cut", "pick", "release", "shared_folder", "shuffle_parts", "table", "trim"]
 
 #: The six ASCII white-space characters that separate words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -41,3 +41,9 @@ def trim() -> None:
     free = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if free is not None:
         free(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more, such as those before a cut: it learns of them when the
+    driver's memory is collected, which by itself may be long after an iterative plan has written all its rounds."""
+    spark._jvm.System.gc()

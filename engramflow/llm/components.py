@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round is a few joins and aggregations on node ids; nothing is brought to the driver but one
-checksum a round, and the lineage is cut with checkpoint() into the shared folder.
+checksum a round, and the lineage is cut with checkpoint() into the shared folder, after which a round's shuffle files go.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -30,6 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         now = cut(small)
         last, seen = seen, _sum(now)
+        both = least = large = low = small = None
+        release(edges.sparkSession)
         if last == seen:
             break
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, pick, shuffle_parts, trim
+from .common import cut, pick, release, shuffle_parts, trim
 from .components import components
 from .exchange import PIECE_BYTES, _answers, _messages, answer, bucketed, join_parts, mixed, pack, pack_sorted, rolled, split_parts, unpack, wider
 from .exchange import Block as Texts
@@ -304,20 +304,38 @@ def _by_fingerprint(texts: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct()
 
 
+def _joined(reached: DataFrame, links: DataFrame) -> DataFrame:
+    """reached (node, component) with further links (u, v): only the components that these join go through the search for components."""
+    at = lambda end: reached.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    between = links.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
+    roots = components(between)
+    moved = reached.join(roots.toDF("component", "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return moved.unionByName(roots).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """row (doc_id, h: a hash of the text), component: the first row of each sequence of words in docs, null ids last."""
+    spark = docs.sparkSession
     nodes = cut(_nodes(docs))
+    release(spark)
     texts = nodes.where("text IS NOT NULL")
     members = cut(_members(texts))
     tested = cut(_verified(_by_fingerprint(texts), texts))
     reached = cut(components(tested.where("ok").select("u", "v")))
     for search in (_with_centres, _with_other_centres, _all_pairs):
+        release(spark)
         left = _open(members, reached)
         found = search(left).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")) if search is _all_pairs else search(left)
         known = tested.select(F.least("u", "v").alias("_u"), F.greatest("u", "v").alias("_v"))
         fresh = found.join(known, (F.least("u", "v") == F.col("_u")) & (F.greatest("u", "v") == F.col("_v")), "left_anti")
-        tested = tested.unionByName(cut(_verified(fresh, texts)))
-        reached = cut(components(tested.where("ok").select("u", "v")))
+        fresh = cut(_verified(fresh, texts))
+        tested = tested.unionByName(fresh)
+        left = found = known = None
+        release(spark)
+        links = fresh.where("ok").select("u", "v")
+        if not links.isEmpty():
+            reached = cut(_joined(reached, links))
+    release(spark)
     row = F.struct("doc_id", "h").alias("row")
     return nodes.select(row, "node").join(reached, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
 
