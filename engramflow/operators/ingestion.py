@@ -7,9 +7,18 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PRONOUN = r"(?i)^\s*(he|she|it|they|this|that|these|those|er|sie|es|il|elle|ils|elles|ella|ellos|ellas)\b"
-_CLOSING = r"^\s*[)\]}»”’,.;:!?]"
-UNCERTAIN = r"(?i)\b(perhaps|maybe|possibly|reportedly|allegedly|apparently|might|could|vielleicht|angeblich|peut-être|quizás)\b"
+#: Marks that close a quotation or bracket, and pronouns at the start of a sentence of speech or thought.
+CLOSING = "^[”’」』】）》〉）)\\]]"
+PRONOUN = (
+    "(?i)^(?:(?:她|他|它)(?:们|們)?(?:认为|認為|表示|希望|知道|决定|決定|觉得|覺得|发现|發現|注意|承认|承認|询问|詢問|回答|解释|解釋|建议|建議|要求|担心|擔心|意识|意識|计划|計劃|试图|試圖|想|说|說|拒绝|拒絕|同意)"
+    "|其(?:认为|認為|表示|希望|决定|決定)|彼女は|彼は|彼らは|(?:she|he|they|it)\\b|그녀는|그는|그들은)"
+)
+#: Guesses in brackets behind an unknown speaker, and names before one in brackets.
+GUESS_AFTER = r"((?:一个)?(?:未标注|未知)发言者|\?\?\?)[（(][^）)]*(?:根据上下文|推测|可能|疑似|似乎|应为|应该是)[^）)]*[）)]"
+NAME_BEFORE = r"[A-Za-z\u3400-\u9fff\u3040-\u30ff\uac00-\ud7af·・]{1,32}[（(](\?\?\?|\[USERNAME\]|(?:未标注|未知)发言者)[）)]"
+#: States of nodes that are not certain, and words one of which a relation to them must hold.
+UNCERTAIN = ("reported", "speculative", "mixed")
+QUALIFIERS = ("说法", "声称", "报告", "推测", "猜测", "可能", "尚未确认", "未证实", "未证明", "综合推论", "导入者", "不确定")
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -33,9 +42,10 @@ def complete_participants(episodes: DataFrame, aliases: DataFrame) -> DataFrame:
     return episodes.join(more, "id", "left").withColumn("participants", F.concat("participants", F.coalesce(F.transform("m", lambda x: x["name"]), F.array().cast("array<string>")))).drop("m")
 
 
-def self_containment(text: Column) -> Column:
-    """Why a text can't stand by itself, null if it can."""
-    return F.when(text.rlike(_CLOSING), "closing_fragment").when(text.rlike(_PRONOUN), "unbound_pronoun")
+def self_containment(text: Column, participants: Column) -> Column:
+    """Why a text can't stand by itself, null if it can; a pronoun at its start is bound by any participant."""
+    t = F.regexp_replace(text, r"(?U)^\s+", "")
+    return F.when(t.rlike(CLOSING), "closing_fragment").when((F.coalesce(F.size(participants), F.lit(0)) <= 0) & t.rlike(PRONOUN), "unbound_pronoun")
 
 
 def downgrade_attribution(episodes: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -61,28 +71,42 @@ def validate_spans(spans: DataFrame, lines: DataFrame) -> DataFrame:
     return shape.join(covered, "episode", "left").select("episode", reason.alias("reason"), "quote")
 
 
-def unknown_speakers(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)\b(unknown[ _]speaker|speaker_\d+|\?\?\?)", "someone")
+def known_participants(participants: Column) -> Column:
+    """Participants without guesses: of an unknown speaker the marker stays."""
+    return F.transform(participants, lambda p: F.regexp_replace(F.regexp_replace(p, GUESS_AFTER, "$1"), f"^{NAME_BEFORE}$", "$1"))
+
+
+def unknown_speakers(text: Column, participants: Column) -> Column:
+    """A text without guesses at unknown speakers: the marker stays, the guess goes. Participants are replaced as they are written before names are
+    looked for, so that no word before a name is taken for a part of it."""
+    cleaned = F.transform(F.coalesce(participants, F.array().cast("array<string>")), lambda p: F.regexp_replace(p, GUESS_AFTER, "$1"))
+    marked = lambda acc, p: F.when(p.rlike(f"^{NAME_BEFORE}$"), F.replace(acc, p, F.regexp_replace(p, NAME_BEFORE, "$1"))).otherwise(acc)
+    return F.regexp_replace(F.aggregate(cleaned, F.regexp_replace(text, GUESS_AFTER, "$1"), marked), f"(?i){NAME_BEFORE}", "$1")
 
 
 def growth_guard(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges: id, from_id, to_id, text; nodes: node, uncertain -> ids refused: an uncertain endpoint needs a qualifier in the text."""
-    u = nodes.where("uncertain").select("node")
-    ends = edges.select("id", "text", F.explode(F.array("from_id", "to_id")).alias("node"))
-    return ends.join(u, "node").where(~F.col("text").rlike(UNCERTAIN)).select("id").distinct()
+    """edges: id, from_id, to_id, text; nodes: node, epistemic_status -> ids refused: a relation to an uncertain node needs a word that says so.
+
+    A node that is missing is of unknown state, which is not uncertain. Claims of a role in an organisation are not checked."""
+    plain = edges.where(~F.exists(F.array(*[F.lit(q) for q in QUALIFIERS]), lambda q: F.contains(F.coalesce("text", F.lit("")), q)))
+    ends = plain.select("id", F.explode(F.array("from_id", "to_id")).alias("node"))
+    return ends.join(nodes.where(F.col("epistemic_status").isin(*UNCERTAIN)), "node", "left_semi").select("id").distinct()
 
 
-#: The ordered reasons for which a learning target is refused: (reason, SQL condition).
+#: What a learning target must have, in order: (the reason for refusing it, SQL condition that must hold; null does not).
 TARGET_REASONS = (
-    ("missing", "target IS NULL"), ("self", "target = anchor"), ("inactive", "NOT active"), ("base", "in_base"), ("contextual", "is_contextual"), ("same_source", "target_source = anchor_source"),
-    ("uncertain", "uncertain"), ("unsupported", "supports = 0"), ("harmful", "harm > 0"), ("weak", "gain <= 0"), ("stale", "stale"),
+    ("request_cancelled", "NOT cancelled"), ("answer_guard_failed", "answer_guard_passed"), ("target_not_delivered", "array_contains(delivered, target)"),
+    ("target_returned_by_contextual_expansion", "NOT array_contains(contextual, target)"), ("source_evidence_missing", "size(source_facts) > 0"),
+    ("verification_not_source_bound", "verification_status IN ('verified', 'source_bound')"), ("verification_reference_missing", "size(verification_refs) > 0"),
+    ("query_or_slot_reference_missing", "context_query_id <> '' AND need_query_id <> '' AND slot_id <> ''"), ("vector_reference_missing", "context_vector_ref <> '' AND need_vector_ref <> ''"),
+    ("target_provenance_missing", "size(provenance) > 0"), ("no_recovery_or_costly_reuse_reason", "why IS NOT NULL"),
 )
 
 
 def learning_rejection(targets: DataFrame) -> DataFrame:
     reason = F.lit(None).cast("string")
     for name, condition in reversed(TARGET_REASONS):
-        reason = F.when(F.expr(condition), name).otherwise(reason)
+        reason = F.when(F.coalesce(F.expr(condition), F.lit(False)), reason).otherwise(name)
     return targets.withColumn("reason", reason)
 
 

@@ -7,11 +7,28 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that negate a quotation, and that make a question depend on the one before.
+#: Words that negate a quotation.
 NEGATIONS = ("not", "except", "without", "nicht", "ohne", "sauf", "sans", "sin")
-FOLLOW_UP = r"(?i)^\s*(and|but|so|then|also|what about|how about|why|und|aber|et|mais|y|pero)\b|\b(he|she|it|they|them|his|her|their|that|those|there)\b"
+#: Answer shapes and greetings of requests that ask for no fact.
+CONVERSATION = ("conversation", "conversational", "chat", "chitchat", "greeting")
+EXPLORATION = ("exploratory", "explore", "brainstorm", "discovery")
+GREETINGS = ("你好", "您好", "嗨", "哈喽", "hello", "hi", "早上好", "晚安", "谢谢", "感谢")
+#: Parts of words that negate or qualify a question.
+NEGATED = ("不", "未", "没有", "并非", "not ", "never")
+MODAL = ("是否", "可能", "能否", "如果", "应当", "must", "may", "might")
+#: Patterns of a clause about something that an earlier clause has yet to find.
+FOLLOW_UPS = (
+    "(?:谁|哪位|哪个|什么人).{0,100}(?:这位|这名|该(?:对象|实体|主体)|其|此人).{0,80}(?:谁|哪位|哪个|什么|又|身份|名称|别名|化名|代号)",
+    "(?:这位|这名|该(?:对象|实体|主体)|他们|她们|它们|其|此人).{0,80}(?:谁|哪位|哪个|什么|名称|别名|化名|代号|又)",
+    "(?:已识别|上一跳|前一跳|该候选|此人|上述(?:对象|实体|主体))",
+)
+#: Two subjects of one predicate, enumerations inside quotation marks, marks of slots, and the texts of split slots.
+PAIR = re.compile("([^，。；：！？]{2,12})与([^，。；：！？的]{2,16})的(.{3,})$")
+QUOTED_LIST = re.compile("[‘“\"][^’”\"]*、[^’”\"]*[’”\"]")
+SLOT_MARKS = ("__constraint_slot__ ", "__answer_slot__ ")
+PAIR_SLOTS = ("{}本人直接陈述或表现的{}", "{}直接陈述或被转述的{}")
+LIST_SLOT = "{}（独立证据槽，不能由同列另一条件替代）"
 _QUOTE = re.compile("[\"“「『《]([^\"”」』》]+)[\"”」』》]")
-_CONJUNCT = re.compile(r"\s*(?:[,;、，；]|\b(?:and|or|as well as|und|oder|et|ou|y|o)\b)\s*", re.I)
 
 
 def sub_queries(question: str, entities=(), relation: str = "", most: int = 6) -> list[str]:
@@ -28,10 +45,23 @@ def sub_queries(question: str, entities=(), relation: str = "", most: int = 6) -
     return list(dict.fromkeys(x for x in out if x))[:most]
 
 
-def atomic_slots(texts, most: int = 40) -> list[str]:
-    """Texts split at conjunctions and commas into distinct slots of two characters or more, at most forty."""
-    parts = (p.strip(" .?!。？！") for t in texts for p in _CONJUNCT.split(t or ""))
-    return list(dict.fromkeys(p for p in parts if len(p) >= 2))[:most]
+def atomic_slots(texts, entities=(), whole: str | None = None, most: int = 40) -> list[str]:
+    """Every text, and after it a slot for either subject of a predicate that two share (A与B的...) and for the members of four characters or more of
+    a sentence's enumeration (、, up to eight members). The whole question, marked slots and alternatives (还是) stay whole. Distinct, at most forty."""
+    lead = "、".join(entities[:4]) + "：" if entities else ""
+    out: dict[str, None] = {}
+    for text in ((t or "").strip() for t in texts):
+        slots = [text]
+        if text != whole and not text.startswith(SLOT_MARKS) and "还是" not in text:
+            if two := PAIR.match(text):
+                slots += [PAIR_SLOTS[0].format(two[1], two[3]), PAIR_SLOTS[1].format(two[2], two[3])]
+            for sentence in re.split("[。；\n]", text):
+                members = [] if QUOTED_LIST.search(sentence) else [m.strip() for m in sentence.split("、")]
+                enough = [m for m in members if len(m) >= 4]
+                if len(enough) >= 2 and len(members) <= 8:
+                    slots += [lead + LIST_SLOT.format(m) for m in enough]
+        out |= dict.fromkeys(x for x in slots if x)
+    return list(out)[:most]
 
 
 def bounded_queries(first: str, slots, rest, most: int) -> list[str]:
@@ -45,22 +75,29 @@ def bounded_queries(first: str, slots, rest, most: int) -> list[str]:
     return chosen + rest[:front] + (rest[len(rest) - (room - front) :] if room > front else [])
 
 
-def is_follow_up(question: Column) -> Column:
-    return question.rlike(FOLLOW_UP)
+def _folded(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
-def request_mode(question: Column) -> Column:
-    """enumerate, compare, verify, explain or answer."""
-    q = F.lower(question)
-    return (
-        F.when(q.rlike(r"^\s*(list|name all|which|enumerate)\b|\ball of\b"), "enumerate").when(q.rlike(r"\b(compare|difference|versus|vs)\b"), "compare")
-        .when(q.rlike(r"^\s*(is|are|was|were|did|does|do|has|have|can)\b"), "verify").when(q.rlike(r"^\s*(why|how)\b"), "explain").otherwise("answer")
-    )
+def _holds_any(text: Column, parts) -> Column:
+    return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(text, p))
 
 
-def modality(text: Column) -> Column:
-    """negated, possible or plain, by words."""
-    t = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    negated = F.exists(F.array(*[F.lit(f" {w} ") for w in (*NEGATIONS, "never", "no")]), lambda w: F.contains(t, w))
-    possible = F.exists(F.array(*[F.lit(f" {w} ") for w in ("may", "might", "could", "perhaps", "possibly")]), lambda w: F.contains(t, w))
-    return F.when(negated, "negated").when(possible, "possible").otherwise("plain")
+def is_follow_up(text: Column) -> Column:
+    """Whether a question (with its sub-queries and relation, joined by blanks) has a clause about the unknown answer of an earlier one; null: no."""
+    return F.coalesce(text.rlike("(?d)" + "|".join(FOLLOW_UPS)), F.lit(False))
+
+
+def request_mode(question: Column, shape: Column | None = None) -> Column:
+    """conversational, exploratory or factual: by the shape of the answer wished for, then by greetings, which fill the whole question."""
+    wish = F.regexp_replace(_folded(F.lit("") if shape is None else shape), r"(?U)^\s+|\s+$", "")
+    compact = F.regexp_replace(_folded(question), r"(?U)\s+", "")
+    return F.when(wish.isin(*EXPLORATION), "exploratory").when(wish.isin(*CONVERSATION) | compact.isin(*GREETINGS), "conversational").otherwise("factual")
+
+
+def negation(question: Column) -> Column:
+    return F.when(_holds_any(_folded(question), NEGATED), "explicit_negation").otherwise("")
+
+
+def modality(question: Column) -> Column:
+    return F.when(_holds_any(_folded(question), MODAL), "modal_or_conditional").otherwise("")
