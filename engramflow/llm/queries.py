@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, gru_lm, html_text, pii, quality_rules, sentencepiece, simhash, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, dominance, gru_lm, html_text, pii, quality_rules, sentencepiece, simhash, substring_dedup, suffix_dedup
 
 _MODULES = {
     "op1_gru_lm": gru_lm,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_simhash": simhash,
     "op9_html_text": html_text,
     "op10_quality_rules": quality_rules,
+    "op11_dominance": dominance,
 }
 
 
