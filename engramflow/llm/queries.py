@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, dominance, gru_lm, html_text, periodic_runs, pii, quality_rules, sentencepiece, simhash, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, dominance, gru_lm, html_text, one_bit_search, periodic_runs, pii, quality_rules, sentencepiece, simhash, substring_dedup, suffix_dedup
 
 _MODULES = {
     "op1_gru_lm": gru_lm,
@@ -16,6 +16,7 @@ _MODULES = {
     "op9_html_text": html_text,
     "op10_quality_rules": quality_rules,
     "op11_dominance": dominance,
+    "op12_one_bit_search": one_bit_search,
     "op13_periodic_runs": periodic_runs,
 }
 
