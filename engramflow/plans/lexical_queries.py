@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import lexical as L
+from ..operators.cutting import shared_folder
+from ..operators.posting_index import PostingIndex
 from .bindings import table
 from .registry import query
 
@@ -114,3 +118,20 @@ def line_containment(spark, sf):
 def source_key_cohort(spark, sf):
     hits = L.bm25_top(docs(spark, sf), questions(spark, sf), 20).select("query_id", "id", F.col("source").alias("source_key"), "score")
     return L.cohort(hits, docs(spark, sf).select("id", F.col("source").alias("source_key"))).withColumn("score", F.round("score", 6))
+
+
+@query("posting_index_search", f"""WITH {_DOCS}, now AS (SELECT id, CASE WHEN quality = 1 AND toxic = 0 THEN terms || terms[1:20] ELSE terms END AS terms FROM d LEFT JOIN labels l ON l.doc_id = id WHERE coalesce(toxic, 0) = 0),
+    h AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM now) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    t AS (SELECT count(*) AS n, avg(len(terms)) AS a FROM now), df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+    bm AS (SELECT query_id, id, round(sum(greatest(0.000001::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(now.terms) / a))), 9) AS score
+        FROM h JOIN df USING (term) JOIN now USING (id) JOIN q USING (term), t GROUP BY query_id, id)
+    SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM bm) WHERE rank <= 10""")
+def posting_index_search(spark, sf):
+    """Search in a maintained index: all documents are inserted, labelled ones then replaced (by their text with its first words again) or, if toxic, deleted."""
+    rows = docs(spark, sf).select("id", F.lit(1).cast("long").alias("seq"), F.lit("put").alias("op"), "terms")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    again = rows.join(labels, "id").where("quality = 1 OR toxic = 1").select("id", F.lit(2).cast("long").alias("seq"), F.when(F.col("toxic") == 1, "delete").otherwise("put").alias("op"), F.concat("terms", F.slice("terms", 1, 20)).alias("terms"))
+    index = PostingIndex(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    index.apply(rows, 1)
+    index.apply(again, 2)
+    return index.search(questions(spark, sf), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
