@@ -249,11 +249,11 @@ def greedy_selection_v1(spark, sf):
     nth AS (SELECT id, ts AS proved FROM once WHERE kind = 'success' AND ts < ends QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts, event_id) = 2),
     g AS (SELECT id, list(CASE kind WHEN 'success' THEN 1.0 WHEN 'harm' THEN -1.0 ELSE 0.0 END::DOUBLE ORDER BY ts, event_id) AS s FROM once LEFT JOIN nth USING (id) WHERE proved IS NOT NULL OR ts < ends GROUP BY id)
     SELECT id, CASE WHEN proved IS NOT NULL THEN 'active' WHEN ends <= TIMESTAMP '2024-01-20' THEN 'retired' ELSE 'probation' END AS lifecycle,
-        epoch_us(CASE WHEN proved IS NOT NULL THEN proved WHEN ends <= TIMESTAMP '2024-01-20' THEN ends ELSE born END) AS since_us,
+        strftime(CASE WHEN proved IS NOT NULL THEN proved WHEN ends <= TIMESTAMP '2024-01-20' THEN ends ELSE born END, '%Y-%m-%d %H:%M:%S.%f') AS since,
         round(coalesce(list_reduce(s, lambda w, x: CASE WHEN x > 0 THEN w * 0.8::DOUBLE + 0.2::DOUBLE WHEN x < 0 THEN w * 0.5::DOUBLE ELSE w * 0.98::DOUBLE END, 0::DOUBLE), 0), 8) AS weight, coalesce(len(s), 0)::BIGINT AS events
     FROM born LEFT JOIN nth USING (id) LEFT JOIN g USING (id)""")
 def probation_lifecycle(spark, sf):
     """Edges (users) on probation for three days from their first signup: two purchases of different queries in that time make them active; as of a day."""
     kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "harm").otherwise("noop")
     rows = events(spark, sf).select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("k").cast("string").alias("query_hash"))
-    return P.lifecycle(rows, "2024-01-20", 3 * 86_400).select("id", "lifecycle", F.unix_micros("since").alias("since_us"), F.round("weight", 8).alias("weight"), "events")
+    return P.lifecycle(rows, "2024-01-20", 3 * 86_400).select("id", "lifecycle", F.date_format("since", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("since"), F.round("weight", 8).alias("weight"), "events")
