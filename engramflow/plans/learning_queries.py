@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import contextual as C
 from ..operators import evidence as E
 from ..operators import learning as L
+from ..operators.resolution import resolve_batch
 from ..streaming import probation as P
 from .bindings import EDGES, UNIT, edges, table
 from .registry import query
@@ -97,6 +98,33 @@ def concept_resolution(spark, sf):
     return L.resolve_concepts(drafts, part.select("id", "name"), part.select("id", "alias"))
 
 
+_NAMES = "p_name || ' ' || p_brand AS name, [p_name || ' ' || p_type, p_brand || ' ' || p_size] AS more"
+
+
+@query("concept_batch", f"""WITH p AS (SELECT p_partkey AS id, p_size > 45 AS old, {_NAMES} FROM part),
+    base AS (SELECT list(struct_pack(name := alias, id := id, exact := alias = name)) AS own FROM (SELECT id, name, unnest([name, more[1]]) AS alias FROM p WHERE old)),
+    d AS (SELECT id AS seq, [name] || more AS names FROM p WHERE NOT old),
+    steps AS (SELECT list(struct_pack(own := []::STRUCT(name VARCHAR, id BIGINT, exact BOOLEAN)[], out := []::STRUCT(seq BIGINT, id BIGINT, how VARCHAR)[], last := 0::BIGINT, seq := seq, names := names) ORDER BY seq) AS s FROM d),
+    done AS (SELECT list_reduce(s, lambda a, x: list_transform([struct_pack(
+            e := list_distinct(list_transform(list_filter(a.own, lambda o: o.name = x.names[1] AND o.exact), lambda o: o.id)),
+            u := list_distinct(flatten(list_filter(list_transform(list_distinct(x.names), lambda n: list_distinct(list_transform(list_filter(a.own, lambda o: o.name = n), lambda o: o.id))), lambda l: len(l) = 1))),
+            m := list_distinct(list_transform(list_filter(a.own, lambda o: list_contains(x.names, o.name)), lambda o: o.id)))],
+        lambda g: list_transform([struct_pack(c := CASE WHEN len(g.e) = 1 THEN g.e[1] WHEN len(g.u) = 1 THEN g.u[1] WHEN len(g.m) = 1 THEN g.m[1] END, how := CASE WHEN len(g.e) = 1 THEN 'name' WHEN len(g.u) = 1 OR len(g.m) = 1 THEN 'alias' ELSE 'new' END)],
+        lambda r: struct_pack(own := a.own || list_transform(list_filter(list_distinct(x.names), lambda n: r.c IS NULL OR len(list_filter(a.own, lambda o: o.name = n)) = 0),
+                lambda n: struct_pack(name := n, id := coalesce(r.c, a.last + 1), exact := r.c IS NULL AND n = x.names[1])),
+            out := a.out || [struct_pack(seq := x.seq, id := coalesce(r.c, a.last + 1), how := r.how)], last := a.last + CASE WHEN r.c IS NULL THEN 1 ELSE 0 END, seq := x.seq, names := x.names))[1])[1],
+        struct_pack(own := (SELECT own FROM base), out := []::STRUCT(seq BIGINT, id BIGINT, how VARCHAR)[], last := (SELECT max(id) FROM p WHERE old), seq := 0::BIGINT, names := []::VARCHAR[])) AS r FROM steps)
+    SELECT o.seq, o.id, o.how FROM (SELECT unnest(r.out) AS o FROM done)""")
+def concept_batch(spark, sf):
+    """Large parts are concepts with two names; the others are drafts in the order of their keys, with names that collide in all ways."""
+    two = lambda a, b: F.concat_ws(" ", a, b)
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") > 45).alias("old"), two("p_name", "p_brand").alias("name"), F.array(two("p_name", "p_type"), two("p_brand", F.col("p_size").cast("string"))).alias("more"))
+    old = part.where("old")
+    drafts = part.where("NOT old").select(F.col("id").alias("seq"), "name", F.col("more").alias("aliases"))
+    concepts = old.select("id", "name", F.lit(True).alias("active"), F.lit(None).cast("long").alias("canonical_id"))
+    return resolve_batch(drafts, concepts, old.select("id", F.explode(F.array("name", F.col("more")[0])).alias("alias")))[0]
+
+
 @query("alias_additions", """WITH a AS (SELECT p_partkey AS id, p_brand || '/' || p_size AS alias FROM part WHERE p_partkey % 3 = 0), n AS (SELECT min(p_partkey) AS id, p_brand || '/' || p_size AS alias FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL)
     SELECT id, count(*) AS aliases FROM (SELECT * FROM a UNION ALL SELECT id, alias FROM n WHERE alias NOT IN (SELECT alias FROM a)) GROUP BY id""")
 def alias_additions(spark, sf):
