@@ -13,11 +13,12 @@ whole sequence); a text is the set of its shingles. Two texts are linked if |A &
    probability (1 - 0.8^6)^64 < 4e-9.
 4. Candidates are verified shingle by shingle in rounds, between which links become components: first every member of a key with the key's
    centre (its node with the fewest shingles of its own), then members with the centres of the key's other components, then all pairs of a key that are
-   still in different components and within the bound. So a group of many copies of one text costs a pair a member.
+   still in different components and within two exact bounds, that of step 2 and one on the parities of hashed shingles (``parities``), which needs no text. So
+   a group of many copies of one text costs a pair a member.
 
 Scale: keys with one member go first. The last round deals a key of more than ``BLOCK`` members in pairs of blocks, so no
-task holds more than about twice as many. A centre of many pairs is sent to ``SALTS`` places. Left quadratic: members of a key that are within the bound
-of each other, unlinked, and in different components.
+task holds more than about twice as many. A centre of many pairs is sent to ``SALTS`` places. Left quadratic: the comparison of parities of a key's
+members in different components, a few machine words a pair.
 
 Edge cases: null text counts as empty; null ids come after all others; repeated rows are copies; empty tables stay empty; other columns are
 kept and never read.
@@ -241,8 +242,48 @@ def _with_other_centres(open_: DataFrame) -> DataFrame:
     return pairs.select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
 
 
-def _all_pairs(open_: DataFrame) -> DataFrame:
-    """u, v: the pairs of members of a key in different components that are within the bound."""
+def parities(found: set[bytes]) -> bytes:
+    """A bit for each of some 4 n places: whether an odd number of the shingles fall on it. Two sets' bits differ in no more places than they have shingles
+    that only one of them holds; half the places with the other half laid over it (xor) are those of half the width."""
+    width = 1 << max(8, (4 * len(found) - 1).bit_length())
+    at = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)) & np.uint64(width - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, words: int) -> np.ndarray:
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+class _Bits:
+    """Parities of some members, at any width that they have."""
+
+    def __init__(self, bits: list[bytes]):
+        self.bits, self.words = bits, np.array([len(b) // 8 for b in bits])
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def apart(self, bits: bytes, which: np.ndarray) -> np.ndarray:
+        """In how many places those members' bits differ from bits, at the narrowest width of them."""
+        words = min(len(bits) // 8, int(self.words[which].min()))
+        if words not in self.at:
+            wide = np.flatnonzero(self.words >= words)
+            place = np.zeros(len(self.bits), np.int64)
+            place[wide] = np.arange(len(wide))
+            self.at[words] = place, np.stack([_folded(self.bits[i], words) for i in wide])
+        place, rows = self.at[words]
+        return np.bitwise_count(rows[place[which]] ^ _folded(bits, words)).sum(axis=1, dtype=np.int64)
+
+
+def _all_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v: the pairs of members of a key in different components that are within the bounds of both counts and parities: a similarity of 4/5 leaves
+    (n_a + n_b) / 9 shingles at most that only one of the two holds."""
+
+    def marked(batches):
+        trim()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parities(shingles(t.as_py())) for t in b.column(1)], pa.binary())], ["node", "bits"])
 
     def run(batches):
         trim()
@@ -254,18 +295,24 @@ def _all_pairs(open_: DataFrame) -> DataFrame:
                 x, y = ({k: np.array([m[k] for m in side], np.int64) for k in ("node", "component", "n", "u")} for side in sides)
                 if not len(x["node"]) or not len(y["node"]):
                     continue
+                bits = _Bits([m["bits"] for m in sides[1]])
                 for k in range(len(x["node"])):
                     most = np.minimum(x["n"][k] - x["u"][k], y["n"] - y["u"])
                     ok = (5 * most >= 4 * (x["n"][k] + y["n"] - most)) & (y["component"] != x["component"][k])
                     own = int(x["node"][k])
-                    found.update((min(own, v), max(own, v)) for v in y["node"][ok].tolist() if v != own)
+                    may = np.flatnonzero(ok & (y["node"] != own))
+                    if len(may):
+                        may = may[9 * bits.apart(sides[0][k]["bits"], may) <= x["n"][k] + y["n"][may]]
+                        found.update((min(own, v), max(own, v)) for v in y["node"][may].tolist())
             u, v = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
+    bits = texts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(marked, "node long, bits binary")
+    open_ = open_.join(bits, "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "component", "own", "n", "u")).alias("group"))
+    dealt = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "component", "own", "n", "u", "bits")).alias("group"))
     return dealt.select("i", "j", "group").mapInArrow(run, "u long, v long").distinct()
 
 
@@ -325,7 +372,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     for search in (_with_centres, _with_other_centres, _all_pairs):
         release(spark)
         left = _open(members, reached)
-        found = search(left).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")) if search is _all_pairs else search(left)
+        found = search(left, texts) if search is _all_pairs else search(left)
         known = tested.select(F.least("u", "v").alias("_u"), F.greatest("u", "v").alias("_v"))
         fresh = found.join(known, (F.least("u", "v") == F.col("_u")) & (F.greatest("u", "v") == F.col("_v")), "left_anti")
         fresh = cut(_verified(fresh, texts))

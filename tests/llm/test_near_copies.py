@@ -100,3 +100,43 @@ def test_stage_links_what_two_bits_do_not(spark):
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     top = brute_components([r.text for r in rows])
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {rows[i].doc_id for i in set(top)}
+
+
+def test_parities_bound_what_differs():
+    rng = random.Random(7)
+    tight = []
+    for _ in range(300):
+        n = rng.choice([3, 20, 60, 64, 65, 130, 500])
+        common = [b"c%d" % rng.randrange(10**9) for _ in range(n)]
+        a, b = (set(common + [b"x%d" % rng.randrange(10**9) for _ in range(rng.randrange(n // 4 + 2))]) for _ in "ab")
+        others = [set(common[: max(1, n // 2)]), b]
+        low = near_copies._Bits([near_copies.parities(x) for x in others]).apart(near_copies.parities(a), np.array([0, 1]))
+        for x, least in zip(others, low):
+            assert least <= len(a ^ x)
+        alone = near_copies._Bits([near_copies.parities(b)]).apart(near_copies.parities(a), np.array([0]))[0]
+        assert alone <= len(a ^ b)
+        tight.append(alone / max(1, len(a ^ b)))
+        if near_copies.linked(a, b):
+            assert 9 * alone <= len(a) + len(b)
+    assert np.mean(tight) > 0.85
+
+
+def test_a_group_of_unlinked_copies_is_not_read_pair_by_pair(spark, monkeypatch):
+    """Copies with five to nine edits each of a text that is not there: within the bound of counts of each other, hardly any linked; the last round reads few of their pairs."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(300)]
+    spots = [rng.sample(range(0, 300, 7), 30) for _ in range(20)]
+    texts = []
+    for i in range(240):  # edits of a few patterns, so that few shingles are a copy's own
+        words = list(base)
+        for at in rng.sample(spots[i % 20], 10 + i % 5):
+            words[at] = f"v{at}-{rng.randrange(3)}"
+        texts.append(" ".join(words))
+    compared, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, found: compared.append(pairs.count()) or verified(pairs, found))
+    got = near_copies.near_copies(spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA)).collect()
+    names: dict = {}
+    for r in sorted(got, key=lambda r: r.row.doc_id):
+        names.setdefault(r.component, r.row.doc_id)
+    assert {r.row.doc_id: names[r.component] for r in got} == dict(enumerate(brute_components(texts)))
+    assert compared[-1] < len(texts)
