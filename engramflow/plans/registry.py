@@ -27,7 +27,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import bookkeeping_queries, excerpt_queries, graph_queries, learning_queries, lexical_queries, review_queries, store_queries, text_queries, vector_queries  # noqa: F401
+    from . import audit_queries, bookkeeping_queries, excerpt_queries, graph_queries, learning_queries, lexical_queries, review_queries, store_queries, text_queries, vector_queries  # noqa: F401
 
 
 _load()
