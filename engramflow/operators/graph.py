@@ -56,24 +56,29 @@ def beam_traversal(edges: DataFrame, seeds: DataFrame, hops: int, beam: int) ->
     return best, paths
 
 
+def conductances(edges: DataFrame) -> DataFrame:
+    """node, other, c: weight * confidence * DECAY / sqrt(degree of the target) of the best edge each way, the degree being distinct neighbours by positive
+    edges; loops don't conduct; a product of weight and confidence counts as 1 at most."""
+    ways = both_ways(edges.where("weight * confidence > 0 AND from_id <> to_id"))
+    degree = ways.groupBy(F.col("node").alias("other")).agg(F.countDistinct("other").alias("degree"))
+    best = ways.groupBy("node", "other").agg(F.max(F.least(F.lit(1.0), F.col("weight") * F.col("confidence"))).alias("c"))
+    return best.join(degree, "other").select("node", "other", (F.col("c") * DECAY / F.sqrt("degree")).alias("c"))
+
+
 def spreading_activation(edges: DataFrame, seeds: DataFrame, floor: float = 0.0) -> DataFrame:
     """root, node, support: the largest product of conductances from a root's seeds, to the fixed point.
 
-    seeds: root, node, activation (positive ones count). Conductance: weight * confidence * DECAY / sqrt(degree of the
-    target), the degree being distinct neighbours by positive edges; loops don't conduct. Supports at or below floor end a path. Conductances are
-    at most DECAY (a product of weight and confidence counts as 1 at most), so a path's support falls by DECAY a step and no best path has a cycle: the frontier runs dry by itself."""
-    ways = both_ways(edges.where("weight * confidence > 0 AND from_id <> to_id"))
-    degree = ways.groupBy(F.col("node").alias("other")).agg(F.countDistinct("other").alias("degree"))
-    flow = ways.groupBy("node", "other").agg(F.max(F.least(F.lit(1.0), F.col("weight") * F.col("confidence"))).alias("c")).join(degree, "other").select("node", "other", (F.col("c") * DECAY / F.sqrt("degree")).alias("c"))
-    flow = cut(flow)
-    best = cut(seeds.where("activation > 0").groupBy("root", "node").agg(F.max("activation").alias("support")))
-    frontier = best
+    seeds: root, node, activation (positive ones count). Supports at or below floor end a path. Conductances are
+    at most DECAY, so a path's support falls by DECAY a step and no best path has a cycle: the frontier runs dry by itself. Improvements are appended round by round and the
+    best is taken at the end; nothing is written twice."""
+    flow = cut(conductances(edges))
+    frontier = reached = cut(seeds.where("activation > 0").groupBy("root", "node").agg(F.max("activation").alias("support")))
     while not frontier.isEmpty():
-        reached = frontier.join(flow, "node").groupBy("root", F.col("other").alias("node")).agg(F.max(F.col("support") * F.col("c")).alias("support")).where(F.col("support") > floor)
-        old = best.select("root", "node", F.col("support").alias("_old"))
-        frontier = cut(reached.join(old, ["root", "node"], "left").where("_old IS NULL OR support > _old").select("root", "node", "support"))
-        best = cut(best.join(frontier.select("root", "node"), ["root", "node"], "left_anti").unionByName(frontier))
-    return best
+        ahead = frontier.join(flow, "node").groupBy("root", F.col("other").alias("node")).agg(F.max(F.col("support") * F.col("c")).alias("support")).where(F.col("support") > floor)
+        old = reached.select("root", "node", F.col("support").alias("_old"))
+        frontier = cut(ahead.join(old, ["root", "node"], "left").groupBy("root", "node", "support").agg(F.max("_old").alias("_old")).where("_old IS NULL OR support > _old").drop("_old"))
+        reached = reached.unionByName(frontier)
+    return reached.groupBy("root", "node").agg(F.max("support").alias("support"))
 
 
 def noisy_or(support: DataFrame) -> DataFrame:

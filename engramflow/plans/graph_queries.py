@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.cutting import shared_folder
+from ..operators.resumable import ResumableSpreading
 from .bindings import EDGES, TEMPORAL, edges, table, temporal
 from .registry import query
 
@@ -76,18 +80,32 @@ def beam_traversal(spark, sf):
     return best.groupBy("root", "hops").agg(F.count("*").alias("nodes"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("best"))
 
 
-@query("spreading_activation", f"""WITH RECURSIVE {_WAYS}, d AS (SELECT node AS other, count(DISTINCT other) AS degree FROM ways WHERE weight * confidence > 0 GROUP BY node),
+_SPREAD = f"""WITH RECURSIVE {_WAYS}, d AS (SELECT node AS other, count(DISTINCT other) AS degree FROM ways WHERE weight * confidence > 0 GROUP BY node),
     flow AS (SELECT node, other, max(weight * confidence) * 0.85 / sqrt(any_value(degree)) AS c FROM ways JOIN d USING (other) WHERE weight * confidence > 0 GROUP BY ALL),
     s(root, node, support) AS (SELECT o_orderkey % 5, o_orderkey, max(o_totalprice / 500000) FROM orders WHERE o_totalprice > 0 GROUP BY ALL
         UNION SELECT root, other, support * c FROM s JOIN flow USING (node) WHERE support * c > 0.02),
     m AS (SELECT root, node, max(support) AS support FROM s GROUP BY ALL)
-    SELECT node, round(CASE WHEN max(support) >= 1 THEN 1 ELSE 1 - exp(sum(ln(1 - least(support, 1 - 1e-16)))) END, 8) AS activation FROM m GROUP BY node""")
+    SELECT node, round(CASE WHEN max(support) >= 1 THEN 1 ELSE 1 - exp(sum(ln(1 - least(support, 1 - 1e-16)))) END, 8) AS activation FROM m GROUP BY node"""
+
+
+@query("spreading_activation", _SPREAD)
 def spreading_activation(spark, sf):
     """Activation of all nodes from five roots, over paths of support above 0.02."""
     seeds = table(spark, sf, "orders").select((F.col("o_orderkey") % 5).alias("root"), F.col("o_orderkey").alias("node"), (F.col("o_totalprice") / 500000).alias("activation"))
     return G.noisy_or(G.spreading_activation(graph(spark, sf), seeds, 0.02)).withColumn("activation", F.round("activation", 8))
 
 
+@query("resumed_spreading", _SPREAD)
+def resumed_spreading(spark, sf):
+    """The same, stopped after 40 and 400 expansions and resumed."""
+    seeds = table(spark, sf, "orders").select((F.col("o_orderkey") % 5).alias("root"), F.col("o_orderkey").alias("node"), (F.col("o_totalprice") / 500000).alias("activation"))
+    folder = f"{shared_folder(spark)}/spreading-{uuid.uuid4().hex}"
+    for budget in (40, 400, None):
+        search = ResumableSpreading(graph(spark, sf), seeds, folder, 0.02)
+        search.run(budget)
+    return G.noisy_or(search.supports()).withColumn("activation", F.round("activation", 8))
+
+
 @query("chronological_order", """SELECT o_custkey AS scope, o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position, '' AS note FROM orders""")
 def chronological_order(spark, sf):
     """Topological order of each customer's orders; the story order is against it, so only the edges decide."""
