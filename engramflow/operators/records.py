@@ -12,26 +12,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.dialogue import korean
+
 #: Languages of translations in the order of preference, those that are all kept and those of which one stands in; metadata that the compact view keeps;
 #: speakers that are no names.
 PRIMARY, FALLBACK = ("zh-CN", "ja", "en"), ("zh-TW", "th", "unknown")
 KEPT = ("[record:", "[speaker_raw:", "[evidence_origin:", "[epistemic_status:", "[evidence_generation:", "[epistemic_note:", "[document_role:", "[document_style:")
 NOBODY = ("???", "unknown speaker", "未知发言者", "未标注发言者")
-TAG = r"<[^>]*>|\[/?[a-z][a-z0-9_=#]*\]"
 PREFIX = r"(?i)^(?:zh-CN|zh-TW|ja|en|ko|th|unknown):\s*"
-_BREAKS = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_BREAKS = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def clean_text(c: Column) -> Column:
-    """Tags out, [USERNAME] kept, white space collapsed."""
-    kept = F.regexp_replace(F.replace(c, F.lit("[USERNAME]"), F.lit("\0")), TAG, " ")
-    return F.replace(strip(F.regexp_replace(kept, r"(?U)\s+", " ")), F.lit("\0"), F.lit("[USERNAME]"))
-
-
 def lines_of(sources: DataFrame) -> DataFrame:
     """id, pos (from 0), line, record (0 before the first) of sources (id, text)."""
     rows = sources.select("id", F.posexplode(F.split(F.regexp_replace("text", _BREAKS, "\n"), "\n", -1)).alias("pos", "line"))
@@ -63,14 +58,6 @@ def prose(sources: DataFrame) -> DataFrame:
     return sources.select("id", "text").join(told, "id", "left").select("id", F.coalesce("_told", strip(F.coalesce("text", F.lit("")))).alias("text"))
 
 
-def korean(script: Column) -> Column:
-    """The text of a script command: narration, a numbered line, a title or a place; null if there is none."""
-    cell = lambda n: F.nullif(clean_text(F.regexp_extract(script, rf"^(?:[^;]*;){{{n}}}([\s\S]*)$", 1)), F.lit(""))
-    narrated = F.when(script.startswith("#na;"), cell(2))
-    numbered = F.when(script.rlike(r"^[0-9]+;"), cell(3))
-    return F.coalesce(narrated, numbered, F.when(_starts(script, ("#title;", "#place;")), cell(1)))
-
-
 def compact(sources: DataFrame) -> DataFrame:
     """id, text: each record's metadata that matters, its Chinese, Japanese and English text or the first of the other languages, and the Korean text of its script.
 
@@ -95,7 +82,7 @@ def compact(sources: DataFrame) -> DataFrame:
     tags = tags.groupBy("id", "record").agg(_joined("pos", "meta", "\n").alias("meta"), F.min_by("script", F.when(F.col("script").isNotNull(), F.col("pos"))).alias("script"), F.max("reference").alias("reference"), F.max("named").alias("named"))
     inner = strip(F.regexp_replace(F.substring("script", 13, 1 << 30), r"\]$", ""))
     extra = F.when(~F.col("reference") & ~F.col("named"), "[speaker_raw: ???]")
-    whole = tags.join(picked, ["id", "record"], "left").select("id", "record", F.concat_ws("\n", "meta", extra, "told", F.concat(F.lit("ko: "), korean(inner))).alias("view"))
+    whole = tags.join(picked, ["id", "record"], "left").select("id", "record", F.concat_ws("\n", "meta", extra, "told", F.concat(F.lit("ko: "), F.nullif(korean(inner), F.lit("")))).alias("view"))
     head = lines.where("record = 0").groupBy("id").agg(F.regexp_replace(_joined("pos", "line", "\n"), r"(?U)\s+$", "").alias("_head"))
     views = whole.groupBy("id").agg(_joined("record", "view", "\n\n").alias("_view")).join(head, "id", "left")
     return sources.select("id", "text").join(views, "id", "left").select("id", F.when(F.col("_view").isNull(), F.col("text")).otherwise(F.concat(F.coalesce("_head", F.lit("")), F.lit("\n\n"), "_view")).alias("text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audits as A
 from ..operators import records as R
+from ..sources import dialogue as D
 from .bindings import table
 from .registry import query
 
@@ -83,3 +84,22 @@ def storage_audit(spark, sf):
     ).distinct()
     nodes = table(spark, sf, "orders").select(F.lit("episode").alias("type"), F.col("o_orderkey").alias("id"))
     return A.storage(edges, cues, nodes).groupBy("check", "reason").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"))
+
+
+@query("dialogue_blocks", r"""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, turn, role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t, turn % 5 = 3 AS bg, turn = 0 AS tr FROM conversations),
+    o AS (SELECT *, role = 'system' AS preview, t <> '' AND role <> 'system' AND (role = 'assistant' OR turn % 4 = 0) AS told,
+        CASE WHEN tr OR role = 'system' THEN 3 WHEN bg THEN 2 WHEN role = 'user' THEN CASE WHEN turn * 700 >= 2000 THEN 2 ELSE 1 END ELSE 0 END AS own FROM r),
+    g AS (SELECT *, coalesce(sum(told::INT) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM o),
+    b AS (SELECT *, max(own) OVER (PARTITION BY conv_id, run) AS boundary FROM g)
+    SELECT 'c/' || conv_id || '.json' AS source_key, i AS record_index, CASE WHEN role = 'assistant' THEN 'assistant' ELSE '' END AS speaker, t AS text, CASE WHEN role = 'assistant' THEN 'line ' || turn ELSE '' END AS korean, boundary, conv_id::VARCHAR AS group_id FROM b WHERE told""")
+def dialogue_blocks(spark, sf):
+    """Conversations written as files of dialogue scripts and read back as blocks: assistants speak by commands, users wait and every fourth of their turns has text, system turns announce."""
+    role, turn, said = F.col("role"), F.col("turn").cast("string"), F.coalesce("text", F.lit(""))
+    script = F.when(role == "assistant", F.concat(F.lit("1;shown;00\n"), turn, F.lit(";assistant;00;line "), turn)).when(role == "system", "#nextepisode;soon").otherwise(F.concat(F.lit("#wait;"), (F.col("turn") * 700).cast("string")))
+    text = F.when((role != "user") | (F.col("turn") % 4 == 0), said)
+    record = F.struct("turn", script.alias("ScriptKr"), text.alias("TextEn"), (F.col("turn") == 0).alias("Transition"), F.when(F.col("turn") % 5 == 3, "hall").alias("BGName"))
+    rows = table(spark, sf, "conversations").select("conv_id", record.alias("r"))
+    files = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("r")).alias("content"))
+    content = F.to_json(F.struct(F.col("conv_id").alias("GroupId"), "content")).cast("binary")
+    found = D.blocks(D.dialogue_records(files.select(F.concat(F.lit("c/"), F.col("conv_id").cast("string"), F.lit(".json")).alias("source_key"), content.alias("content"))))
+    return found.select("source_key", "record_index", "speaker", F.col("languages")["en"].alias("text"), "korean", "boundary", "group_id")

@@ -39,8 +39,7 @@ def plain_prose(text):
 
 
 def plain_korean(script):
-    from engramflow.sources.files import clean
-
+    clean = lambda x: " ".join(re.sub(r"\[/?ruby[^\]]*\]|\[(?:[0-9A-Fa-f]{6}|-)\]", "", x).split())
     cells = script.split(";")
     if script.startswith("#na;") and len(cells) > 2 and clean(";".join(cells[2:])):
         return clean(";".join(cells[2:]))
@@ -76,7 +75,7 @@ def plain_compact(text):
 
 
 PARTS = ["[record: 1]", "[record: 22]", "[speaker_raw: Ann]", "[speaker_raw:  ??? ]", "[speaker_raw: ]", "[document_role: front_matter]", "[document_style: Reference] ", "[epistemic_note: x]", "[other: y]", "en: hello", "en:", "ja:  konnichi", "zh-TW: a", "th: b", "unknown: c", "EN: upper", "ko: d",
-         "more", "", "  ", "  [inside]", "\ttabbed ", "[script_raw: #na;x;<b>han</b> [USERNAME]]", "[script_raw: 3;a;b;text;more]", "[script_raw: #title;T]", "[script_raw: #na;x;]"]
+         "more", "", "  ", "  [inside]", "\ttabbed ", "[script_raw: #na;x;[ruby=k]han[/ruby] [ff00AA]x[-] [USERNAME]]", "[script_raw: 3;a;b;text;more]", "[script_raw: #title;T]", "[script_raw: #na;x;]"]
 
 
 def texts():
