@@ -48,13 +48,26 @@ def self_containment(text: Column, participants: Column) -> Column:
     return F.when(t.rlike(CLOSING), "closing_fragment").when((F.coalesce(F.size(participants), F.lit(0)) <= 0) & t.rlike(PRONOUN), "unbound_pronoun")
 
 
-def downgrade_attribution(episodes: DataFrame, speakers: DataFrame) -> DataFrame:
-    """Episodes whose first participant is no declared speaker (source, speaker) are reported, with confidence of 0.8 at most."""
-    known = speakers.select("source", F.col("speaker").alias("_s")).distinct()
-    first = F.get("participants", F.lit(0))
-    j = episodes.withColumn("_f", first).join(known.withColumn("_k", F.lit(True)), (episodes["source"] == known["source"]) & (F.col("_f") == F.col("_s")), "left").drop(known["source"])
-    out = F.col("_f").isNotNull() & F.col("_k").isNull()
-    return j.withColumn("epistemic_status", F.when(out, "reported").otherwise(F.col("epistemic_status"))).withColumn("confidence", F.when(out, F.least("confidence", F.lit(0.8))).otherwise(F.col("confidence"))).drop("_f", "_s", "_k")
+#: Speakers that are no names, and the note on an episode that is led by somebody else than who speaks.
+NOBODY = ("???", "unknown speaker", "未知发言者", "未标注发言者")
+NOT_THE_SPEAKER = "正文首要人物不是证据记录的声明发言者"
+
+
+def downgrade_attribution(episodes: DataFrame) -> DataFrame:
+    """episodes: participants and quotes (arrays), epistemic_status, confidence, epistemic_note: those that are observed or asserted and whose first participant is none of the speakers that their own
+    quotes declare become reported, with confidence of 0.8 at most and a note (1,000 characters at most). Episodes without participants or declared speakers stay as they are."""
+    strip = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    found = F.regexp_extract_all(F.array_join(F.coalesce("quotes", F.array().cast("array<string>")), "\n"), F.lit(r"\[speaker_raw:\s*([^\]]+)\]"), 1)
+    declared = F.filter(F.transform(found, strip), lambda x: (x != "") & ~x.isin(*NOBODY))
+    first = strip(F.get("participants", F.lit(0)))
+    out = F.coalesce((F.size(declared) > 0) & first.isNotNull() & ~F.array_contains(declared, first) & F.col("epistemic_status").isin("observed", "asserted"), F.lit(False))
+    note = F.regexp_replace(F.coalesce("epistemic_note", F.lit("")), r"(?U)^\s+|\s+$", "")
+    noted = F.when(F.contains(note, F.lit(NOT_THE_SPEAKER)), F.col("epistemic_note")).otherwise(F.substring(F.when(note == "", NOT_THE_SPEAKER).otherwise(F.concat(note, F.lit("；" + NOT_THE_SPEAKER))), 1, 1000))
+    return episodes.withColumns({
+        "epistemic_note": F.when(out, noted).otherwise(F.col("epistemic_note")),
+        "confidence": F.when(out, F.least("confidence", F.lit(0.8))).otherwise(F.col("confidence")),
+        "epistemic_status": F.when(out, "reported").otherwise(F.col("epistemic_status")),
+    })
 
 
 def validate_spans(spans: DataFrame, lines: DataFrame) -> DataFrame:
@@ -111,9 +124,14 @@ def learning_rejection(targets: DataFrame) -> DataFrame:
 
 
 def learning_anchors(candidates: DataFrame, most: int = 4) -> DataFrame:
-    """candidates: request, endpoint, score, eligible, contextual -> the best of each endpoint, at most four a request."""
-    own = candidates.where("eligible AND NOT contextual").withColumn("_r", F.row_number().over(Window.partitionBy("request", "endpoint").orderBy(F.desc("score")))).where("_r = 1").drop("_r")
-    return own.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "endpoint"))).where(F.col("rank") <= most)
+    """candidates: request, anchor_type, anchor_id, contribution_id, activation, eligible, contextual, target -> the best route of each endpoint, at most four endpoints a request, with rank.
+
+    Episodes that were found by context in the same round, or are targets, are no anchors. Ties go to the smaller type, id and contribution."""
+    away = (F.col("anchor_type") == "episode") & (F.coalesce("contextual", F.lit(False)) | F.coalesce("target", F.lit(False)))
+    order = [F.desc("activation"), F.col("anchor_type"), F.col("anchor_id"), F.col("contribution_id")]
+    best = F.row_number().over(Window.partitionBy("request", "anchor_type", "anchor_id").orderBy(*order))
+    own = candidates.where(F.col("eligible") & ~away).withColumn("_r", best).where("_r = 1").drop("_r")
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy(*order))).where(F.col("rank") <= min(4, max(0, most)))
 
 
 def residual_plan(missing: DataFrame, required: DataFrame, most: int = 4) -> DataFrame:

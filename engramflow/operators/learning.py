@@ -138,15 +138,44 @@ def add_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
     return aliases.unionByName(first.join(aliases.select("alias"), "alias", "left_anti").select(*aliases.columns))
 
 
-def admission(edges: DataFrame) -> DataFrame:
-    """edges: relation_type, text, from_rank, to_rank, same_event -> reason (null: admitted)."""
-    kind = F.col("relation_type")
+#: Words for remembering, of which an endpoint must have one; words that make one person of two; words for one event; main sources in their order.
+REMEMBERING = ("想起", "回想", "回忆起", "勾起", "唤起", "记起", "忆起", "떠올", "생각났", "기억났", "思い出", "思い起")
+ONE_PERSON = ("同一人物", "同一个人", "同一角色", "指向同一人物", "身份相同")
+ONE_EVENT = ("同一事件", "同一场景", "同一情节", "同一段", "更详细描述")
+MAIN_SOURCE = r"(?:^|/)main/(\d+)\.json$"
+
+
+def claims_order(key: Column) -> tuple[Column, Column]:
+    """(whether a temporal key says after, whether it says before)."""
+    low = F.lower(F.coalesce(key, F.lit("")))
+    return (low == "after") | low.endswith("_after"), low.isin("before", "precedes") | low.endswith("_before")
+
+
+def admission(relations: DataFrame) -> DataFrame:
+    """relations: relation_type, relation_key, relation_text, polarity, and of either end (current_, candidate_) id, text, scope, story_time, source_key, segment_index ->
+    with reason why a relation of two episodes is refused (null: admitted).
+
+    Recall wants an end that tells of remembering; identity is about one event and never makes two speakers one person; a temporal direction may not be against the order of
+    segments of one source, or of main sources, within a scope unless a story time is given. Negative relations claim nothing and are admitted."""
+    kind, positive = F.col("relation_type"), F.coalesce("polarity", F.lit(1)) > 0
+    end = lambda side, name: F.coalesce(F.col(f"{side}_{name}"), F.lit(""))
+    has = lambda text, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    told = F.concat_ws(" ", end("current", "text"), end("candidate", "text"))
+    text = F.coalesce("relation_text", F.lit(""))
+    same = end("current", "source_key") == end("candidate", "source_key")
+    place = lambda side: F.when(same, F.col(f"{side}_segment_index").cast("long")).otherwise(F.nullif(F.regexp_extract(end(side, "source_key"), MAIN_SOURCE, 1), F.lit("")).try_cast("long"))
+    rank = lambda side: F.struct(place(side).alias("place"), F.col(f"{side}_id").alias("id"))
+    blank = lambda side: F.regexp_replace(end(side, "story_time"), r"(?U)\s+", "") == ""
+    ordered = (end("current", "scope") == end("candidate", "scope")) & blank("current") & blank("candidate") & place("current").isNotNull() & place("candidate").isNotNull()
+    after, before = claims_order(F.col("relation_key"))
+    against = (after & (rank("current") < rank("candidate"))) | (before & (rank("current") > rank("candidate")))
     reason = (
-        F.when((kind == "recall_trigger") & ~F.lower("text").rlike("remember|recall|remind|erinner|souven|record"), "no_remembering")
-        .when((kind == "identity") & ~F.col("same_event"), "not_the_same_event")
-        .when((kind == "temporal") & (F.col("from_rank") >= F.col("to_rank")), "against_source_order")
+        F.when((kind == "recall_trigger") & positive & ~has(told, REMEMBERING), "no_remembering")
+        .when((kind == "temporal") & positive & F.coalesce(ordered & against, F.lit(False)), "against_source_order")
+        .when((kind == "identity") & (F.coalesce("polarity", F.lit(1)) >= 0) & has(text, ONE_PERSON), "one_person")
+        .when((kind == "identity") & (F.coalesce("polarity", F.lit(1)) >= 0) & ~has(text, ONE_EVENT), "not_one_event")
     )
-    return edges.withColumn("reason", reason)
+    return relations.withColumn("reason", reason)
 
 
 def earlier_first(a: Column, b: Column, backwards: Column) -> tuple[Column, Column]:

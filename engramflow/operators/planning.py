@@ -7,8 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that negate a quotation.
-NEGATIONS = ("not", "except", "without", "nicht", "ohne", "sauf", "sans", "sin")
+#: Quotations, what before or after one forbids to answer with it, and how much text on either side is looked at.
+QUOTATION = re.compile("[‘“\"]([^’”\"]{2,80})[’”\"]")
+FORBIDDEN_BEFORE = re.compile("(?:不要|无需|禁止)(?:直接)?(?:回答|认定|写成|证明)?[^。；]{0,8}$")
+FORBIDDEN_AFTER = re.compile("^[^‘’“”\"。；]{0,8}(?:未经证明|不能确定|不代表|并非事实)")
+BESIDE = 18
+#: Texts of the slots of constraints and quotations.
+CONSTRAINTS = ("关系约束", "时间约束", "因果约束")
+CONSTRAINT_SLOT, ANSWER_SLOT = "__constraint_slot__ {}：{}", "__answer_slot__ 原文中“{}”对应的事实是什么"
 #: Answer shapes and greetings of requests that ask for no fact.
 CONVERSATION = ("conversation", "conversational", "chat", "chitchat", "greeting")
 EXPLORATION = ("exploratory", "explore", "brainstorm", "discovery")
@@ -28,21 +34,19 @@ QUOTED_LIST = re.compile("[‘“\"][^’”\"]*、[^’”\"]*[’”\"]")
 SLOT_MARKS = ("__constraint_slot__ ", "__answer_slot__ ")
 PAIR_SLOTS = ("{}本人直接陈述或表现的{}", "{}直接陈述或被转述的{}")
 LIST_SLOT = "{}（独立证据槽，不能由同列另一条件替代）"
-_QUOTE = re.compile("[\"“「『《]([^\"”」』》]+)[\"”」』》]")
 
 
-def sub_queries(question: str, entities=(), relation: str = "", most: int = 6) -> list[str]:
-    """Structural sub-queries: quotations that aren't negated, entities with the relation, entities alone; distinct, at most six."""
-    out = []
-    for m in _QUOTE.finditer(question):
-        before = question[: m.start()].lower().split()[-2:]
-        if not any(w.strip(",.;:") in NEGATIONS for w in before):
-            out.append(m[1].strip())
-    entities = [e.strip() for e in entities if e and e.strip()]
-    if relation:
-        out += [f"{e} {relation}" for e in entities]
-    out += entities
-    return list(dict.fromkeys(x for x in out if x))[:most]
+def sub_queries(question: str | None, relation: str | None = "", time: str | None = "", cause: str | None = "", most: int = 6) -> list[str]:
+    """Slots of a question: its constraints of relation, time and cause, then its quotations, but for those that the words beside them forbid; distinct, and no more quotations once
+    there are six."""
+    out = [CONSTRAINT_SLOT.format(name, value.strip()) for name, value in zip(CONSTRAINTS, (relation, time, cause)) if value and value.strip()]
+    text, quoted = question or "", {}
+    for m in QUOTATION.finditer(text):
+        before, after = text[max(0, m.start() - BESIDE) : m.start()], text[m.end() : m.end() + BESIDE]
+        if m[1].strip() and not FORBIDDEN_BEFORE.search(before) and not FORBIDDEN_AFTER.search(after):
+            quoted.setdefault(m[1].strip())
+    room = max(1, most - len(out))
+    return list(dict.fromkeys([*out, *map(ANSWER_SLOT.format, list(quoted)[:room])]))
 
 
 def atomic_slots(texts, entities=(), whole: str | None = None, most: int = 40) -> list[str]:
@@ -64,15 +68,19 @@ def atomic_slots(texts, entities=(), whole: str | None = None, most: int = 40) -
     return list(out)[:most]
 
 
-def bounded_queries(first: str, slots, rest, most: int) -> list[str]:
-    """The first query, all slots, then of the room that is left two thirds from the front of the rest and one third from its end."""
-    chosen = list(dict.fromkeys([first, *slots]))[:most]
-    rest = [r for r in dict.fromkeys(rest) if r not in chosen]
-    room = most - len(chosen)
-    if room >= len(rest):
-        return chosen + rest
-    front = -(-2 * room // 3)
-    return chosen + rest[:front] + (rest[len(rest) - (room - front) :] if room > front else [])
+def bounded_queries(queries, most: int) -> list[str]:
+    """Distinct queries that are not blank, in their order, at most so many (0: all): the first and all slots stay, and of the room that is left two thirds go to the first of the others
+    and one third to the last."""
+    own = list(dict.fromkeys(q.strip() for q in queries if q and q.strip()))
+    if most <= 0 or len(own) <= most:
+        return own
+    fixed = [k for k, q in enumerate(own) if k == 0 or q.startswith(SLOT_MARKS)]
+    others = [k for k in range(len(own)) if k not in set(fixed)]
+    room = max(0, most - len(fixed))
+    front = min(len(others), (2 * room + 2) // 3)
+    back = min(len(others), room) - front
+    kept = fixed + others[:front] + (others[-back:] if back > 0 else [])
+    return [own[k] for k in sorted(kept)][:most]
 
 
 def _folded(text: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import contextual as C
 from ..operators import evidence as E
+from ..operators import ingestion as I
 from ..operators import learning as L
+from ..operators import planning as P2
 from ..operators.resolution import resolve_batch
 from ..streaming import probation as P
 from .bindings import EDGES, UNIT, edges, table
@@ -140,12 +144,88 @@ def concept_merge(spark, sf):
     return L.merge_concepts(part.select(F.col("p_partkey").alias("id")), merges).groupBy("status").agg(F.count("*").alias("n"), F.sum("canonical_id").alias("pointers"))
 
 
-@query("edge_admission", """SELECT coalesce(reason, 'admitted') AS reason, count(*) AS n FROM (SELECT CASE WHEN event_type = 'click' AND k % 4 <> 0 THEN 'no_remembering' WHEN event_type = 'view' AND k % 2 = 1 THEN 'not_the_same_event'
-    WHEN event_type = 'error' AND user_id >= k THEN 'against_source_order' END AS reason FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events)) GROUP BY 1""")
+_PAIRS = """t AS (SELECT *, conv_id * 1000 + turn AS id, lead(turn) OVER w AS n_turn, lead(text) OVER w AS n_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    r AS (SELECT id, conv_id % 6 > 2 AS swap, turn, n_turn, conv_id % 2 = 0 AS one, turn % 7 <> 6 AS same_scope, conv_id % 5 <> 0 AS timeless, CASE turn % 5 WHEN 4 THEN -1 ELSE 1 END AS polarity,
+        ['recall_trigger', 'identity', 'temporal', 'temporal'][(conv_id + turn) % 4 + 1] AS kind, ['before', 'story_after', 'beside'][turn % 3 + 1] AS k, ['同一事件', '同一人物 同一事件', 'else', '更详细描述'][conv_id % 4 + 1] AS claim, conv_id % 3 = 0 AS remembers
+        FROM t WHERE n_turn IS NOT NULL)"""
+
+
+@query("edge_admission", f"""WITH {_PAIRS} SELECT id, CASE WHEN kind = 'recall_trigger' AND polarity > 0 AND NOT remembers THEN 'no_remembering'
+    WHEN kind = 'temporal' AND polarity > 0 AND same_scope AND timeless AND ((k = 'story_after' AND NOT swap) OR (k = 'before' AND swap)) THEN 'against_source_order'
+    WHEN kind = 'identity' AND polarity >= 0 AND contains(claim, '同一人物') THEN 'one_person' WHEN kind = 'identity' AND polarity >= 0 AND NOT (contains(claim, '同一事件') OR contains(claim, '更详细描述')) THEN 'not_one_event' END AS reason FROM r""")
 def edge_admission(spark, sf):
-    kind = F.when(F.col("event_type") == "click", "recall_trigger").when(F.col("event_type") == "view", "identity").when(F.col("event_type") == "error", "temporal").otherwise("causal")
-    rows = events(spark, sf).select(kind.alias("relation_type"), F.when(F.col("k") % 4 == 0, "I remember it").otherwise("seen").alias("text"), F.col("user_id").alias("from_rank"), F.col("k").alias("to_rank"), (F.col("k") % 2 == 0).alias("same_event"))
-    return L.admission(rows).groupBy(F.coalesce("reason", F.lit("admitted")).alias("reason")).agg(F.count("*").alias("n"))
+    """Successive turns of conversations as episodes with proposed relations of all kinds; in half of them the earlier turn is the candidate."""
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.lead("turn").over(own).alias("n_turn"), F.coalesce(F.lead("text").over(own), F.lit("")).alias("n_text")).where("n_turn IS NOT NULL")
+    choose = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
+    key = lambda t: F.when(conv % 2 == 0, F.lit("conv")).otherwise(F.concat(F.lit("book/main/"), t.cast("string"), F.lit(".json")))
+    swap = conv % 6 > 2
+    sides = {}
+    for side, other in (("current", swap), ("candidate", ~swap)):
+        t = F.when(other, F.col("n_turn")).otherwise(turn)
+        said = F.when(other, F.concat("n_text", F.when(conv % 3 == 0, " 想起").otherwise(""))).otherwise(F.col("text"))
+        scope = F.when(other & (turn % 7 == 6), "x").otherwise("")
+        sides |= {f"{side}_id": conv * 1000 + t, f"{side}_text": said, f"{side}_scope": scope, f"{side}_story_time": F.when((conv % 5 == 0) & other, "noon").otherwise(" "), f"{side}_source_key": key(t), f"{side}_segment_index": t}
+    relations = rows.select(
+        (conv * 1000 + turn).alias("id"), choose(["recall_trigger", "identity", "temporal", "temporal"], (conv + turn) % 4).alias("relation_type"), choose(["before", "story_after", "beside"], turn % 3).alias("relation_key"),
+        choose(["同一事件", "同一人物 同一事件", "else", "更详细描述"], conv % 4).alias("relation_text"), F.when(turn % 5 == 4, -1).otherwise(1).alias("polarity"), *[c.alias(n) for n, c in sides.items()],
+    )
+    return L.admission(relations).select("id", "reason")
+
+
+@query("learning_anchors", """WITH c AS (SELECT DISTINCT l_orderkey AS request, CASE WHEN l_returnflag = 'A' THEN 'concept' ELSE 'episode' END AS anchor_type, l_suppkey AS anchor_id, l_partkey || '-' || l_linenumber AS contribution_id, l_quantity AS activation
+        FROM lineitem WHERE l_discount < 0.09::DOUBLE AND NOT (l_returnflag <> 'A' AND (l_linestatus = 'O' OR l_partkey % 5 = 0))),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY request, anchor_type, anchor_id ORDER BY activation DESC, contribution_id) = 1)
+    SELECT request, anchor_type, anchor_id, contribution_id, rank FROM (SELECT *, (row_number() OVER (PARTITION BY request ORDER BY activation DESC, anchor_type, anchor_id, contribution_id))::INT AS rank FROM b) WHERE rank <= 4""")
+def learning_anchors(spark, sf):
+    """Line items as base routes to suppliers: at most four endpoints an order; open items came by context, every fifth part is a target."""
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("request"), F.when(F.col("l_returnflag") == "A", "concept").otherwise("episode").alias("anchor_type"), F.col("l_suppkey").alias("anchor_id"), F.concat_ws("-", "l_partkey", "l_linenumber").alias("contribution_id"),
+        F.col("l_quantity").alias("activation"), (F.col("l_discount") < 0.09).alias("eligible"), (F.col("l_linestatus") == "O").alias("contextual"), (F.col("l_partkey") % 5 == 0).alias("target"),
+    )
+    return I.learning_anchors(rows).select("request", "anchor_type", "anchor_id", "contribution_id", "rank")
+
+
+@query("attribution_downgrades", f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
+    d AS (SELECT *, next IS NOT NULL AND next <> role AND turn % 3 <> 2 AS down FROM t)
+    SELECT id, CASE WHEN down THEN 'reported' ELSE ['observed', 'asserted', 'mixed'][turn % 3 + 1] END AS epistemic_status, CASE WHEN down THEN least(0.8, 0.5 + turn % 5 / 10) ELSE 0.5 + turn % 5 / 10 END::DOUBLE AS confidence,
+        CASE WHEN NOT down THEN '' WHEN turn % 2 = 0 THEN 'seen；' || '{I.NOT_THE_SPEAKER}' ELSE '{I.NOT_THE_SPEAKER}' END || CASE WHEN NOT down AND turn % 2 = 0 THEN 'seen' ELSE '' END AS epistemic_note FROM d""")
+def attribution_downgrades(spark, sf):
+    """Turns as episodes that quote the turn after them: who leads one is not who its evidence says speaks."""
+    turn = F.col("turn")
+    next_role = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + turn).alias("id"), F.array(F.upper("role"), F.lit("x")).alias("participants"), F.array(F.concat(F.lit("[speaker_raw:  "), next_role, F.lit(" ]")), F.lit("[speaker_raw: ???]")).alias("quotes"),
+        F.when(turn % 3 == 0, "observed").when(turn % 3 == 1, "asserted").otherwise("mixed").alias("epistemic_status"), (0.5 + turn % 5 / 10).alias("confidence"), F.when(turn % 2 == 0, "seen").otherwise("").alias("epistemic_note"),
+    )
+    return I.downgrade_attribution(rows.withColumn("quotes", F.array_compact("quotes"))).select("id", "epistemic_status", "confidence", "epistemic_note")
+
+
+@query("planned_queries", """WITH b AS (SELECT item_id, trim(substr(text, 1, 10)) AS a, trim(substr(text, 11, 8)) AS z, trim(text) AS whole FROM benchmark),
+    s AS (SELECT *, CASE WHEN item_id % 2 = 0 THEN ['__constraint_slot__ 关系约束：' || a] ELSE [] END || CASE WHEN item_id % 3 = 0 THEN ['__constraint_slot__ 因果约束：why'] ELSE [] END
+        || CASE WHEN item_id % 4 <> 1 THEN ['__answer_slot__ 原文中“' || a || '”对应的事实是什么'] ELSE [] END || CASE WHEN item_id % 5 <> 2 AND (z <> a OR item_id % 4 = 1) THEN ['__answer_slot__ 原文中“' || z || '”对应的事实是什么'] ELSE [] END AS slots FROM b),
+    r AS (SELECT *, 8 - 1 - len(slots) AS room FROM s), f AS (SELECT *, (2 * room + 2) // 3 AS front FROM r)
+    SELECT item_id, array_to_string(slots, '|') AS slots, array_to_string([whole] || slots || list_transform(range(1, front + 1), lambda i: 'term ' || i) || list_transform(range(13 - (room - front), 13), lambda i: 'term ' || i), '|') AS kept FROM f""")
+def planned_queries(spark, sf):
+    """Benchmark items as questions with two quotations and constraints: their slots, and of these and twelve terms the eight queries that are kept."""
+    from pyspark.sql import types as T
+
+    texts = T.ArrayType(T.StringType())
+
+    def slots(q: pd.Series, r: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([P2.sub_queries(a, b, "", x) for a, b, x in zip(q, r, c)], dtype=object)
+
+    def kept(qs: pd.Series) -> pd.Series:
+        return qs.map(lambda x: P2.bounded_queries(list(x), 8))
+
+    slots, kept = F.pandas_udf(slots, texts), F.pandas_udf(kept, texts)
+    item, a, z = F.col("item_id"), F.trim(F.substring("text", 1, 10)), F.trim(F.substring("text", 11, 8))
+    question = F.concat(F.lit("请说明“"), a, F.lit("”"), F.when(item % 4 == 1, "未经证明").otherwise("；"), F.lit("。以及其他。"), F.when(item % 5 == 2, "不要直接回答").otherwise(""), F.lit("“"), z, F.lit("”"))
+    rows = table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("whole"), question.alias("q"), F.when(item % 2 == 0, a).otherwise("").alias("r"), F.when(item % 3 == 0, " why ").otherwise("").alias("c"))
+    found = rows.select("item_id", "whole", slots("q", "r", "c").alias("s"))
+    terms = F.array(*[F.lit(f"term {k}") for k in range(1, 13)])
+    return found.select("item_id", F.array_join("s", "|").alias("slots"), F.array_join(kept(F.concat(F.array("whole"), "s", terms)), "|").alias("kept"))
 
 
 @query("edge_equivalence", """SELECT k, count(*) AS edges FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'semantic|' || least(l_suppkey, l_partkey) || '|' || greatest(l_suppkey, l_partkey)

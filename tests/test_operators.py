@@ -202,8 +202,15 @@ def test_ingestion_checks(spark):
     episodes = spark.createDataFrame([(1, 7, "bob met Al", ["x"], "observed", 0.9)], "id long, source long, text string, participants array<string>, epistemic_status string, confidence double")
     names = spark.createDataFrame([(7, "Albert", "al"), (7, "Robert", "Bob")], "source long, name string, alias string")
     assert ingestion.complete_participants(episodes, names).first().participants == ["x", "Robert", "Albert"]
-    down = ingestion.downgrade_attribution(episodes, spark.createDataFrame([(7, "y")], "source long, speaker string")).first()
-    assert (down.epistemic_status, down.confidence) == ("reported", 0.8)
+    said = ["x [speaker_raw: Ann ]", "[speaker_raw: ???]"]
+    told = [(1, ["Bob"], said, "observed", 0.9, " old "), (2, [" ANN"], said, "observed", 0.9, ""), (3, ["Bob"], ["[speaker_raw: ???]"], "asserted", 0.9, None), (4, ["Bob"], said, "speculative", 0.9, ""), (5, [], said, "observed", 0.9, ""), (6, ["Bob"], said, "asserted", 0.3, None), (7, None, None, "observed", 0.9, ""), (8, ["Bob"], said, "observed", 0.9, "a" * 999)]
+    down = {r.id: (r.epistemic_status, r.confidence, r.epistemic_note) for r in ingestion.downgrade_attribution(spark.createDataFrame(told, "id long, participants array<string>, quotes array<string>, epistemic_status string, confidence double, epistemic_note string")).collect()}
+    note = ingestion.NOT_THE_SPEAKER
+    assert down[1] == ("reported", 0.8, "old；" + note) and down[6] == ("reported", 0.3, note) and down[8] == ("reported", 0.8, "a" * 999 + "；")
+    assert all(down[k] == (told[k - 1][3], told[k - 1][4], told[k - 1][5]) for k in (2, 3, 4, 5, 7))
+    anchors = [("episode", 1, "b", 0.9, True, False, False), ("episode", 1, "a", 0.9, True, False, False), ("concept", 2, "c", 0.9, True, True, True), ("episode", 3, "d", 1.0, True, True, False), ("episode", 4, "e", 1.0, True, False, True), ("episode", 5, "f", 1.0, False, False, False), ("episode", 6, "g", 0.5, True, None, None), ("concept", 7, "h", 0.5, True, False, False), ("concept", 8, "i", 0.1, True, False, False)]
+    found = ingestion.learning_anchors(spark.createDataFrame([(1, *a) for a in anchors], "request long, anchor_type string, anchor_id long, contribution_id string, activation double, eligible boolean, contextual boolean, target boolean"))
+    assert [(r.anchor_id, r.contribution_id) for r in found.orderBy("rank").collect()] == [(2, "c"), (1, "a"), (7, "h"), (6, "g")]
 
 
 def test_record_anchors_prefer_rare_shared_features(spark):

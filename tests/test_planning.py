@@ -6,7 +6,10 @@ from engramflow.operators import planning as P
 
 
 def test_sub_queries():
-    assert P.sub_queries('Who said "hello there" but not "bye"?', ["Ann", "Bob", "Ann"], "met") == ["hello there", "Ann met", "Bob met", "Ann", "Bob"]
+    slot = P.ANSWER_SLOT.format
+    assert P.sub_queries("谁说了“你好”，不要直接回答“再见”？“也许”并非事实，“再”", " 相识 ", None, "因") == ["__constraint_slot__ 关系约束：相识", "__constraint_slot__ 因果约束：因", slot("你好")]
+    assert P.sub_queries(" ".join(f'"q{k}"' for k in range(9)), "r") == ["__constraint_slot__ 关系约束：r", *[slot(f"q{k}") for k in range(5)]]
+    assert P.sub_queries(None) == [] and P.sub_queries('"aa" and "aa"') == [slot("aa")]
     assert P.atomic_slots(["apples, pears and plums", "a", None, "a"]) == ["apples, pears and plums", "a"]
     note = "（独立证据槽，不能由同列另一条件替代）"
     assert P.atomic_slots(["红色的苹果、绿色的梨子、桃"], ["甲", "乙"]) == ["红色的苹果、绿色的梨子、桃", f"甲、乙：红色的苹果{note}", f"甲、乙：绿色的梨子{note}"]
@@ -14,8 +17,11 @@ def test_sub_queries():
     for whole in ("“红色的苹果、绿色的梨子”", "红色的苹果、绿色的梨子还是桃", "__answer_slot__ 红色的苹果、绿色的梨子"):
         assert P.atomic_slots([whole]) == [whole]
     assert P.atomic_slots(["红色的苹果、绿色的梨子"], whole="红色的苹果、绿色的梨子") == ["红色的苹果、绿色的梨子"]
-    assert P.bounded_queries("q", ["s"], [f"r{i}" for i in range(10)], 8) == ["q", "s", "r0", "r1", "r2", "r3", "r8", "r9"]
-    assert P.bounded_queries("q", [], ["q", "a"], 8) == ["q", "a"]
+    rest = [f"r{i}" for i in range(10)]
+    assert P.bounded_queries(["q", *rest, "__answer_slot__ s", " q ", None, ""], 8) == ["q", "r0", "r1", "r2", "r3", "r8", "r9", "__answer_slot__ s"]
+    assert P.bounded_queries(["q", "a", "q"], 8) == ["q", "a"] and P.bounded_queries(["q", *rest], 0) == ["q", *rest]
+    assert P.bounded_queries(["q", *[f"__constraint_slot__ {k}" for k in range(5)], "z"], 3) == ["q", "__constraint_slot__ 0", "__constraint_slot__ 1"]
+    assert P.bounded_queries(["q", *rest], 1) == ["q"]
 
 
 def test_columns(spark):
