@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import access as Access
 from ..operators import audits as A
 from ..operators import records as R
+from ..operators.numbering import number
 from ..sources import dialogue as D
 from .bindings import table
 from .registry import query
@@ -103,3 +105,57 @@ def dialogue_blocks(spark, sf):
     content = F.to_json(F.struct(F.col("conv_id").alias("GroupId"), "content")).cast("binary")
     found = D.blocks(D.dialogue_records(files.select(F.concat(F.lit("c/"), F.col("conv_id").cast("string"), F.lit(".json")).alias("source_key"), content.alias("content"))))
     return found.select("source_key", "record_index", "speaker", F.col("languages")["en"].alias("text"), "korean", "boundary", "group_id")
+
+
+def episodes(spark, sf):
+    """Turns as episodes: the source is the conversation, its key the role, the run the parity of the turn."""
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("source_key"), (F.col("conv_id") % 10).alias("segment_index"), F.col("conv_id").alias("source_id"), (F.col("turn") % 2).alias("extraction_run_id"))
+
+
+@query("episodes_by_key", """SELECT id, row_number() OVER (ORDER BY conv_id % 10, id) AS place FROM (SELECT *, conv_id * 1000 + turn AS id FROM conversations WHERE role = 'assistant' AND turn % 2 = 1)""")
+def episodes_by_key(spark, sf):
+    """The episodes of one key and run in their order."""
+    found = Access.by_key(episodes(spark, sf), "assistant", 1)
+    return number(found, ["segment_index", "id"], "place").select("id", "place")
+
+
+@query("episodes_of_sources", "SELECT conv_id AS source_id, conv_id * 1000 + turn AS id FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels)")
+def episodes_of_sources(spark, sf):
+    """Ids of the episodes of the sources that have a label."""
+    return Access.ids_of_sources(episodes(spark, sf), table(spark, sf, "labels").select(F.col("doc_id").alias("source_id")))
+
+
+@query("sources_without_paragraphs", "SELECT conv_id AS id, min(role) AS source_key, min(conv_id % 10) AS segment_index FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels) AND conv_id IN (SELECT doc_id FROM documents) GROUP BY conv_id")
+def sources_without_paragraphs(spark, sf):
+    """Documents with episodes and without paragraphs (labels stand for these)."""
+    sources = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    return Access.sources_without_paragraphs(sources, episodes(spark, sf), table(spark, sf, "labels").select(F.col("doc_id").alias("source_id")))
+
+
+@query("alias_snapshot", "SELECT n_nationkey AS id, s_name AS normalized_alias FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000")
+def alias_snapshot(spark, sf):
+    """Nations as concepts with rich suppliers' names as aliases."""
+    concepts = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    aliases = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").cast("long").alias("concept_id"), F.col("s_suppkey").alias("alias_id"), F.col("s_name").alias("normalized_alias"))
+    return Access.alias_snapshot(concepts, aliases).select(F.col("id").cast("int").alias("id"), "normalized_alias")
+
+
+@query("contextual_edges", "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS id FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
+def contextual_edges(spark, sf):
+    """Returned items are contextual edges; those in the state F."""
+    mode = F.when(F.col("l_returnflag") == "R", "contextual_recall").otherwise("semantic")
+    edges = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), mode.alias("association_mode"), F.col("l_linestatus").alias("lifecycle_state")).distinct()
+    return Access.contextual(edges, "F").select("id")
+
+
+@query("cue_prototypes", "SELECT vec_id AS id FROM embeddings WHERE label % 3 = 1 AND label % 2 = 0")
+def cue_prototypes(spark, sf):
+    cues = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 3).cast("string").alias("domain"), F.when(F.col("label") % 2 == 0, "need").otherwise("context").alias("cue_kind"))
+    return Access.prototypes(cues, "1", "Need").select("id")
+
+
+@query("paragraph_texts", r"""SELECT conv_id, turn, trim('speaker: ' || role || chr(10) || chr(10) || array_to_string(list_transform(string_split(regexp_replace(trim(coalesce(text, ''), E' \n'), '\n[ \n]*\n', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(x)), chr(10)), E' \n') AS text FROM conversations""")
+def paragraph_texts(spark, sf):
+    """Turns wrapped in everything that an embedding leaves out."""
+    text = F.concat(F.lit("[speaker_alias_legend]\nAnn = A\n[record: 1]\n[speaker_raw: "), "role", F.lit("]\n[script_raw: 1;x\n[record: 9\n]\n\n\n"), F.coalesce("text", F.lit("")), F.lit("\n[source_key: k]\n[meta: x]"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", Access.paragraph_texts(text).alias("text"))
