@@ -342,13 +342,27 @@ def greedy_selection(spark, sf):
     return E.select_v3(supports.join(wanted, ["request", "need"]), 12, 20, 900)
 
 
-@query("greedy_selection_v1")
+_PICK = """list_transform([list_min(list_transform(a.l, lambda c: struct_pack(
+            v := -(10 * len(list_filter(c.req, lambda n: NOT list_contains(a.have, n))) + 2 * len(list_filter(c.opt, lambda n: NOT list_contains(a.have, n))) + c.d
+                + CASE WHEN len(list_filter(c.ctx, lambda n: NOT list_contains(a.have, n))) > 0 THEN 0.5::DOUBLE ELSE 0 END + c.q - CASE WHEN list_contains(a.groups, c.g) THEN 0.5::DOUBLE ELSE 0 END),
+            d := -c.d, id := c.id, c := c)))],
+        lambda b: struct_pack(l := list_filter(a.l, lambda c: c.id <> b.id), have := CASE WHEN -b.v <= 0 THEN a.have ELSE a.have || b.c.req || b.c.opt || b.c.ctx END, groups := a.groups || [b.c.g],
+            out := CASE WHEN -b.v <= 0 THEN a.out ELSE a.out || [struct_pack(id := b.id, step := (len(a.out) + 1)::BIGINT, value := (-b.v)::DOUBLE)] END, done := -b.v <= 0))[1]"""
+_ROW = "STRUCT(id BIGINT, req VARCHAR[], opt VARCHAR[], ctx VARCHAR[], d BIGINT, q DOUBLE, g BIGINT)[]"
+_EMPTY = f"l := []::{_ROW}, have := []::VARCHAR[], groups := []::BIGINT[], out := []::STRUCT(id BIGINT, step BIGINT, value DOUBLE)[], done := false"
+
+
+@query("greedy_selection_v1", f"""WITH {_CONTRIB.replace(' % 100', '')}, n AS (SELECT request, episode AS id, list_distinct(list(need)) AS needs, max(relevance) AS q FROM c GROUP BY ALL),
+    r AS (SELECT request, list(struct_pack(id := id, req := list_filter(needs, lambda x: x[1] = 'A'), opt := list_filter(needs, lambda x: x[1] = 'N'), ctx := list_filter(needs, lambda x: x[1] = 'R'), d := id % 2, q := q, g := id % 7)) AS own FROM n GROUP BY request),
+    s AS (SELECT request, list_reduce(list_transform(own, lambda x: struct_pack({_EMPTY})), lambda a, x: CASE WHEN a.done OR len(a.l) = 0 THEN a ELSE {_PICK} END,
+        struct_pack({_EMPTY.replace(f'[]::{_ROW}', f'own::{_ROW}', 1)})) AS z FROM r)
+    SELECT request, o.id AS id, o.step AS step, round(o.value, 8) AS value FROM (SELECT request, unnest(z.out) AS o FROM s)""")
 def greedy_selection_v1(spark, sf):
     """Value-greedy selection, a request for each customer; tested against a plain version."""
     c = contributions(spark, sf, 1 << 40)
     a = E.aggregate_contributions(c)
     rows = a.select("request", F.col("episode").alias("id"), F.filter("needs", lambda n: n.startswith("A")).alias("required"), F.filter("needs", lambda n: n.startswith("N")).alias("optional"), F.filter("needs", lambda n: n.startswith("R")).alias("contextual"), (F.col("episode") % 2).alias("direct"), F.col("relevance").alias("quality"), F.lit(0.0).alias("redundancy"), (F.col("episode") % 7).alias("group"))
-    return E.select_v1(rows)
+    return E.select_v1(rows).withColumn("value", F.round("value", 8))
 
 
 @query("probation_lifecycle", f"""WITH {_EVENTS}, e AS (SELECT user_id AS id, ts, event_id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'harm' ELSE 'noop' END AS kind, k FROM ev WHERE ts <= TIMESTAMP '2024-01-20'),
