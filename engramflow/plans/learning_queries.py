@@ -333,13 +333,41 @@ def edge_attribution(spark, sf):
     return E.attribution(c, c).select("request", "edge_id", "needs", "sufficient", "necessary")
 
 
-@query("greedy_selection")
+_COUNT = "len(list_filter({h}, lambda n: n[1] = '{k}'))"
+_REQUIRED = "(CASE WHEN a.na > 0 AND {a} = a.na THEN 1 ELSE 0 END + CASE WHEN {r} > 0 THEN 1 ELSE 0 END)"
+
+
+def _need(h: str) -> tuple[str, str, str]:
+    """(complete required needs, clauses of the joint need, complete optional needs) of held clauses."""
+    a, r, n = (_COUNT.format(h=h, k=k) for k in "ARN")
+    return _REQUIRED.format(a=a, r=r), a, f"CASE WHEN {n} > 0 THEN 1 ELSE 0 END"
+
+
+_OLD, _NEW = _need("a.held"), _need("list_distinct(a.held || c.held)")
+_OWN = "STRUCT(id BIGINT, held VARCHAR[], tokens BIGINT, q DOUBLE)[]"
+_BLANK = f"l := []::{_OWN}, held := []::VARCHAR[], chosen := []::BIGINT[], nt := 0::BIGINT, na := 0::BIGINT, nr := 0::BIGINT, nn := 0::BIGINT, stop := ''"
+_KEEP = "l := a.l, held := a.held, chosen := a.chosen, nt := a.nt, na := a.na, nr := a.nr, nn := a.nn"
+
+
+@query("greedy_selection", f"""WITH {_CONTRIB.replace(' % 100', '')}, n AS (SELECT request, episode AS id, list_distinct(list(need)) AS held, max(tokens) AS tokens, max(relevance) AS q FROM c GROUP BY ALL),
+    w AS (SELECT request, count(DISTINCT CASE WHEN need[1] = 'A' THEN need END) AS na, max(CASE WHEN need[1] = 'R' THEN 1 ELSE 0 END) AS nr, max(CASE WHEN need[1] = 'N' THEN 1 ELSE 0 END) AS nn FROM c GROUP BY request),
+    r AS (SELECT request, list(struct_pack(id := id, held := held, tokens := tokens, q := q)) AS own FROM n GROUP BY request),
+    s AS (SELECT request, list_reduce(list_transform(range(14), lambda i: struct_pack({_BLANK})), lambda a, x: CASE WHEN a.stop <> '' THEN a
+        WHEN {_OLD[0]} = CASE WHEN a.na > 0 THEN 1 ELSE 0 END + a.nr AND {_OLD[2]} = a.nn THEN struct_pack({_KEEP}, stop := 'complete')
+        WHEN len(a.chosen) = 12 THEN struct_pack({_KEEP}, stop := 'episode_budget') WHEN len(a.l) = 0 THEN struct_pack({_KEEP}, stop := 'exhausted')
+        WHEN len(list_filter(a.l, lambda c: a.nt + c.tokens <= 900)) = 0 THEN struct_pack({_KEEP}, stop := 'budget')
+        ELSE list_transform([list_min(list_transform(list_filter(a.l, lambda c: a.nt + c.tokens <= 900), lambda c: struct_pack(r := {_OLD[0]} - {_NEW[0]}, j := {_OLD[1]} - {_NEW[1]}, o := {_OLD[2]} - {_NEW[2]}, t := c.tokens, q := -c.q, id := c.id, c := c)))],
+            lambda b: CASE WHEN b.r = 0 AND b.j = 0 AND b.o = 0 THEN struct_pack({_KEEP}, stop := 'no_gain')
+                ELSE struct_pack(l := list_filter(a.l, lambda c: c.id <> b.id), held := list_distinct(a.held || b.c.held), chosen := a.chosen || [b.id], nt := a.nt + b.t, na := a.na, nr := a.nr, nn := a.nn, stop := '') END)[1] END,
+        struct_pack(l := own::{_OWN}, held := []::VARCHAR[], chosen := []::BIGINT[], nt := 0::BIGINT, na := na::BIGINT, nr := nr::BIGINT, nn := nn::BIGINT, stop := '')) AS a FROM r JOIN w USING (request))
+    SELECT request, array_to_string(a.chosen, ',') AS chosen, a.stop AS stop, ({_OLD[0]})::BIGINT AS covered FROM s""")
 def greedy_selection(spark, sf):
-    """Lexicographic greedy selection within budgets; tested against exhaustive search."""
-    c = contributions(spark, sf)
+    """Lexicographic greedy selection within budgets, a request for each customer; tested against exhaustive search."""
+    c = contributions(spark, sf, 1 << 40)
     supports = c.select("request", "episode", F.substring("need", 1, 1).alias("need"), F.substring("need", 2, 9).alias("clause"), (F.substring("need", 1, 1) == "A").alias("joint"), "tokens", "relevance").withColumn("facts", F.lit(1).cast("long"))
     wanted = supports.groupBy("request", "need").agg(F.collect_set("clause").alias("clauses")).withColumn("required", F.col("need") != "N")
-    return E.select_v3(supports.join(wanted, ["request", "need"]), 12, 20, 900)
+    chosen = E.select_v3(supports.join(wanted, ["request", "need"]), 12, 20, 900)
+    return chosen.withColumn("chosen", F.array_join(F.col("chosen").cast("array<string>"), ","))
 
 
 _PICK = """list_transform([list_min(list_transform(a.l, lambda c: struct_pack(
