@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import access as Access
 from ..operators import audits as A
 from ..operators import records as R
+from ..operators import upsert as U
 from ..operators.numbering import number
 from ..sources import dialogue as D
 from .bindings import table
@@ -159,3 +160,29 @@ def paragraph_texts(spark, sf):
     """Turns wrapped in everything that an embedding leaves out."""
     text = F.concat(F.lit("[speaker_alias_legend]\nAnn = A\n[record: 1]\n[speaker_raw: "), "role", F.lit("]\n[script_raw: 1;x\n[record: 9\n]\n\n\n"), F.coalesce("text", F.lit("")), F.lit("\n[source_key: k]\n[meta: x]"))
     return table(spark, sf, "conversations").select("conv_id", "turn", Access.paragraph_texts(text).alias("text"))
+
+
+@query("vector_codec", """SELECT vec_id, len(embedding) AS dimension, 4 * len(embedding) AS bytes, true AS same FROM embeddings""")
+def vector_codec(spark, sf):
+    """Embeddings as blobs of unit length and back: whether every component is that of the unit vector in 32 bits."""
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    coded = table(spark, sf, "embeddings").select("vec_id", "embedding", length.alias("length"), Access.encode_vectors(F.col("embedding")).alias("blob"))
+    pairs = F.arrays_zip(Access.decode_vectors(F.col("blob"), 64).alias("a"), F.col("embedding").alias("b"))
+    same = F.forall(pairs, lambda p: F.abs(p["a"].cast("double") - p["b"].cast("double") / F.col("length")) < 1e-6)
+    return coded.select("vec_id", F.size("embedding").alias("dimension"), F.octet_length("blob").cast("long").alias("bytes"), same.alias("same"))
+
+
+@query("fact_ids", """SELECT doc_id, 'f_' || sha256('{"claim":"' || lang || ' / ' || source || '","end":' || (n_chars + 1) || ',"episode_id":' || doc_id * 2 || ',"source_id":' || doc_id || ',"source_sha256":"' || sha256(source) || '","start":' || doc_id % 7 || '}') AS fact_id FROM documents""")
+def fact_ids(spark, sf):
+    """What each document claims about its language and source, as a fact with a stable id."""
+    docs = table(spark, sf, "documents")
+    claim = F.concat(F.lit(" "), "lang", F.lit(" / "), "source", F.lit("\n"))
+    return docs.select("doc_id", Access.fact_id(F.col("doc_id"), F.col("doc_id") * 2, F.sha2("source", 256), F.col("doc_id") % 7, F.col("n_chars") + 1, claim).alias("fact_id"))
+
+
+@query("used_edges", """SELECT o_orderkey AS id, CASE WHEN l.k IS NOT NULL THEN 4 ELSE 3 END AS use_count, l.k IS NOT NULL AS used_now FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45) l ON l.k = o_orderkey""")
+def used_edges(spark, sf):
+    """Orders as edges that were used three times; those with a large item are used once more, however many such items they have."""
+    edges = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit(3).alias("use_count"), F.lit(None).cast("timestamp").alias("last_used"))
+    used = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id"))
+    return U.mark_used(edges, used, F.current_timestamp()).select("id", "use_count", F.col("last_used").isNotNull().alias("used_now"))
