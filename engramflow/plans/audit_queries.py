@@ -169,7 +169,7 @@ def vector_codec(spark, sf):
     coded = table(spark, sf, "embeddings").select("vec_id", "embedding", length.alias("length"), Access.encode_vectors(F.col("embedding")).alias("blob"))
     pairs = F.arrays_zip(Access.decode_vectors(F.col("blob"), 64).alias("a"), F.col("embedding").alias("b"))
     same = F.forall(pairs, lambda p: F.abs(p["a"].cast("double") - p["b"].cast("double") / F.col("length")) < 1e-6)
-    return coded.select("vec_id", F.size("embedding").alias("dimension"), F.octet_length("blob").cast("long").alias("bytes"), same.alias("same"))
+    return coded.select("vec_id", F.size("embedding").cast("long").alias("dimension"), F.octet_length("blob").cast("long").alias("bytes"), same.alias("same"))
 
 
 @query("fact_ids", """SELECT doc_id, 'f_' || sha256('{"claim":"' || lang || ' / ' || source || '","end":' || (n_chars + 1) || ',"episode_id":' || doc_id * 2 || ',"source_id":' || doc_id || ',"source_sha256":"' || sha256(source) || '","start":' || doc_id % 7 || '}') AS fact_id FROM documents""")
