@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +38,38 @@ def masked_delta(treatment: DataFrame, masked: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when(F.size("lost") > 0, "harmful").when(F.size("gained") > 0, "sufficient").otherwise("no_op"))
 
 
+def _each_request(rows: DataFrame, work, schema: pa.Schema, ddl: str) -> DataFrame:
+    """work(rows of one request as dictionaries) -> dictionaries of the result; a task goes through its requests one after the other."""
+
+    def run(batches):
+        held, out = [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and held[-1]["request"] != r["request"]:
+                    out += work(held)
+                    held = []
+                held.append(r)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        if held and (out := work(held)):
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.repartition("request").sortWithinPartitions("request").mapInArrow(run, ddl)
+
+
+_VALUED = pa.schema([("request", pa.int64()), ("id", pa.int64()), ("step", pa.int64()), ("value", pa.float64())])
+_CHOSEN = pa.schema([("request", pa.int64()), ("chosen", pa.list_(pa.int64())), ("stop", pa.string()), ("covered", pa.int64())])
+
+
 def select_v1(candidates: DataFrame) -> DataFrame:
     """candidates: request, id, required, optional, contextual (arrays of slots), direct, quality, redundancy, group -> request, id, step, value.
 
     value = 10 * new required + 2 * new optional + direct + .5 if a contextual slot is new + quality - .5 * (redundancy + 1 if the group is
     already there); ties: direct, then id. The best is taken out before the test that ends at 0 or less."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, have, groups, out = pdf.to_dict("records"), set(), set(), []
+    def run(rows: list[dict]) -> list[dict]:
+        left, have, groups, out = list(rows), set(), set(), []
         while left:
             def value(c):
                 new = set(c["required"]) - have
@@ -57,22 +82,22 @@ def select_v1(candidates: DataFrame) -> DataFrame:
             left.remove(best)
             if v <= 0:
                 break
-            out.append((best["request"], best["id"], len(out) + 1, float(v)))
+            out.append({"request": best["request"], "id": best["id"], "step": len(out) + 1, "value": float(v)})
             have |= set(best["required"]) | set(best["optional"]) | set(best["contextual"])
             groups.add(best["group"])
-        return pd.DataFrame(out, columns=["request", "id", "step", "value"])
+        return out
 
-    return candidates.groupBy("request").applyInPandas(run, "request long, id long, step long, value double")
+    return _each_request(candidates, run, _VALUED, "request long, id long, step long, value double")
 
 
 def _complete(needs: dict, held: set) -> int:
     return sum(all((n, c) in held for c in cs) if joint else any((n, c) in held for c in cs) for n, (joint, cs) in needs.items())
 
 
-def _parse(pdf: pd.DataFrame) -> tuple[list[dict], dict, dict]:
+def _parse(supports: list[dict]) -> tuple[list[dict], dict, dict]:
     required, optional = {}, {}
     rows = {}
-    for r in pdf.to_dict("records"):
+    for r in supports:
         (required if r["required"] else optional)[r["need"]] = (r["joint"], list(r["clauses"]))
         if r["clause"] in list(r["clauses"]):
             c = rows.setdefault(r["episode"], {"id": r["episode"], "held": set(), "facts": 0, "tokens": 0, "relevance": 0.0})
@@ -114,20 +139,20 @@ def select_v3(supports: DataFrame, episodes: int, facts: int, tokens: int) -> Da
     Lexicographic greedy: new required needs, progress of joint ones, new optional needs, fewer facts, fewer tokens, relevance, smaller id; budgets of
     episodes, facts and tokens."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, required, optional = _parse(pdf)
+    def run(own: list[dict]) -> list[dict]:
+        rows, required, optional = _parse(own)
         chosen, stop = _greedy(rows, required, optional, episodes, facts, tokens)
         held = set().union(*[c["held"] for c in rows if c["id"] in chosen]) if chosen else set()
-        return pd.DataFrame([(pdf["request"].iloc[0], chosen, stop, _complete(required, held))], columns=["request", "chosen", "stop", "covered"])
+        return [{"request": own[0]["request"], "chosen": chosen, "stop": stop, "covered": _complete(required, held)}]
 
-    return supports.groupBy("request").applyInPandas(run, "request long, chosen array<long>, stop string, covered long")
+    return _each_request(supports, run, _CHOSEN, "request long, chosen array<long>, stop string, covered long")
 
 
 def select_exhaustive(supports: DataFrame, episodes: int, facts: int, tokens: int, most: int = 12) -> DataFrame:
     """The most required needs that any choice within the budgets covers; requests of more than most candidates have none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, required, _ = _parse(pdf)
+        rows, required, _ = _parse(pdf.to_dict("records"))
         best = None
         if len(rows) <= most:
             best = 0
