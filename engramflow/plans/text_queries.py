@@ -24,9 +24,19 @@ def record_spans(spark, sf):
     return r.groupBy("id").agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("paragraphs")
+_SIZES = "coalesce(list_sum(list_transform({0}, lambda y: length(y))), 0)"
+_BEGIN = "out := []::VARCHAR[][], now := []::VARCHAR[], fresh := 0"
+
+
+@query("paragraphs", rf"""WITH r AS (SELECT doc_id AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+    s AS (SELECT id, list_reduce(list_transform(l, lambda x: struct_pack({_BEGIN}, r := x)), lambda a, x:
+        CASE WHEN a.fresh > 0 AND ({_SIZES.format("a.now")} + 2 * len(a.now) >= 900 OR {_SIZES.format("a.now")} + 2 * len(a.now) + length(x.r) > 1400)
+             THEN struct_pack(out := a.out || [a.now], now := list_filter(a.now, lambda y, i: list_sum(list_transform(a.now[i:], lambda z: length(z) + 2)) - 2 <= 200) || [x.r], fresh := 1, r := '')
+             ELSE struct_pack(out := a.out, now := a.now || [x.r], fresh := a.fresh + 1, r := '') END, struct_pack({_BEGIN}, r := '')) AS a FROM r WHERE len(l) > 0),
+    o AS (SELECT id, CASE WHEN len(a.out) > 0 AND {_SIZES.format("a.now[len(a.now) - a.fresh + 1:]")} < 200 THEN a.out[:len(a.out) - 1] || [a.out[len(a.out)] || a.now[len(a.now) - a.fresh + 1:]] ELSE a.out || [a.now] END AS p FROM s)
+    SELECT id, part, length(t) AS chars, sha256(t) AS sha256 FROM (SELECT id, array_to_string(q, chr(10) || chr(10)) AS t, part FROM (SELECT id, unnest(p) AS q, generate_subscripts(p, 1) - 1 AS part FROM o))""")
 def paragraphs(spark, sf):
-    """ParagraphSegmenter over documents' lines as records; tested on small texts."""
+    """ParagraphSegmenter over documents' lines as records; with records of a line each."""
     lines = texts(spark, sf).withColumn("text", F.regexp_replace("text", "\n", "\n\n"))
     return S.explode_texts(lines, "paragraphs").select("id", "part", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
