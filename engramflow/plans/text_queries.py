@@ -48,7 +48,24 @@ def chunks(spark, sf):
     return c.groupBy("id").agg(F.sum(F.length("text")).alias("chars"))
 
 
-@query("natural_segments")
+_BLOCK = "STRUCT(p BIGINT, n BIGINT, b INTEGER)[]"
+_START = f"out := []::{_BLOCK}[], now := []::{_BLOCK}, fresh := 0::BIGINT"
+_SIZE = "coalesce(list_sum(list_transform({0}, lambda y: y.n + 2)), 0)"
+_CARRY = f"list_filter(a.now, lambda y, i: i > 1 AND {_SIZE.format('a.now[i:]')} <= CASE WHEN i = len(a.now) THEN 1600 ELSE 800 END)"
+_SOFT = f"list_max(list_filter(range(len(a.now) - a.fresh + 1, len(a.now)), lambda k: a.now[k + 1].b >= 2 AND {_SIZE.format('a.now[:k]')} >= 3000))"
+_CLOSED = "struct_pack(out := a.out || [a.now], now := {0} || [x.r], fresh := 1::BIGINT, r := x.r)"
+
+
+@query("natural_segments", f"""WITH d AS (SELECT source AS source_key, list(struct_pack(p := doc_id, n := length(coalesce(text, '')), b := CASE WHEN n_chars > 8000 THEN 3 WHEN n_chars > 3000 THEN 2 ELSE 0 END) ORDER BY doc_id) AS l FROM documents GROUP BY source),
+    s AS (SELECT source_key, list_reduce(list_transform(l, lambda x: struct_pack({_START}, r := x)), lambda a, x: CASE
+        WHEN a.fresh > 0 AND x.r.b >= 3 THEN {_CLOSED.format(f"[]::{_BLOCK}")}
+        WHEN a.fresh > 0 AND {_SIZE.format("a.now")} + x.r.n + 2 > 8000 THEN {_CLOSED.format(_CARRY)}
+        WHEN a.fresh > 0 AND {_SIZE.format("a.now")} >= 6000 AND (x.r.b >= 2 OR {_SOFT} IS NULL) THEN {_CLOSED.format(_CARRY)}
+        WHEN a.fresh > 0 AND {_SIZE.format("a.now")} >= 6000 THEN struct_pack(out := a.out || [a.now[:{_SOFT}]], now := a.now[{_SOFT} + 1:] || [x.r], fresh := len(a.now) - {_SOFT} + 1, r := x.r)
+        ELSE struct_pack(out := a.out, now := a.now || [x.r], fresh := a.fresh + 1, r := x.r) END, struct_pack({_START}, r := l[1])) AS a FROM d),
+    o AS (SELECT source_key, CASE WHEN a.fresh > 0 THEN a.out || [a.now] ELSE a.out END AS p FROM s)
+    SELECT source_key, segment_index, len(q) AS blocks, (length('[source_key: ' || source_key || ']' || chr(10) || '[segment_index: ' || segment_index || ']') + 2 + list_sum(list_transform(q, lambda y: y.n)) + 2 * (len(q) - 1))::BIGINT AS chars
+    FROM (SELECT source_key, unnest(p) AS q, generate_subscripts(p, 1) - 1 AS segment_index FROM o)""")
 def natural_segments(spark, sf):
     """Documents of a source as one file of blocks; a longer document starts a section."""
     d = table(spark, sf, "documents")
