@@ -52,7 +52,19 @@ def open_windows(spark, sf):
     return X.open_spans(t, closed).withColumnRenamed("end", "stop")
 
 
-@query("source_excerpts")
+_PICKED = "struct_pack(used := 0::BIGINT, got := []::BIGINT[], i := 0::BIGINT, n := 0::BIGINT)"
+
+
+@query("source_excerpts", rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
+    b AS (SELECT id, text, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS r FROM d WHERE length(text) BETWEEN 3001 AND 3999),
+    h AS (SELECT *, list_filter(range(1, len(r) + 1), lambda i: contains(lower(r[i]), 'the') OR contains(lower(r[i]), 'der')) AS hits FROM b),
+    f AS (SELECT *, list_filter(flatten(list_transform(hits, lambda i: [i, i - 1, i + 1])), lambda i: i BETWEEN 1 AND len(r)) AS p FROM h),
+    g AS (SELECT *, list_filter(p, lambda v, i: list_position(p, v) = i)[:12] AS q FROM f),
+    e AS (SELECT id, text, r, list_reduce(list_transform(q, lambda v: struct_pack(used := 0::BIGINT, got := []::BIGINT[], i := v::BIGINT, n := length(r[v]) + 2)), lambda a, x:
+        CASE WHEN a.used + x.n <= 3000 THEN struct_pack(used := a.used + x.n, got := a.got || [x.i], i := x.i, n := x.n) ELSE a END, {_PICKED}) AS z FROM g),
+    x AS (SELECT id, CASE WHEN len(z.got) > 0 THEN array_to_string(list_transform(list_sort(z.got), lambda i: r[i]), chr(10) || chr(10)) ELSE text[:1497] || chr(10) || '...' || chr(10) || text[-1497:] END AS excerpt FROM e
+        UNION ALL SELECT id, CASE WHEN length(text) <= 3000 THEN text ELSE substr(text, 4000, 80) END FROM d WHERE length(text) NOT BETWEEN 3001 AND 3999)
+    SELECT id, length(excerpt) AS chars, sha256(excerpt) AS sha256 FROM x""")
 def source_excerpts(spark, sf):
     """Excerpts of 3000 characters around quotes; tested on small texts."""
     d = table(spark, sf, "documents")
