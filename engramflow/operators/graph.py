@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cutting import cut
+from .cutting import cut, together
 
 #: Fixed value: what an edge keeps of a score.
 DECAY = 0.85
@@ -91,19 +91,22 @@ def contract(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     An inner node has one link in and one out. Runs of inner nodes become paths, named by their last node; away is a member's distance from the
     node after the path. steps link the other nodes, through a path or directly (path null). rings are cycles of inner nodes alone.
-    Runs are found by doubling pointers, each inner node having one: a run of n nodes takes log2(n) rounds of as many rows as nodes."""
+    Runs are found by doubling pointers, each inner node having one: a run of n nodes takes log2(n) rounds of as many rows as nodes, whatever the
+    number of runs."""
     into = links.groupBy(F.col("other").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
     out = links.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("other").alias("next")).where("n = 1").select("node", "next")
     inner = cut(out.join(into, "node"))
     ends = inner.join(inner.select(F.col("node").alias("next"), F.lit(True).alias("goes")), "next", "left")
     # head: where a pointer stands; an open one stands on an inner node, a closed one behind its run
-    now = cut(ends.select("node", F.col("next").alias("head"), F.coalesce("goes", F.lit(False)).alias("open"), F.lit(1).cast("long").alias("away"), F.col("node").alias("last"), F.least("node", "next").alias("ring")))
-    size, left, span = now.count(), now.where("open").count(), 1
-    while left and span < size:
+    now = cut(ends.select("node", F.col("next").alias("head"), F.coalesce("goes", F.lit(False)).alias("open"), F.lit(1).cast("long").alias("away"), F.col("node").alias("last"), F.least("node", "next").alias("ring"), F.lit(True).alias("fell")))
+    state = lambda: now.agg(F.count(F.when(F.col("open"), 1)).alias("left"), F.count(F.when(F.col("open") & F.col("fell"), 1)).alias("fell")).first()
+    at, before = state(), None
+    # a round closes a pointer of every run that has an open one; if it closes none and lowers no ring's least node, all that is open is a ring and knows it
+    while at.left and (before is None or at.left < before or at.fell):
         far = now.select(F.col("node").alias("head"), F.col("head").alias("_h"), F.col("open").alias("_o"), F.col("away").alias("_a"), F.col("last").alias("_l"), F.col("ring").alias("_r"))
-        moved = now.where("open").join(far, "head").select("node", F.col("_h").alias("head"), F.col("_o").alias("open"), (F.col("away") + F.col("_a")).alias("away"), F.col("_l").alias("last"), F.least("ring", "_r").alias("ring"))
-        now = cut(now.where("NOT open").unionByName(moved))
-        left, span = now.where("open").count(), 2 * span
+        moved = now.where("open").join(far, "head").select("node", F.col("_h").alias("head"), F.col("_o").alias("open"), (F.col("away") + F.col("_a")).alias("away"), F.col("_l").alias("last"), F.least("ring", "_r").alias("ring"), (F.col("_r") < F.col("ring")).alias("fell"))
+        now = cut(together(now.where("NOT open"), moved))
+        at, before = state(), at.left
     members = now.where("NOT open").select(F.col("last").alias("path"), "node", "away", F.col("head").alias("end"))
     rings = now.where("open").select("ring", "node")
     outer = links.join(inner.select("node"), "node", "left_anti")
