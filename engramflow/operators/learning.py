@@ -126,8 +126,11 @@ def merge_concepts(concepts: DataFrame, merges: DataFrame) -> DataFrame:
 def resolve_concepts(drafts: DataFrame, concepts: DataFrame, aliases: DataFrame) -> DataFrame:
     """drafts: draft, name, names (array); concepts: id, name; aliases: id, alias (all in normal form) -> draft, id, how: one concept of that name; else the one
     concept that all of its names that match agree on; else null (a new concept)."""
-    by_name = drafts.join(concepts, "name").groupBy("draft").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").select("draft", F.col("id").alias("exact"))
-    by_alias = drafts.select("draft", F.explode("names").alias("alias")).join(aliases, "alias").groupBy("draft").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").select("draft", F.col("id").alias("agreed"))
+    # of a name's concepts only the least and the greatest matter: they agree if there is one, and a draft meets each of its names once, however many concepts have it
+    ends = lambda low, high: [F.min(low).alias("low"), F.max(high).alias("high")]
+    one = lambda met, out: met.groupBy("draft").agg(*ends("low", "high")).where("low = high").select("draft", F.col("low").alias(out))
+    by_name = one(drafts.select("draft", "name").join(concepts.groupBy("name").agg(*ends("id", "id")), "name"), "exact")
+    by_alias = one(drafts.select("draft", F.explode("names").alias("alias")).join(aliases.groupBy("alias").agg(*ends("id", "id")), "alias"), "agreed")
     out = drafts.select("draft").join(by_name, "draft", "left").join(by_alias, "draft", "left")
     return out.select("draft", F.coalesce("exact", "agreed").alias("id"), F.when(F.col("exact").isNotNull(), "name").when(F.col("agreed").isNotNull(), "alias").otherwise("new").alias("how"))
 
