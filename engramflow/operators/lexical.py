@@ -207,7 +207,9 @@ def lexical_votes(docs: DataFrame, queries: DataFrame, share: float = 0.35, k: i
 
 
 class Cosine:
-    """sqrt(overlap / weight of the document * overlap / weight of the query) with idf of asked features and the documents' own weights."""
+    """sqrt(overlap / weight of the document * overlap / weight of the query) with idf of asked features and the documents' own weights.
+
+    Rounded to twelve digits: weights are sums in any order, and documents of the same features shall tie."""
 
     def __init__(self, block: scan.Block, idf: np.ndarray, none: float):
         self.block, self.idf = block, idf
@@ -217,7 +219,7 @@ class Cosine:
     def __call__(self, part) -> np.ndarray:
         doc, term, _, _ = scan.postings(part, "features")
         o = scan.summed(self.block, part.num_rows, doc, term, self.idf[term])
-        return np.sqrt(o / np.maximum(part.column("weight").to_numpy(zero_copy_only=False), 1e-300)[None, :] * o / np.maximum(self.query, 1e-300)[:, None])
+        return np.round(np.sqrt(o / np.maximum(part.column("weight").to_numpy(zero_copy_only=False), 1e-300)[None, :] * o / np.maximum(self.query, 1e-300)[:, None]), 12)
 
 
 def cue_search(cues: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -251,7 +253,8 @@ def record_anchors(episodes: DataFrame, records: DataFrame, eligible: Column | N
     rn = r.join(w, ["source", "f"]).groupBy("id").agg(F.sqrt(F.sum("w")).alias("rn"))
     chosen = r if eligible is None else r.where(eligible)
     cos = q.join(chosen, ["source", "f"]).groupBy("episode", "id").agg(F.sum("w").alias("s")).join(qn, "episode").join(rn, "id").select("episode", "id", (F.col("s") / F.col("qn") / F.col("rn")).alias("score"))
-    return cos.withColumn("_r", F.row_number().over(Window.partitionBy("episode").orderBy(F.desc("score"), "id"))).where("_r = 1").drop("_r")
+    # sums of the same weights differ by their order in the last digits; such scores are ties
+    return cos.withColumn("_r", F.row_number().over(Window.partitionBy("episode").orderBy(F.desc(F.round("score", 10)), "id"))).where("_r = 1").drop("_r")
 
 
 def containment_pairs(lines: DataFrame, least: float = 0.8) -> DataFrame:
