@@ -57,3 +57,16 @@ def test_nothing(spark):
     empty = lambda s: spark.createDataFrame([], s)
     found, added = R.resolve_batch(empty("seq long, name string, aliases array<string>"), empty("id long, name string, active boolean, canonical_id long"), empty("id long, alias string"))
     assert found.count() == 0 and added.count() == 0
+
+
+def test_rounds_do_not_follow_chains(spark, monkeypatch):
+    """Every draft comes to the concept of the one before it, and many parts meet the same names."""
+    cuts = []
+    monkeypatch.setattr(R, "cut", lambda df, real=R.cut: cuts.append(1) or real(df))
+    concepts, aliases = [(5, "old", True, None)], [(5, "old")]
+    for part, drafts in ((1 << 14, [(k, f"n{k}", [f"n{k + 1}"]) for k in range(40)]), (4, [(k, f"n{k % 5}", [f"m{k % 7}"]) for k in range(80)])):
+        monkeypatch.setattr(R, "PART", part)
+        cuts.clear()
+        found, _ = R.resolve_batch(spark.createDataFrame(drafts, "seq long, name string, aliases array<string>"), spark.createDataFrame(concepts, "id long, name string, active boolean, canonical_id long"), spark.createDataFrame(aliases, "id long, alias string"))
+        assert sorted(map(tuple, found.collect())) == plain(drafts, concepts, aliases)[0]
+        assert len(cuts) <= 20
