@@ -53,6 +53,8 @@ def select_targets(matched: DataFrame, support: DataFrame, floor: float, edge_to
 
 #: Slots whose two vectors are broadcast at once.
 SLOTS = 1024
+#: Scores in a task's table of slots by edges.
+CELLS = 1 << 18
 _LIFE = {"active": 1.0, "probation": 0.5}
 REASONS = ("lifecycle", "utility", "context", "need", "anchor")
 
@@ -88,6 +90,14 @@ class _Scorer:
         return key, score, reason
 
 
+def _slices(batches, slots: int):
+    """Batches of edges in slices of at most CELLS scores: what a task holds doesn't grow with its batches."""
+    step = max(1, CELLS // max(1, slots))
+    for b in batches:
+        for low in range(0, b.num_rows, step):
+            yield b.slice(low, step)
+
+
 def _blocks(edges: DataFrame, slots: DataFrame, mode: str, how: str, thresholds: tuple[float, float]):
     most = edges.agg(F.max("anchor")).first()[0] or 0.0
     held = []
@@ -118,9 +128,7 @@ def search(edges: DataFrame, slots: DataFrame, support: DataFrame, floor: float,
         def run(batches, sent=sent):
             own = sent.value
             best: list[dict] = [{} for _ in own.slots]
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in _slices(batches, len(own.slots)):
                 key, score, reason = own(b)
                 final = score * b.column("support").to_numpy(zero_copy_only=False)
                 edge, target, anchor = (b.column(c).to_numpy(zero_copy_only=False) for c in ("edge", "target", "anchor"))
@@ -152,9 +160,8 @@ def rejections(edges: DataFrame, slots: DataFrame, mode: str = "cn", how: str =
 
         def run(batches, sent=sent):
             total = np.zeros(len(REASONS) + 1, np.int64)
-            for b in batches:
-                if b.num_rows:
-                    total += np.bincount(sent.value(b)[2].reshape(-1) + 1, minlength=len(total))
+            for b in _slices(batches, len(sent.value.slots)):
+                total += np.bincount(sent.value(b)[2].reshape(-1) + 1, minlength=len(total))
             yield pa.RecordBatch.from_arrays([pa.array(["kept", *REASONS]), pa.array(total)], ["reason", "n"])
 
         found = found.unionByName(edges.select("edge", "anchor", "lifecycle", "utility", "v").mapInArrow(run, "reason string, n long"))
