@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _RECORD = re.compile(r"^\[record: \d+\][^\n]*$", re.M)
 _BLANK = re.compile(r"\n[ \t]*\n")
+_PIECE = {"id": pa.int64(), "part": pa.int64(), "start": pa.int64(), "end": pa.int64(), "text": pa.string()}
+#: Characters of pieces that a task holds before it gives them out.
+HELD = 1 << 20
 
 
 def _trimmed(text: str, low: int, high: int) -> tuple[int, int] | None:
@@ -121,20 +125,30 @@ def natural_segments(blocks: list[dict], target: int = 6000, most: int = 8000, o
 def explode_texts(docs: DataFrame, what: str) -> DataFrame:
     """docs: id, text -> id, part (from 0), start, end, text of records, paragraphs or chunks (start and end only of records)."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf["id"], pdf["text"]):
-                text = text or ""
-                if what == "records":
-                    rows += [(i, k, a, b, text[a:b]) for k, (a, b) in enumerate(record_spans(text))]
-                else:
-                    rows += [(i, k, None, None, t) for k, t in enumerate(paragraphs(text) if what == "paragraphs" else chunks(text))]
-            frame = pd.DataFrame(rows, columns=["id", "part", "start", "end", "text"])
-            frame["start"], frame["end"] = frame["start"].astype("Int64"), frame["end"].astype("Int64")
-            yield frame
+    def pieces(i, text):
+        if what == "records":
+            return [(i, k, a, b, text[a:b]) for k, (a, b) in enumerate(record_spans(text))]
+        return [(i, k, None, None, t) for k, t in enumerate(paragraphs(text) if what == "paragraphs" else chunks(text))]
 
-    return docs.select("id", "text").mapInPandas(run, "id long, part long, start long, end long, text string")
+    def batch(rows):
+        columns = zip(*rows) if rows else ((),) * len(_PIECE)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE.values())], list(_PIECE))
+
+    def run(batches):
+        rows, size = [], 0
+        for b in batches:
+            for i, text in zip(b.column(0), b.column(1)):
+                found = pieces(i.as_py(), text.as_py() or "")
+                rows += found
+                size += sum(len(r[-1]) for r in found)
+                if size > HELD:
+                    yield batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    own = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "id long, part long, start long, end long, text string")
 
 
 def segment_files(blocks: DataFrame, **limits) -> DataFrame:

@@ -3,6 +3,7 @@
 import pyarrow as pa
 
 from engramflow.operators import contextual as C
+from engramflow.operators import segments as S
 
 
 def test_edges_are_scored_in_slices(monkeypatch):
@@ -12,3 +13,16 @@ def test_edges_are_scored_in_slices(monkeypatch):
     assert [p.num_rows for p in parts] == [10, 10, 10, 5, 5]
     assert [x for p in parts for x in p.column("edge").to_pylist()] == [*range(35), *range(5)]
     assert [p.num_rows for p in C._slices(iter(batches[2:]), 1000)] == [1] * 5
+
+
+def test_pieces_are_given_out_in_batches(spark, monkeypatch):
+    rows = [(k, None if k == 3 else f"{k} one.\n\n{k} two. " * 20) for k in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    for what in ("records", "chunks", "paragraphs"):
+        monkeypatch.setattr(S, "HELD", 1 << 20)
+        want = sorted(map(tuple, S.explode_texts(docs, what).collect()), key=repr)
+        monkeypatch.setattr(S, "HELD", 10)
+        assert sorted(map(tuple, S.explode_texts(docs, what).collect()), key=repr) == want
+        assert len({r[0] for r in want}) == 39
+        if what == "records":
+            assert all(rows[i][1][a:b] == t for i, _, a, b, t in want)
