@@ -37,3 +37,12 @@ def test_any_division_of_the_budget(spark, tmp_path, budgets):
 def test_nothing_to_spread(spark, tmp_path):
     search = resumable.ResumableSpreading(spark.createDataFrame([], EDGE), spark.createDataFrame([], "root long, node long, activation double"), str(tmp_path / "s"))
     assert search.run(3) == resumable.COMPLETE and search.supports().count() == 0
+
+
+def test_query_weighs_the_graph_once(spark, monkeypatch):
+    from engramflow.plans import graph_queries
+
+    calls = []
+    monkeypatch.setattr(resumable, "conductances", lambda edges, real=resumable.conductances: calls.append(1) or real(edges))
+    graph_queries.resumed_spreading(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
