@@ -20,6 +20,8 @@ from .cutting import cut
 QUERIES, TERMS = 1024, 1 << 16
 #: Scores in a task's table of queries by documents.
 CELLS = 1 << 21
+#: Terms of documents that are encoded at once; a single document may have more.
+PIECE = 1 << 18
 
 
 class Block:
@@ -92,6 +94,19 @@ def _encoded(column: pa.Array, number: dict[str, int]) -> tuple[pa.Array, pa.Arr
     return pa.ListArray.from_arrays(offsets, pa.array(key % max(1, len(number)), pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32())), sizes
 
 
+def pieces(batch: pa.RecordBatch, fields: list[str], terms: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in slices of at most so many terms of all fields together, or of one row."""
+    sizes = sum(pc.fill_null(pc.list_value_length(batch.column(f)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
+    low, n = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > low and n + size > terms:
+            yield batch.slice(low, row - low)
+            low, n = row, 0
+        n += size
+    if low < batch.num_rows:
+        yield batch.slice(low)
+
+
 def encode(docs: DataFrame, block: Block, fields: list[str], carry: tuple[str, ...] = (), text: str | None = None) -> DataFrame:
     """docs with, for every field (an array of terms), f_term, f_tf and f_len instead; with text also holds: the queries whose phrases it has."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -102,7 +117,7 @@ def encode(docs: DataFrame, block: Block, fields: list[str], carry: tuple[str, .
     def run(batches):
         own = sent.value
         match = _matches(own) if text else None
-        for b in batches:
+        for b in (part for whole in batches for part in pieces(whole, fields)):
             names, columns = list(keep), [b.column(c) for c in keep]
             for f in fields:
                 term, tf, size = _encoded(b.column(f), own.number)
