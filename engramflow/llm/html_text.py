@@ -1,15 +1,16 @@
 r"""HTML main-text extraction with host suffix arrays.
 
 1. A page is cut into blocks of text by its tags. Parts that say what they are (scripts, styles, menus, headers,
-   footers, sidebars, forms, adverts, notices, reader comments: by tag, role, class or id) are left out. Blocks inside
-   ``article`` or ``main`` are the author's own and stay as they are; if a page has such a part, the rest of it goes.
-2. Pages without such a part keep every other block as a candidate. The token streams of a host's pages are
-   concatenated and sorted as suffixes (host first, then token by token up to ``RUN`` tokens, multikey quicksort); equal
-   neighbours are classes of repeated token runs. Blocks of pages exchange the classes' numbers of distinct pages, so a
-   host of any size is split over many tasks and yet counted exactly.
+   footers, sidebars, forms, adverts, notices, reader comments: by tag, role, class or id) are left out. If a page has
+   ``article`` or ``main``, its text is in there and the rest of the page goes.
+2. The token streams of all of a host's pages are concatenated and sorted as suffixes (host first, then token by token
+   up to ``RUN`` tokens, multikey quicksort); equal neighbours are classes of repeated token runs. A host is one task's
+   work, or, if it is large, split over blocks by its texts. A run that is on some share of a host's pages is on that share
+   of the pages of one of its blocks at least, so blocks name what may be frequent, and only that is counted over all of them: exactly.
 3. Tokens covered by a run that is on at least ``MIN_PAGES`` distinct pages and ``MIN_SHARE`` of the host's distinct
-   pages are boilerplate and go; the unique runs stay. Pages with equal streams count once, so copies
-   of one text are not boilerplate.
+   pages are boilerplate and go; the unique runs stay. Inside ``article`` or ``main``, where an author may well repeat a phrase,
+   a block goes as a whole only, and only by runs on ``OWN_SHARE`` of the pages. Pages with equal streams count once, so copies
+   of one text are not boilerplate; pages without text don't count.
 
 Text: character references are decoded, white space inside a block is one space, blocks are
 trimmed and joined in page order by two line breaks; ``<br>`` and table cells part words, not blocks.
@@ -31,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, shuffle_parts, table
-from .exchange import MESSAGE, _answers, _messages, answer, bucketed, join_parts, mixed, pack, pack_sorted, split_parts, unpack, unpack_sorted
+from .exchange import mixed
 from .suffix_dedup import multikey_quicksort
 
-RUN, MIN_PAGES, MIN_SHARE = 6, 3, 0.3
-BLOCK_BYTES, BUCKET_KEYS = 4 << 20, 2 << 20
+RUN, MIN_PAGES, MIN_SHARE, OWN_SHARE = 6, 3, 0.3, 0.9
+BLOCK_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 
 #: Elements by what they mean for the text.
@@ -55,7 +56,7 @@ ROLES = set("navigation banner contentinfo complementary search form alert dialo
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)")
+_HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)"
 
 
 def _left_out(tag: str, attributes: str, in_main: bool) -> bool:
@@ -154,34 +155,26 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
     return (own, True) if own else ([t for t, _ in found], False)
 
 
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
-
-
 PARSED = "page_id long, url string, host string, own boolean, blocks array<string>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            rows = [blocks_of(h.as_py()) for h in b.column(2)]
+            rows = [blocks_of(h.as_py()) for h in b.column(3)]
             blocks, own = zip(*rows) if rows else ((), ())
-            hosts = [host_of(u) for u in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(own, pa.bool_()), pa.array(blocks, pa.list_(pa.string()))], ["page_id", "url", "host", "own", "blocks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(own, pa.bool_()), pa.array(blocks, pa.list_(pa.string()))], ["page_id", "url", "host", "own", "blocks"])
 
-    p = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return p.mapInArrow(run, PARSED)
+    return pages.select("page_id", "url", "host", "html").mapInArrow(run, PARSED)
 
 
 class Streams:
-    """The token streams of a block's candidate pages, one after another, and their runs' classes."""
+    """The token streams of a block's pages, one after another, and their runs' classes."""
 
     def __init__(self, rows: pa.Table, run: int):
         self.run = run
-        blocks, own = rows.column("blocks").to_pylist(), rows.column("own").to_pylist()
-        hosts = rows.column("host").to_pylist()
-        self.pages = [i for i, mine in enumerate(own) if not mine]
+        blocks, hosts = rows.column("blocks").to_pylist(), rows.column("host").to_pylist()
+        self.pages = [i for i, parts in enumerate(blocks) if parts]
         tokens, sizes, host_number = [], [], {}
         ids: dict[str, int] = {}
         for i in self.pages:
@@ -193,6 +186,7 @@ class Streams:
         self.word_hash = np.array([_hash(w) for w in names], np.uint64)
         self.sizes = np.array(sizes, np.int64)
         self.host = np.array([host_number.setdefault(hosts[i], len(host_number)) for i in self.pages], np.int64)
+        self.names = list(host_number)
         self.host_hash = np.array([_hash(h) for h in host_number], np.uint64)
         # pages of a host with equal streams are one page
         begin = np.cumsum(self.sizes) - self.sizes
@@ -205,6 +199,7 @@ class Streams:
     def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(suffixes' class numbers, the classes' keys, their numbers of distinct pages): the suffix array of all
         streams, host by host, cut where neighbours differ within the run."""
+        self.owner = self.at  # hosts' numbers of the classes
         if not len(self.at):
             return self.at, np.zeros(0, np.uint64), self.at
         host = self.host[self.page]
@@ -215,16 +210,17 @@ class Streams:
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
         first = order[new]
-        key = self.host_hash[host[first]]
+        self.owner = host[first]
+        key = self.host_hash[self.owner]
         for k in range(self.run):
             key = mixed(key * np.uint64(BASE) + self.word_hash[self.token[self.at[first] + k]])
         pairs = np.unique(np.column_stack([number, self.text[self.page]]), axis=0)
         return number, key, np.bincount(pairs[:, 0], minlength=len(key))
 
-    def hosts(self) -> tuple[np.ndarray, np.ndarray]:
-        """(keys of hosts, their numbers of distinct pages)"""
+    def hosts(self) -> np.ndarray:
+        """Hosts' numbers of distinct pages."""
         pairs = np.unique(np.column_stack([self.host, self.text]), axis=0) if len(self.pages) else np.zeros((0, 2), np.int64)
-        return mixed(self.host_hash + np.uint64(1)), np.bincount(pairs[:, 0], minlength=len(self.host_hash))
+        return np.bincount(pairs[:, 0], minlength=len(self.names))
 
 
 def _hash(word: str) -> int:
@@ -233,75 +229,91 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 7)
 
 
+NAMED = "host string, key long"
+COUNTED = NAMED + ", n long, pages long"
+CLEANED = "page_id long, url string, text string, n_chars long, n_boilerplate long"
+
+
 class Plan:
-    def __init__(self, n_bytes: int, run: int, min_pages: int, min_share: float):
+    """What the tasks of a block do: name runs, count named ones, take out what is frequent."""
+
+    def __init__(self, run: int, min_pages: int, min_share: float):
         self.run, self.min_pages, self.min_share = run, min_pages, min_share
-        self.buckets = max(1, math.ceil(n_bytes / 6 / BUCKET_KEYS))
-
-    def _sent(self, streams: Streams):
-        number, key, pages = streams.classes()
-        host_key, host_pages = streams.hosts()
-        keys, counts = np.concatenate([key, host_key]), np.concatenate([pages, host_pages])
-        order = np.argsort(keys, kind="stable")
-        return number, len(key), order, keys[order], counts[order]
-
-    def send(self, rows: pa.Table) -> pa.Table:
-        _, _, _, keys, counts = self._sent(Streams(rows, self.run))
-        sent = [(0, b, join_parts([pack_sorted(keys[i:j]), pack(counts[i:j].astype(np.uint32))])) for b, i, j in bucketed(keys, self.buckets)]
-        return _messages(rows.column("block")[0].as_py(), sent)
-
-    def reply(self, kind: int, payloads: list[bytes]) -> list[bytes]:
-        parts = [split_parts(p) for p in payloads]
-        keys = [unpack_sorted(p[0]) for p in parts]
-        edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        _, number = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(number, weights=np.concatenate([unpack(p[1], np.uint32) for p in parts]))[number].astype(np.uint32)
-        return [pack(total[i:j]) for i, j in zip(edges, edges[1:])]
-
-    def finish(self, rows: pa.Table, found: pa.Table) -> pa.Table:
+
+    def name(self, rows: pa.Table) -> pa.Table:
+        """Runs that may be frequent: on the share of this block's pages of their host, of one that is not split on min_pages too."""
         streams = Streams(rows, self.run)
-        number, n_runs, order, keys, _ = self._sent(streams)
-        answers = _answers(found)
-        total = np.zeros(len(keys), np.int64)
-        for b, i, j in bucketed(keys, self.buckets):
-            total[order[i:j]] = unpack(answers[0, b], np.uint32)
-        gone = np.zeros(len(streams.token) + self.run + 1, np.int64)
-        if len(number):
-            need = np.maximum(self.min_pages, np.ceil(self.min_share * total[n_runs:]))[streams.host[streams.page]]
-            start = streams.at[total[number] >= need]
-            np.add.at(gone, start, 1)
-            np.add.at(gone, start + self.run, -1)
-        gone = np.cumsum(gone) > 0
-        blocks, texts, removed = rows.column("blocks").to_pylist(), [], []
-        begin = dict(zip(streams.pages, (np.cumsum(streams.sizes) - streams.sizes).tolist()))
-        for i, parts in enumerate(blocks):
-            n = 0
-            if i in begin:
-                at, kept = begin[i], []
-                for b in parts:
+        _, key, pages = streams.classes()
+        parts = dict(zip(rows.column("host").to_pylist(), rows.column("parts").to_pylist()))
+        least = np.array([self.min_pages if parts[h] == 1 else 1 for h in streams.names], np.int64)
+        use = pages >= np.maximum(least, self.min_share * streams.hosts() - 1e-9)[streams.owner]
+        return pa.table({"host": pa.array([streams.names[h] for h in streams.owner[use].tolist()], pa.string()), "key": pa.array(key[use].view(np.int64))})
+
+    def count(self, rows: pa.Table, named: pa.Table) -> pa.Table:
+        """Distinct pages of this block that have a named run, and those of its host."""
+        hosts, asked = named.column("host").to_pylist(), named.column("key").to_pylist()
+        n, pages = dict.fromkeys(asked, 0), {}
+        if asked and rows.num_rows:
+            streams = Streams(rows, self.run)
+            _, key, have = streams.classes()
+            pages = dict(zip(streams.names, streams.hosts().tolist()))
+            key = key.view(np.int64)
+            use = np.isin(key, np.array(asked, np.int64))
+            n |= zip(key[use].tolist(), have[use].tolist())
+        return pa.table({"host": pa.array(hosts, pa.string()), "key": pa.array(asked, pa.int64()), "n": pa.array([n[k] for k in asked], pa.int64()), "pages": pa.array([pages.get(h, 0) for h in hosts], pa.int64())})
+
+    def _gone(self, streams: Streams, number: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether tokens are covered by runs of the found classes."""
+        edge = np.zeros(len(streams.token) + self.run + 1, np.int64)
+        start = streams.at[found[number]] if len(number) else streams.at
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + self.run, -1)
+        return np.cumsum(edge) > 0
+
+    def finish(self, rows: pa.Table, frequent: pa.Table) -> pa.Table:
+        blocks, own, removed = rows.column("blocks").to_pylist(), rows.column("own").to_pylist(), [0] * rows.num_rows
+        if frequent.num_rows and rows.num_rows:
+            streams = Streams(rows, self.run)
+            number, key, _ = streams.classes()
+            keys, always = frequent.column("key").to_numpy(), frequent.column("always").to_numpy(zero_copy_only=False)
+            here = [self._gone(streams, number, np.isin(key.view(np.int64), k)) for k in (keys, keys[always])]
+            for i, at in zip(streams.pages, (np.cumsum(streams.sizes) - streams.sizes).tolist()):
+                kept, gone = [], here[own[i]]
+                for b in blocks[i]:
                     words = b.split()
-                    left = [w for w, g in zip(words, gone[at : at + len(words)].tolist()) if not g]
-                    at, n = at + len(words), n + len(words) - len(left)
+                    out = gone[at : at + len(words)]
+                    left = [w for w, g in zip(words, out.tolist()) if not g] if not own[i] or out.all() else words
+                    at, removed[i] = at + len(words), removed[i] + len(words) - len(left)
                     if left:
                         kept.append(" ".join(left))
-                parts = kept
-            texts.append("\n\n".join(parts))
-            removed.append(n)
+                blocks[i] = kept
+        texts = ["\n\n".join(parts) for parts in blocks]
         return pa.table({"page_id": rows.column("page_id"), "url": rows.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64()), "n_boilerplate": pa.array(removed, pa.int64())})
 
 
-def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, own_share: float = OWN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars and n_boilerplate (tokens removed as the host's) of every row."""
-    n_bytes = pick(pages, "html").agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    own = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    own = own.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)))
+    sizes = own.groupBy("host").agg(F.sum(F.octet_length("html")).alias("size"))
+    n_bytes = sizes.agg(F.sum("size")).first()[0] or 0
     count = max(1, math.ceil(n_bytes / BLOCK_BYTES))
-    parts = shuffle_parts(pages.sparkSession)
-    parsed = parse(pages)
-    # equal streams of a host meet in one block, own texts are dealt by page
-    deal = F.when(F.col("own"), F.xxhash64("page_id", "url")).otherwise(F.xxhash64("host", F.array_join("blocks", " ")))
-    dealt = parsed.withColumn("block", F.pmod(deal, F.lit(count)).cast("int")).repartition(max(parts, min(count, 4 * parts)), "block")
-    plan = Plan(n_bytes, run, min_pages, min_share)
-    answers = answer(dealt.groupBy("block").applyInArrow(lambda rows: plan.send(rows), MESSAGE), plan.reply)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda rows, found: plan.finish(rows, found), "page_id long, url string, text string, n_chars long, n_boilerplate long")
+    large = F.broadcast(sizes.where(F.col("size") > BLOCK_BYTES).select("host", F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("parts")))  # at most count rows
+    in_parts = lambda df: df.join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    block = lambda part: F.pmod(F.xxhash64("host", part), F.lit(count)).cast("int")
+    # equal streams of a host meet in one block; pages without text are dealt by page
+    part = F.pmod(F.xxhash64("host", F.array_join("blocks", " ")), F.col("parts")).cast("int")
+    place = F.when(F.size("blocks") > 0, block(part)).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.lit(count)).cast("int"))
+    shuffled = max(shuffle_parts(pages.sparkSession), min(count, 4 * shuffle_parts(pages.sparkSession)))
+    dealt = in_parts(parse(own)).withColumn("block", place).repartition(shuffled, "block")
+    to_blocks = lambda df: in_parts(df).withColumn("block", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), block))))
+    plan = Plan(run, min_pages, min_share)
+    named = to_blocks(dealt.groupBy("block").applyInArrow(lambda rows: plan.name(rows), NAMED).distinct()).select("block", "host", "key")
+    counted = dealt.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(lambda rows, asked: plan.count(rows, asked), COUNTED)
+    total = counted.groupBy("host", "key").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+    least = lambda share: F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * share))
+    frequent = to_blocks(total.where(F.col("n") >= least(min_share)).withColumn("always", F.col("n") >= least(own_share))).select("block", "key", "always")
+    return dealt.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(lambda rows, found: plan.finish(rows, found), CLEANED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -69,3 +69,21 @@ def test_classes_are_exact(spark):
     assert len(runs) == len(number)
     for r, k in zip(runs, number.tolist()):
         assert pages[k] == len(seen[r])
+
+
+def test_texts_of_articles_go_through_the_suffix_arrays(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    notice, phrase = "read more of our stories in the app every single day", "it was the best of times as they say"
+    rows, want = [], {}
+    for i in range(40):
+        own = " ".join(rng.choice(words) for _ in range(40))
+        inside = f"{notice} {own}" if i % 4 == 0 else own
+        often = f"<p>{phrase}</p>" if i % 2 else ""
+        rows.append((i, f"http://a.example/{i}", f"<p>menu</p><article><p>{inside}</p><p>{notice}</p>{often}<p>{i} {notice}</p></article>"))
+        want[i] = "\n\n".join([inside, *([phrase] if often else []), f"{i} {notice}"])
+    for size in (html_text.BLOCK_BYTES, 2000):
+        monkeypatch.setattr(html_text, "BLOCK_BYTES", size)
+        got = {r.page_id: r for r in html_text.extract(frame(spark, rows)).collect()}
+        assert {i: r.text for i, r in got.items()} == want
+        assert {r.n_boilerplate for r in got.values()} == {len(notice.split())}
