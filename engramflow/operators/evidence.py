@@ -106,46 +106,89 @@ def _parse(supports: list[dict]) -> tuple[list[dict], dict, dict]:
     return sorted(rows.values(), key=lambda c: c["id"]), required, optional
 
 
-def _greedy(rows: list[dict], required: dict, optional: dict, episodes: int, facts: int, tokens: int) -> tuple[list, str]:
-    chosen, held, n_facts, n_tokens = [], set(), 0, 0
+def _greedy(rows: list[tuple], required: list[tuple], optional: list[tuple], episodes: int, facts: int, tokens: int) -> tuple[list, str, int]:
+    """rows: id, bits of held clauses, facts, tokens, relevance; required, optional: joint, bits of the need's clauses -> chosen, stop, bits that they hold."""
+    chosen, held, n_facts, n_tokens, left = [], 0, 0, 0, rows
+    done = lambda needs, bits: sum(bits & m == m if joint else bits & m != 0 for joint, m in needs)
+    together = 0
+    for joint, m in required:
+        together |= m if joint else 0
     while True:
-        if _complete(required, held) == len(required) and _complete(optional, held) == len(optional):
-            return chosen, "complete"
+        old, old_optional = done(required, held), done(optional, held)
+        if old == len(required) and old_optional == len(optional):
+            return chosen, "complete", held
         if len(chosen) == episodes:
-            return chosen, "episode_budget"
-        open_ = [c for c in rows if c["id"] not in chosen]
-        fit = [c for c in open_ if n_facts + c["facts"] <= facts and n_tokens + c["tokens"] <= tokens]
-        if not open_:
-            return chosen, "exhausted"
-        if not fit:
-            return chosen, "budget"
-
-        def rank(c):
-            new = held | c["held"]
-            joint = sum(len(new & {(n, x) for x in cs}) - len(held & {(n, x) for x in cs}) for n, (j, cs) in required.items() if j)
-            return (_complete(required, new) - _complete(required, held), joint, _complete(optional, new) - _complete(optional, held), -c["facts"], -c["tokens"], c["relevance"], -c["id"])
-
-        best = max(fit, key=rank)
-        if rank(best)[:3] == (0, 0, 0):
-            return chosen, "no_gain"
-        chosen.append(best["id"])
-        held |= best["held"]
-        n_facts, n_tokens = n_facts + best["facts"], n_tokens + best["tokens"]
+            return chosen, "episode_budget", held
+        if not left:
+            return chosen, "exhausted", held
+        best = rank = None
+        for c in left:
+            if n_facts + c[2] <= facts and n_tokens + c[3] <= tokens:
+                new = held | c[1]
+                value = (done(required, new) - old, (new & ~held & together).bit_count(), done(optional, new) - old_optional, -c[2], -c[3], c[4], -c[0])
+                if rank is None or value > rank:
+                    best, rank = c, value
+        if best is None:
+            return chosen, "budget", held
+        if rank[:3] == (0, 0, 0):
+            return chosen, "no_gain", held
+        chosen.append(best[0])
+        held |= best[1]
+        n_facts, n_tokens = n_facts + best[2], n_tokens + best[3]
+        left = [c for c in left if c is not best]
 
 
 def select_v3(supports: DataFrame, episodes: int, facts: int, tokens: int) -> DataFrame:
-    """supports: request, episode, need, clause, joint, clauses, required, facts, tokens, relevance -> request, chosen (in order), stop, covered.
+    """supports: request, episode, need, clause, joint, clauses, required, facts, tokens, relevance -> request, chosen (in order), stop, covered. Without a column
+    clauses a need has those of all its request's supports.
 
     Lexicographic greedy: new required needs, progress of joint ones, new optional needs, fewer facts, fewer tokens, relevance, smaller id; budgets of
-    episodes, facts and tokens."""
+    episodes, facts and tokens. Clauses are bits of a number, and rows are read by column."""
+    names = ["request", "episode", "need", "clause", "joint", "required", "facts", "tokens", "relevance", *(["clauses"] if "clauses" in supports.columns else [])]
+
+    def choose(request, own):
+        bits, wanted, rows = {}, {}, {}
+        for episode, need, clause, joint, required, n_facts, n_tokens, relevance, *rest in own:
+            asked = rest[0] if rest else (clause,)
+            code = 0
+            for c in asked:
+                bit = bits.setdefault((need, c), 1 << len(bits))
+                code |= bit
+            key = (required, need)
+            wanted[key] = (joint, code if rest else code | wanted.get(key, (0, 0))[1])
+            if clause in asked:
+                r = rows.get(episode, (episode, 0, 0, 0, 0.0))
+                rows[episode] = (episode, r[1] | bits[need, clause], max(r[2], n_facts), max(r[3], n_tokens), max(r[4], relevance))
+        needs = [[w for (r, _), w in wanted.items() if bool(r) == kind] for kind in (True, False)]
+        chosen, stop, held = _greedy(list(rows.values()), *needs, episodes, facts, tokens)
+        return request, chosen, stop, sum(held & m == m if joint else held & m != 0 for joint, m in needs[0])
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _CHOSEN)], schema=_CHOSEN)
 
-    def run(own: list[dict]) -> list[dict]:
-        rows, required, optional = _parse(own)
-        chosen, stop = _greedy(rows, required, optional, episodes, facts, tokens)
-        held = set().union(*[c["held"] for c in rows if c["id"] in chosen]) if chosen else set()
-        return [{"request": own[0]["request"], "chosen": chosen, "stop": stop, "covered": _complete(required, held)}]
+    def run(batches):
+        """The rows come sorted by request; a request may go on from batch to batch."""
+        now, held, out = None, [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            requests, *columns = [c.to_pylist() for c in b.columns]
+            rows, at = list(zip(*columns)), 0
+            for i in range(len(rows) + 1):
+                if i == len(rows) or requests[i] != now:
+                    held += rows[at:i]
+                    at = i
+                    if i < len(rows):
+                        if held:
+                            out.append(choose(now, held))
+                        now, held = requests[i], []
+            if out:
+                yield batch(out)
+                out = []
+        if held:
+            yield batch([choose(now, held)])
 
-    return _each_request(supports, run, _CHOSEN, "request long, chosen array<long>, stop string, covered long")
+    return supports.select(*names).repartition("request").sortWithinPartitions("request").mapInArrow(run, "request long, chosen array<long>, stop string, covered long")
 
 
 def select_exhaustive(supports: DataFrame, episodes: int, facts: int, tokens: int, most: int = 12) -> DataFrame:

@@ -6,12 +6,13 @@ is cut into the shared folder, and nothing but row counts comes to the driver.""
 from __future__ import annotations
 
 import heapq
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cutting import cut, together
+from .cutting import cut, stored, together
 
 #: Fixed value: what an edge keeps of a score.
 DECAY = 0.85
@@ -261,12 +262,21 @@ def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "association_id", "full").where("NOT (before_weight <=> after_weight)").withColumn("kind", kind)
 
 
-def concept_reach(edges: DataFrame, concept_links: DataFrame) -> DataFrame:
-    """concept, episodes: distinct episodes linked to the concept or to one of its neighbour concepts (concept, other)."""
-    own = edges.select(F.col("to_id").alias("concept"), F.col("from_id").alias("episode"))
-    sides = concept_links.select("concept", "other").unionByName(concept_links.select(F.col("other").alias("concept"), F.col("concept").alias("other"))).distinct()
-    through = sides.join(own.withColumnRenamed("concept", "other"), "other").select("concept", "episode")
-    return own.unionByName(through).groupBy("concept").agg(F.countDistinct("episode").alias("episodes"))
+#: Rows of a task where a query deals out by their number.
+TASK_ROWS = 1 << 19
+
+
+def concept_reach(edges: DataFrame, concept_links: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """concept, episodes: distinct episodes linked to the concept or to one of its neighbour concepts (concept, other).
+
+    Pairs are stored once, and their number says into how many parts they are dealt, so that a task has about rows of them; what is counted is dealt by
+    concept and episode, so no concept is one task's work."""
+    own = stored(edges.select(F.col("to_id").alias("other"), F.col("from_id").alias("episode")).distinct())
+    sides = concept_links.select("concept", "other").unionByName(concept_links.select(F.col("other").alias("concept"), F.col("concept").alias("other")))
+    sides = sides.where("concept IS NOT NULL AND other IS NOT NULL AND concept <> other").unionByName(own.select(F.col("other").alias("concept"), "other")).distinct()
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(own.count() / rows))
+    pairs = own.repartition(parts, "other").join(sides, "other").select("concept", "episode")
+    return pairs.repartition(3 * parts, "concept", "episode").distinct().groupBy("concept").agg(F.count("episode").alias("episodes"))
 
 
 def protected_truncation(candidates: DataFrame, k: int) -> DataFrame:

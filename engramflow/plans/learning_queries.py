@@ -365,8 +365,7 @@ def greedy_selection(spark, sf):
     """Lexicographic greedy selection within budgets, a request for each customer; tested against exhaustive search."""
     c = contributions(spark, sf, 1 << 40)
     supports = c.select("request", "episode", F.substring("need", 1, 1).alias("need"), F.substring("need", 2, 9).alias("clause"), (F.substring("need", 1, 1) == "A").alias("joint"), "tokens", "relevance").withColumn("facts", F.lit(1).cast("long"))
-    wanted = supports.groupBy("request", "need").agg(F.collect_set("clause").alias("clauses")).withColumn("required", F.col("need") != "N")
-    chosen = E.select_v3(supports.join(wanted, ["request", "need"]), 12, 20, 900)
+    chosen = E.select_v3(supports.withColumn("required", F.col("need") != "N"), 12, 20, 900)
     return chosen.withColumn("chosen", F.array_join(F.col("chosen").cast("array<string>"), ","))
 
 

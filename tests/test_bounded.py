@@ -1,8 +1,12 @@
 """What a task holds at once doesn't grow with the batches it gets."""
 
+import random
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from engramflow.operators import contextual as C
+from engramflow.operators import evidence, graph
 from engramflow.operators import segments as S
 
 
@@ -37,3 +41,23 @@ def test_documents_are_encoded_in_pieces():
     parts = list(scan.pieces(batch, ["terms"], 8))
     assert [p.column("id").to_pylist() for p in parts] == [[0, 1, 2], [3], [4], [5, 6]]
     assert [x for p in parts for x in scan._encoded(p.column("terms"), {"a": 0})[2].tolist()] == [3, 4, 0, 2, 30, 0, 1]
+
+
+def test_clauses_need_not_be_on_every_support(spark):
+    rng = random.Random(7)
+    rows = [(r, rng.randrange(9), need, rng.choice("xyz"), need == "A", need != "N", rng.randrange(3), rng.randrange(60), rng.random()) for r in range(40) for need in rng.choices("ARN", k=rng.randrange(1, 15))]
+    supports = spark.createDataFrame(rows, "request long, episode long, need string, clause string, joint boolean, required boolean, facts long, tokens long, relevance double")
+    wanted = supports.groupBy("request", "need").agg(F.collect_set("clause").alias("clauses"))
+    a, b = (sorted(evidence.select_v3(s, 3, 5, 120).collect()) for s in (supports, supports.join(wanted, ["request", "need"])))
+    assert a == b and len({r.stop for r in a}) > 2
+
+
+def test_concept_reach_is_dealt_by_rows(spark):
+    edges = spark.createDataFrame([(e, c, p) for e in range(30) for c in (e % 3, 3, e % 5) for p in (0, 1)], "from_id long, to_id long, polarity int")
+    links = spark.createDataFrame([(0, 1), (1, 0), (3, 3), (4, 9), (None, 2)], "concept long, other long")
+    own = {(r.to_id, r.from_id) for r in edges.collect()}
+    near = {0: {0, 1}, 1: {0, 1}, 9: {9, 4}}
+    want = {c: len({e for k, e in own if k in near.get(c, {c})}) for c in (0, 1, 2, 3, 4, 9)}
+    got = graph.concept_reach(edges, links, rows=8)
+    assert {r.concept: r.episodes for r in got.collect()} == want
+    assert "hashpartitioning(concept#" in (plan := got._jdf.queryExecution().toString()) and f", {3 * -(-len(own) // 8)})" in plan
