@@ -55,7 +55,7 @@ def temporal_reachability(spark, sf):
     """What before-edges reach from the order with the smallest key of each customer."""
     t = temporal(spark, sf)
     starts = t.groupBy("scope").agg(F.min("from_id").alias("node"))
-    return G.reachable(t, starts).groupBy("start").agg(F.count("*").alias("reached"), F.min("node").alias("least"), F.max("node").alias("most"))
+    return G.reachable(t, starts, plain=0).groupBy("start").agg(F.count("*").alias("reached"), F.min("node").alias("least"), F.max("node").alias("most"))
 
 
 @query("beam_traversal", f"""WITH {_WAYS}, seeds AS (SELECT o_orderkey % 50 AS root, o_orderkey AS node, o_totalprice / 500000 AS score FROM orders),

@@ -61,3 +61,16 @@ def test_concept_reach_is_dealt_by_rows(spark):
     got = graph.concept_reach(edges, links, rows=8)
     assert {r.concept: r.episodes for r in got.collect()} == want
     assert "hashpartitioning(concept#" in (plan := got._jdf.queryExecution().toString()) and f", {3 * -(-len(own) // 8)})" in plan
+
+
+def test_chains_are_contracted_from_the_start(spark, monkeypatch):
+    from engramflow.plans import graph_queries
+
+    rng = random.Random(11)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30) if k % 9] + [(rng.randrange(40), rng.randrange(40)) for _ in range(12)] + [(50, 51), (51, 50)], "from_id long, to_id long")
+    starts = spark.createDataFrame([(1,), (10,), (35,), (50,), (99,)], "node long")
+    assert sorted(graph.reachable(edges, starts, plain=0).collect()) == sorted(graph.reachable(edges, starts).collect())
+    asked = []
+    monkeypatch.setattr(graph, "reachable", lambda t, s, plain=graph.PLAIN: asked.append(plain) or t.selectExpr("from_id AS start", "to_id AS node"))
+    graph_queries.temporal_reachability(spark, "/root/testdata/sf0.001")
+    assert asked == [0]
