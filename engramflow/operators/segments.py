@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,45 +82,49 @@ def natural_segments(blocks: list[dict], target: int = 6000, most: int = 8000, o
 
     A boundary of 3 breaks hard and without overlap; once target is reached the best boundary of 2 since half of it is taken, else the
     segment ends before it would pass most; reference style breaks at 10 blocks without overlap; front matter is dropped."""
-    out: list[list[int]] = []
-    now: list[int] = []
+    return [[b["_at"] for b in part] for part in segments_of(({**b, "_at": i} for i, b in enumerate(blocks)), target, most, overlap)]
+
+
+def segments_of(blocks: Iterable[dict], target: int = 6000, most: int = 8000, overlap: int = 800) -> Iterator[list[dict]]:
+    """natural_segments() as they close: no more than one segment's blocks are held."""
+    now: list[dict] = []
     fresh = 0
-    use = [i for i, b in enumerate(blocks) if b.get("role") != "front_matter"]
-    size = lambda part: sum(len(blocks[i]["text"]) + 2 for i in part)
+    size = lambda part: sum(len(b["text"]) + 2 for b in part)
 
     def close(part, rest, hard):
         nonlocal now, fresh
-        out.append(part)
-        carry: list[int] = []
+        carry: list[dict] = []
         if not hard and not rest:
-            for i in reversed(part):
+            for b in reversed(part):
                 room = overlap if carry else max(2 * overlap, overlap + 256)
-                if blocks[i].get("style") == "reference" or size([i, *carry]) > room or len(carry) + 1 >= len(part):
+                if b.get("style") == "reference" or size([b, *carry]) > room or len(carry) + 1 >= len(part):
                     break
-                carry.insert(0, i)
+                carry.insert(0, b)
         now, fresh = carry + rest, len(rest)
+        return part
 
-    for i in use:
-        reference = blocks[i].get("style") == "reference"
+    for block in blocks:
+        if block.get("role") == "front_matter":
+            continue
+        reference = block.get("style") == "reference"
         if now and fresh:
-            if blocks[i].get("boundary", 0) >= 3:
-                close(now, [], True)
+            if block.get("boundary", 0) >= 3:
+                yield close(now, [], True)
             elif reference and len(now) >= 10:
-                close(now, [], True)
-            elif size([*now, i]) > most:
-                close(now, [], False)
+                yield close(now, [], True)
+            elif size([*now, block]) > most:
+                yield close(now, [], False)
             elif size(now) >= target:
-                soft = [k for k in range(len(now) - fresh + 1, len(now)) if blocks[now[k]].get("boundary", 0) >= 2 and size(now[:k]) >= target / 2]
-                if blocks[i].get("boundary", 0) >= 2 or not soft:
-                    close(now, [], False)
+                soft = [k for k in range(len(now) - fresh + 1, len(now)) if now[k].get("boundary", 0) >= 2 and size(now[:k]) >= target / 2]
+                if block.get("boundary", 0) >= 2 or not soft:
+                    yield close(now, [], False)
                 else:
                     k = max(soft)
-                    close(now[:k], now[k:], False)
-        now = [*now, i]
+                    yield close(now[:k], now[k:], False)
+        now = [*now, block]
         fresh += 1
     if now and fresh:
-        out.append(now)
-    return out
+        yield now
 
 
 def explode_texts(docs: DataFrame, what: str) -> DataFrame:
@@ -152,18 +157,37 @@ def explode_texts(docs: DataFrame, what: str) -> DataFrame:
 
 
 def segment_files(blocks: DataFrame, **limits) -> DataFrame:
-    """blocks: source_key, position, text, boundary, style, role -> source_key, segment_index, positions, text (rendered with its header)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        rows = pdf.to_dict("records")
-        key, out = pdf["source_key"].iloc[0], []
-        for k, part in enumerate(natural_segments(rows, **limits)):
-            body = "\n\n".join(rows[i]["text"] for i in part)
-            out.append((key, k, [int(rows[i]["position"]) for i in part], f"[source_key: {key}]\n[segment_index: {k}]\n\n{body}"))
-        return pd.DataFrame(out, columns=["source_key", "segment_index", "positions", "text"])
-
-    return blocks.groupBy("source_key").applyInPandas(run, "source_key string, segment_index long, positions array<long>, text string")
+    """blocks: source_key, position, text, boundary, style, role -> source_key, segment_index, positions, text (rendered with its header).
+
+    Blocks come sorted and segments go as they close, so a source of any size takes a segment's memory."""
+    schema = pa.schema([("source_key", pa.string()), ("segment_index", pa.int64()), ("positions", pa.list_(pa.int64())), ("text", pa.string())])
+    names = ["source_key", "position", "text", "boundary", "style", "role"]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+    def read(batches):
+        for b in batches:
+            columns = [b.column(k) for k in range(len(names))]
+            for values in zip(*columns):
+                row = dict(zip(names, (v.as_py() for v in values)))
+                yield row | {"text": row["text"] or "", "boundary": row["boundary"] or 0}
+
+    def run(batches):
+        rows, held = [], 0
+        for key, own in groupby(read(batches), lambda row: row["source_key"]):
+            for k, part in enumerate(segments_of(own, **limits)):
+                body = "\n\n".join(b["text"] for b in part)
+                rows.append((key, k, [int(b["position"]) for b in part], f"[source_key: {key}]\n[segment_index: {k}]\n\n{body}"))
+                held += len(body)
+                if held > HELD:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    own = blocks.select(F.col("source_key").cast("string").alias("source_key"), *names[1:]).repartition("source_key").sortWithinPartitions("source_key", "position")
+    return own.mapInArrow(run, "source_key string, segment_index long, positions array<long>, text string")
 
 
 def project_window(records: DataFrame, windows: DataFrame) -> DataFrame:

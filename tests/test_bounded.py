@@ -74,3 +74,17 @@ def test_chains_are_contracted_from_the_start(spark, monkeypatch):
     monkeypatch.setattr(graph, "reachable", lambda t, s, plain=graph.PLAIN: asked.append(plain) or t.selectExpr("from_id AS start", "to_id AS node"))
     graph_queries.temporal_reachability(spark, "/root/testdata/sf0.001")
     assert asked == [0]
+
+
+def test_segments_go_as_they_close():
+    given = []
+
+    def blocks():
+        for k in range(1000):
+            given.append(k)
+            yield {"text": "x" * (k % 700), "boundary": k % 3, "at": k}
+
+    out = S.segments_of(blocks())
+    first = next(out)
+    assert len(given) < 200 and first[0]["at"] == 0
+    assert [[b["at"] for b in p] for p in [first, *out]] == S.natural_segments([{"text": "x" * (k % 700), "boundary": k % 3} for k in range(1000)])
