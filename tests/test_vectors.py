@@ -25,3 +25,11 @@ def test_by_packs(spark, monkeypatch, kind, skip, cells, block):
         near = [(-round(float(np.dot(a, b)), 9), i) for i, b, y in rows if not (skip and i == q) and (not kind or (x is not None and x == y)) and np.dot(a, b) >= -0.5]
         want += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(near)[:4], 1)]
     assert sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in found.collect()) == want
+
+
+def test_pairs_of_packs_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(V, "QUERY_BLOCK", 5)
+    index = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "id long, v array<double>").coalesce(1)
+    queries = index.where("id < 10").withColumnRenamed("id", "query_id")
+    found = V._by_packs(index, queries, 2, None, -np.inf, False)
+    assert found.rdd.getNumPartitions() == 12 * 2 // V.PAIRS and found.count() == 12 * 10 * 2
