@@ -37,19 +37,19 @@ def _grams(run: str, n: int) -> list[str]:
     return [run[i : i + n] for i in range(len(run) - n + 1)]
 
 
-def units(text: str | None, n: int, most: int = 96) -> list[str]:
-    """Search units: words of n characters or more and n-grams of CJK runs, distinct in order (a lone character is kept for n = 2)."""
+def units(text: str | None, n: int) -> list[str]:
+    """Search units of the whole text: words of n characters or more and n-grams of CJK runs, distinct in order (a lone character is kept for n = 2)."""
     form = casefold(text)
     found = [(m.start(), [m[0]]) for m in _LATIN.finditer(form) if len(m[0]) >= n]
     for m in _RUN.finditer(form):
         found.append((m.start(), _grams(m[0], n) or ([m[0]] if n == 2 else [])))
-    return list(dict.fromkeys(u for _, part in sorted(found) for u in part))[:most]
+    return list(dict.fromkeys(u for _, part in sorted(found) for u in part))
 
 
-def anchors(text: str | None, most: int = 24) -> list[str]:
+def anchors(text: str | None) -> list[str]:
     """Texts inside quotation marks or brackets of three characters or more besides blanks."""
     found = [casefold(x).strip() for x in _QUOTED.findall(text or "")]
-    return list(dict.fromkeys(x for x in found if len("".join(x.split())) >= 3))[:most]
+    return list(dict.fromkeys(x for x in found if len("".join(x.split())) >= 3))
 
 
 def terms(text: str | None) -> list[str]:

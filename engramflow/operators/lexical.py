@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -77,8 +79,8 @@ def _top_of(encoded: DataFrame, block: scan.Block, score, k: int, adjust=None) -
     return encoded.mapInArrow(run, _TOP)
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] | None = None, phrases: bool = False, by_length: bool = False) -> DataFrame:
-    """docs: id, source and an array of terms for each field of weights (default: terms); queries: query_id, terms -> query_id, id, source, score,
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] | None = None, phrases: bool = False, by_length: bool = False, form=None) -> DataFrame:
+    """docs: id, source and an array of terms (or a text, of which form(text) are the terms) for each field of weights (default: terms); queries: query_id, terms -> query_id, id, source, score,
     rank of the k best documents of each query by the weighed sum of the fields' BM25.
 
     phrases: docs have text, queries phrases, and only documents that hold one of a query's phrases (lower case) count. by_length: scores are divided
@@ -92,7 +94,7 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, weights: dict[str, flo
     size = f"{fields[0]}_len"
     adjust = (lambda part: 1.0 / np.maximum(part.column(size).to_numpy(), 1)) if by_length else None
     for block in scan.blocks(queries, *(["phrases"] if phrases else [])):
-        encoded = scan.encode(docs, block, fields, ("source",), "text" if phrases else None)
+        encoded = scan.encode(docs, block, fields, ("source",), "text" if phrases else None, form)
         found = found.unionByName(_top_of(encoded, block, Bm25(encoded, block, weights), k, adjust))
     return scan.ranked(found, k)
 
@@ -293,9 +295,9 @@ TEXT_WEIGHT, KEY_WEIGHT = 1.0, 0.15
 def sparse_search(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """docs: id, source, text; queries: query_id, text -> query_id, id, score, raw, rank.
 
-    Three channels of search units (quoted anchors as phrases, words and trigrams, words and bigrams) are each ranked by BM25 with the source key as a
+    Three channels of search units of whole texts (quoted anchors as phrases, words and trigrams, words and bigrams) are each ranked by BM25 with the source key as a
     light second column, cut at 2 * limit, and fused by the largest weight / (60 + rank); ties: the best raw score, then id."""
-    from ..functions.text import register_text
+    from ..functions.text import register_text, units
 
     register_text(docs.sparkSession)
     found = None
@@ -303,8 +305,9 @@ def sparse_search(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
         unit = "trigram_units" if name != "bigram" else "bigram_units"
         anchors = name == "anchor"
         asked = queries.select("query_id", F.expr(f"{unit}(text)" if not anchors else "flatten(transform(quoted_anchors(text), a -> split(a, ' ')))").alias("terms"), F.expr("quoted_anchors(text)").alias("phrases"))
-        own = docs.select("id", "source", F.expr(f"{unit}(text)").alias("words"), F.expr(f"{unit}(source)").alias("key"), *(["text"] if anchors else []))
-        best = bm25_top(own, asked.where(F.size("terms") > 0), 2 * limit, {"words": TEXT_WEIGHT, "key": KEY_WEIGHT}, phrases=anchors)
+        own = docs.select("id", "source", F.col("text").alias("words"), F.col("source").cast("string").alias("key"), *(["text"] if anchors else []))
+        form = partial(units, n=2 if name == "bigram" else 3)
+        best = bm25_top(own, asked.where(F.size("terms") > 0), 2 * limit, {"words": TEXT_WEIGHT, "key": KEY_WEIGHT}, phrases=anchors, form=form)
         channel = best.select("query_id", "id", F.lit(weight).alias("weight"), "rank", F.col("score").alias("raw"))
         found = channel if found is None else found.unionByName(channel)
     fused = channel_fusion(found)

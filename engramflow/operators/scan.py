@@ -94,9 +94,15 @@ def _encoded(column: pa.Array, number: dict[str, int]) -> tuple[pa.Array, pa.Arr
     return pa.ListArray.from_arrays(offsets, pa.array(key % max(1, len(number)), pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32())), sizes
 
 
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Terms of each row; of texts a bound on them, as a term takes two bytes or more."""
+    count = pc.divide(pc.binary_length(column), 2) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else pc.list_value_length(column)
+    return pc.fill_null(count, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def pieces(batch: pa.RecordBatch, fields: list[str], terms: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The batch's rows in slices of at most so many terms of all fields together, or of one row."""
-    sizes = sum(pc.fill_null(pc.list_value_length(batch.column(f)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
+    sizes = sum(_sizes(batch.column(f)) for f in fields)
     low, n = 0, 0
     for row, size in enumerate(sizes.tolist()):
         if row > low and n + size > terms:
@@ -107,8 +113,10 @@ def pieces(batch: pa.RecordBatch, fields: list[str], terms: int = PIECE) -> Iter
         yield batch.slice(low)
 
 
-def encode(docs: DataFrame, block: Block, fields: list[str], carry: tuple[str, ...] = (), text: str | None = None) -> DataFrame:
-    """docs with, for every field (an array of terms), f_term, f_tf and f_len instead; with text also holds: the queries whose phrases it has."""
+def encode(docs: DataFrame, block: Block, fields: list[str], carry: tuple[str, ...] = (), text: str | None = None, form=None) -> DataFrame:
+    """docs with, for every field (an array of terms), f_term, f_tf and f_len instead; with text also holds: the queries whose phrases it has.
+
+    form: fields are texts, and form(text) are their terms, which are worked out piece by piece and never leave the task."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
     kinds = dict(docs.dtypes)
     keep = ["id", *carry]
@@ -120,7 +128,8 @@ def encode(docs: DataFrame, block: Block, fields: list[str], carry: tuple[str, .
         for b in (part for whole in batches for part in pieces(whole, fields)):
             names, columns = list(keep), [b.column(c) for c in keep]
             for f in fields:
-                term, tf, size = _encoded(b.column(f), own.number)
+                lists = b.column(f) if form is None else pa.array([form(t) for t in b.column(f).to_pylist()], pa.list_(pa.string()))
+                term, tf, size = _encoded(lists, own.number)
                 names += [f"{f}_term", f"{f}_tf", f"{f}_len"]
                 columns += [term, tf, pa.array(size)]
             if text:
