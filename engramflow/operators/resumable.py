@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stores import fingerprint
-from .cutting import cut
-from .graph import conductances
+from .cutting import cut, swept
+from .graph import better, conductances
 from .numbering import number
 
 COMPLETE, BUDGET = "complete", "expansion_budget"
@@ -27,7 +27,7 @@ class ResumableSpreading:
 
     def __init__(self, edges: DataFrame, seeds: DataFrame, folder: str, floor: float = 0.0):
         self.spark, self.folder, self.floor = edges.sparkSession, folder.rstrip("/"), float(floor)
-        self.flow = cut(conductances(edges))
+        self.flow = conductances(edges)
         self.seeds = cut(seeds.where("activation > 0").groupBy("root", "node").agg(F.max("activation").cast("double").alias("support")))
         graph, request = fingerprint(self.flow).first()[0], fingerprint(self.seeds).first()[0]
         self.key = {"graph": graph, "request": request, "floor": self.floor}
@@ -72,15 +72,14 @@ class ResumableSpreading:
                 placed = number(pending.withColumn("_s", -F.col("support")), ["_s", "root", "node"], "_k")
                 wave, rest = placed.where(F.col("_k") <= budget - used).select(*pending.columns), placed.where(F.col("_k") > budget - used).select(*pending.columns)
             used += left if rest is None else budget - used
-            reached = wave.join(self.flow, "node").groupBy("root", F.col("other").alias("node")).agg(F.max(F.col("support") * F.col("c")).alias("support")).where(F.col("support") > self.floor)
-            old = known.select("root", "node", F.col("support").alias("_old"))
-            better = cut(reached.join(old, ["root", "node"], "left").groupBy("root", "node", "support").agg(F.max("_old").alias("_old")).where("_old IS NULL OR support > _old").drop("_old"))
-            known = known.unionByName(better)
-            gained = better if gained is None else gained.unionByName(better)
-            pending = better if rest is None else cut(rest.join(better.select("root", "node"), ["root", "node"], "left_anti").unionByName(better))
+            gain = better(wave, self.flow, known, self.floor)
+            known = known.unionByName(gain)
+            gained = gain if gained is None else gained.unionByName(gain)
+            pending = gain if rest is None else cut(rest.join(gain.select("root", "node"), ["root", "node"], "left_anti").unionByName(gain))
             left = pending.count()
-        (gained if gained is not None else known.limit(0)).write.mode("overwrite").parquet(f"{self.folder}/supports/call={call}")
-        pending.write.mode("overwrite").parquet(f"{self.folder}/pending/call={call}")
+        with swept(self.spark):
+            (gained if gained is not None else known.limit(0)).write.mode("overwrite").parquet(f"{self.folder}/supports/call={call}")
+            pending.write.mode("overwrite").parquet(f"{self.folder}/pending/call={call}")
         status = COMPLETE if not left else BUDGET
         note = json.dumps({**self.key, "call": call, "expansions": expansions + used, "pending": left, "status": status})
         self.spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest/call={call}")
